@@ -1,0 +1,124 @@
+"""Encode texts by their distinct segments.
+
+A segment starts at a text's start or at a space (0x20) that a byte of 0x21-0x7E or of a letter-only
+lead follows. The byte-level pattern always breaks there, whatever stands around it: each of
+its alternatives takes such a space with what follows, and none takes it with what precedes. So a
+text's encoding is that of its segments in order, and equal segments are encoded once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import regex
+
+from .words import hashes, text_bytes
+
+#: Bytes that may follow a breaking space: leads of characters that can be white space (C2, E1, E2, E3) are left out.
+AFTER = np.zeros(256, bool)
+AFTER[0x21:0x7F] = True
+AFTER[[*range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
+
+
+class PieceEncoder:
+    """Cuts segments into pieces by the vocabulary's pattern; `encode` gets lists of new distinct pieces and may sort them."""
+
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], most: int = 700_000):
+        self.pattern, self.encode, self.most, self.known = regex.compile(pattern), encode, most, {}
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        find, known = self.pattern.findall, self.known
+        cut = [find(t) for t in texts]
+        new = {p for c in cut for p in c if p not in known}
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = {p for c in cut for p in c}
+        new = list(new)
+        found = self.encode(new)
+        known.update(zip(new, found, strict=True))
+        return [known[c[0]] if len(c) == 1 else [i for p in c for i in known[p]] for c in cut]
+
+
+class SegmentEncoder:
+    """Token ids of string columns; `encode` gets lists of new distinct segments.
+
+    At most `most` segments are held; beyond that the store starts anew, so memory stays
+    bounded whatever the vocabulary of the texts.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list], special: dict[str, int], most: int = 400_000):
+        self.encode, self.special, self.most = encode, special, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.start, self.length, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
+        self.used = 0
+
+    def _add(self, keys: list[int], found: list) -> None:
+        n, k = len(self.slot), np.fromiter(map(len, found), np.int64, len(found))
+        while len(self.start) < n + len(k):
+            self.start, self.length = np.concatenate([self.start] * 2), np.concatenate([self.length] * 2)
+        flat = np.concatenate([np.asarray(x, np.int32) for x in found]) if len(found) < 64 else np.fromiter((y for x in found for y in x), np.int32, int(k.sum()))
+        while len(self.ids) < self.used + len(flat):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.start[n : n + len(k)] = self.used + np.cumsum(k) - k
+        self.length[n : n + len(k)] = k
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.slot.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def rows(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows one after another, offsets of the rows in them)."""
+        plain = None
+        data, at = text_bytes(column)
+        if self.special:
+            raw = data.tobytes()
+            if any(s.encode() in raw for s in self.special):
+                plain = self._apart(column)
+        return plain or self._plain(data, at)
+
+    def _apart(self, column: pa.Array):
+        """Rows with special tokens: the texts between these are texts of their own."""
+        parts, marks, row = [], [], []
+        for i, text in enumerate(column.to_pylist()):
+            rest = text or ""
+            while rest:
+                here, mark = min(((p, s) for s in self.special if (p := rest.find(s)) >= 0), default=(len(rest), None))
+                parts.append(rest[:here])
+                marks.append(-1 if mark is None else self.special[mark])
+                row.append(i)
+                rest = rest[here + len(mark or "") :]
+        ids, at = self._plain(*text_bytes(pa.array(parts, pa.string())))
+        marks, row = np.array(marks, np.int64), np.array(row, np.int64)
+        n = np.diff(at) + (marks >= 0)
+        out = np.insert(ids, at[1:][marks >= 0], marks[marks >= 0])
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return out.astype(np.int32), ends[np.searchsorted(row, np.arange(len(column) + 1))]
+
+    def _plain(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.empty(0, np.int32), np.zeros(len(at), np.int64)
+        cut = np.zeros(len(data), bool)
+        cut[:-1] = (data[:-1] == 0x20) & AFTER[data[1:]]
+        cut[at[:-1][np.diff(at) > 0]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))
+        keys, first, which = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        names = keys.tolist()
+        new = [i for i, k in enumerate(names) if k not in self.slot]
+        if len(self.slot) + len(new) > self.most and self.slot:
+            self._clear()
+            new = range(len(names))
+        if new:
+            raw = data.tobytes()
+            texts = [raw[starts[f] : ends[f]].decode() for f in first[list(new)].tolist()]
+            self._add([names[i] for i in new], self.encode(texts))
+        slot = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))[which]
+        n, begin = self.length[slot], self.start[slot]
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        ids = self.ids[np.arange(total) + np.repeat(begin - (ends - n), n)]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(starts, at)]
