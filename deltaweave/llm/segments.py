@@ -106,7 +106,14 @@ class SegmentEncoder:
         cut[at[:-1][np.diff(at) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        keys, first, which = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        ids, n = self.spans(data, starts, ends, hashes(data, starts, ends))
+        return ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, at)]
+
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all spans one after another, number of ids of each); keys are the spans' hashes."""
+        if not len(keys):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
         names = keys.tolist()
         new = [i for i, k in enumerate(names) if k not in self.slot]
         if len(self.slot) + len(new) > self.most and self.slot:
@@ -119,6 +126,4 @@ class SegmentEncoder:
         slot = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))[which]
         n, begin = self.length[slot], self.start[slot]
         ends = np.cumsum(n)
-        total = int(ends[-1])
-        ids = self.ids[np.arange(total) + np.repeat(begin - (ends - n), n)]
-        return ids, np.concatenate([[0], ends])[np.searchsorted(starts, at)]
+        return self.ids[np.arange(int(ends[-1])) + np.repeat(begin - (ends - n), n)], n
