@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, tokenfiles, triebpe, urlfilter, warc
+from . import mixing, quality, setjoin, tokenfiles, triebpe, urlfilter, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.similar_documents(_table(spark, sf_dir, "documents"), setjoin.Terms(n=3, num=90, den=100))
+
+
 #: The rules of the query: (action, host, path).
 URL_RULES = tuple(urlfilter.HostRule(*r) for r in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")))
 
