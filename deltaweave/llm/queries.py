@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, setjoin, tokenfiles, triebpe, urlfilter, warc
+from . import ann, mixing, quality, setjoin, tokenfiles, triebpe, urlfilter, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -32,6 +32,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages"), least_bytes=0))
 
 
+def op4_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 def quality_rules() -> quality.Rules:
     return quality.Rules(public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
