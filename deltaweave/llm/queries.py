@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, mixing, quality, setjoin, tokenfiles, triebpe, urlfilter, warc
+from . import ann, mixing, quality, setjoin, tokenfiles, toxicity, triebpe, urlfilter, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -53,6 +53,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(tokenfiles.write_token_files(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, end_id=0))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_texts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triebpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
