@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .segments import SegmentEncoder
+from .pieces import SpanStore, by_text
 from .words import blocks, bounds, hashes, mix, text_bytes, windows
 
 SYMBOLS = np.zeros(256, bool)
@@ -79,7 +79,7 @@ def _vocabularies(piece_model: str, byte_ranks: str, pattern: str):
         # The number of byte-level tokens goes before the pieces.
         return [[len(b), *p] for b, p in zip(map(coder.encode_ordinary, (" " + w for w in words)), pieces.encode(words, num_threads=1), strict=True)]
 
-    return SegmentEncoder(encode, {}), fallback
+    return SpanStore(by_text(encode)), fallback
 
 
 def per_row(mask: np.ndarray, at: np.ndarray) -> np.ndarray:

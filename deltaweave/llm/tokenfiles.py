@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import PieceEncoder, SegmentEncoder
+from .pieces import TextEncoder
 from .shared import AtomicFile, cut, new_folder, open_input
 from .words import BLOCK, blocks
 
@@ -134,9 +134,60 @@ class TokenReader:
             yield crc
 
 
+#: Bytes that white space other than a piece's first space has or may have.
+ODD = np.zeros(256, bool)
+ODD[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+class LibraryPieces:
+    """The tokenizers library on pieces, many in one text: a piece with a space before it is cut off by that, and others get a
+    line feed before them, which is a piece of its own there. Lengths of tokens tell where each piece's tokens end; where
+    they don't, and where a piece may have other white space, it is encoded alone."""
+
+    def __init__(self, tokenizer, together: int = 4096):
+        self.tokenizer, self.together = tokenizer, together
+        vocabulary = tokenizer.get_vocab()
+        self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.length[i] = len(token)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        size = ends - starts
+        spaced = (data[starts] == 0x20) & (size > 1)
+        odd = np.concatenate([[0], np.cumsum(ODD[data])])
+        joint = np.flatnonzero(odd[ends] - odd[starts] == spaced)
+        start, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        flat = np.empty(0, np.int32)
+        if len(joint):
+            n = size[joint]
+            last = np.cumsum(n + ~spaced[joint])
+            first = last - n
+            text = np.full(int(last[-1]), 0x0A, np.uint8)
+            source = np.arange(int(n.sum())) + np.repeat(starts[joint] - (np.cumsum(n) - n), n)
+            text[np.arange(len(source)) + np.repeat(first - (np.cumsum(n) - n), n)] = data[source]
+            cuts = [0, *last[self.together - 1 :: self.together].tolist()]
+            cuts += [len(text)] * (cuts[-1] < len(text))
+            flat = np.concatenate(self._encode([text[a:b].tobytes().decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
+            edges = np.concatenate([[0], np.cumsum(self.length[flat])])
+            a, b = np.searchsorted(edges, first), np.searchsorted(edges, last)
+            sound = (edges[np.minimum(a, len(flat))] == first) & (edges[np.minimum(b, len(flat))] == last) & (edges[-1] == len(text))
+            start[joint], count[joint] = a, np.where(sound, b - a, 0)
+        alone = np.flatnonzero(count == 0)
+        if len(alone):
+            raw = data.tobytes()
+            found = self._encode([raw[a:b].decode() for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)])
+            count[alone] = [len(f) for f in found]
+            start[alone] = len(flat) + np.cumsum(count[alone]) - count[alone]
+            flat = np.concatenate([flat, *found])
+        return flat, start, count
+
+
 @lru_cache(maxsize=2)
-def library_encoder(path: str, pattern: str) -> SegmentEncoder:
-    """The tokenizers library behind the stores of segments and pieces: it encodes each distinct piece."""
+def library_encoder(path: str, pattern: str) -> TextEncoder:
+    """The tokenizers library behind the store of pieces: it encodes each distinct piece."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -144,7 +195,7 @@ def library_encoder(path: str, pattern: str) -> SegmentEncoder:
     t.no_truncation()
     t.no_padding()
     special = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
-    return SegmentEncoder(PieceEncoder(pattern, lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]), special)
+    return TextEncoder(LibraryPieces(t), special, pattern)
 
 
 def write_token_files(df: DataFrame, path: str, pattern: str, end_id: int = 0, planes: str = "byte", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

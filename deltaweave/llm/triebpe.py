@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .segments import PieceEncoder, SegmentEncoder
+from .pieces import TextEncoder, by_text
 from .words import BLOCK, blocks
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -149,8 +149,7 @@ class Vocabulary:
         return out
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        pieces.sort()  # code point order is byte order in UTF-8
-        return self.walk([p.encode() for p in pieces])
+        return self.walk([p.encode() for p in pieces])  # sorted: code point order is byte order in UTF-8
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of ids one after another, and where each id's bytes end."""
@@ -160,9 +159,9 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def _coder(path: str, pattern: str) -> tuple[Vocabulary, SegmentEncoder]:
+def _coder(path: str, pattern: str) -> tuple[Vocabulary, TextEncoder]:
     v = Vocabulary(path)
-    return v, SegmentEncoder(PieceEncoder(pattern, v.encode_pieces), v.special)
+    return v, TextEncoder(by_text(v.encode_pieces), v.special, pattern)
 
 
 def encode_columns(column: pa.Array, path: str, pattern: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
