@@ -133,3 +133,13 @@ def taken_by_document(m: Mix) -> DataFrame:
     placed = m.sized.withColumn("place", F.when(F.col("size") > 0, F.col("start")))
     joined = placed.join(t.withColumnRenamed("start", "place"), ["source_id", "place"], "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source")
+
+
+def repeated(df: DataFrame, m: Mix, id_col: str = "doc_id") -> DataFrame:
+    """The rows of df, each as many times as the mix takes its words, rounded to whole texts; rows it takes less than half of once go.
+
+    Rows that share an id are taken alike."""
+    each = taken_by_document(m).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken")).where("size > 0")
+    copies = each.select(F.col("doc_id").alias("taken_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0")
+    joined = df.join(copies, df[id_col].eqNullSafe(copies["taken_id"])).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return joined.select(*(df[c] for c in df.columns))

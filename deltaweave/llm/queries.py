@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, mixing, quality, setjoin, tokenfiles, toxicity, triebpe, urlfilter, warc
+from . import ann, mixing, quality, secretscan, setjoin, tokenfiles, toxicity, triebpe, urlfilter, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -36,6 +37,11 @@ def op4_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), k=5, query_every=50)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("place").cast("long").alias("place"), F.sha2("value", 256).alias("value_sha256"), F.char_length("value").cast("long").alias("n_chars"), "score", "is_secret")
+
+
 def quality_rules() -> quality.Rules:
     return quality.Rules(public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
