@@ -9,8 +9,8 @@ texts link when den * |intersection| >= num * |union|.
    n - ceil(num / den * n) + 1 elements.
 2. Equal sets become one class, whose answers are those of its first document.
 3. The index: for each prefix element, the list of (size, position) of the sets that have it. Lists of one set go.
-4. Answers from similar sets: neighbours in the lists, checked first and exactly, give components. A set's
-   links within its component are settled by that, so only pairs across components remain.
+4. Answers from similar sets: neighbours in the lists and then nearest sets by sketch, checked first and exactly, give
+   components. A set's links within its component are settled by that, so only pairs across components remain.
 5. Lists that lie within one component are skipped whole. The others are cut into blocks of equal
    size and position, and a block is skipped if what follows its position can't reach the overlap asked for. Within a list, a
    set's candidates are derived from those of the first set of its component: where a sketch of parities puts the first
@@ -272,7 +272,7 @@ class _List:
 
     def __init__(self, terms: Terms, n, pos, sid, root, bits):
         order = np.lexsort((pos, n))
-        self.terms, self.n, self.pos, self.sid, self.root, self.bits = terms, n[order], pos[order], sid[order], root[order], bits[order]
+        self.order, self.terms, self.n, self.pos, self.sid, self.root, self.bits = order, terms, n[order], pos[order], sid[order], root[order], bits[order]
 
     def pairs(self):
         n, pos, terms = self.n, self.pos, self.terms
@@ -294,15 +294,15 @@ class _List:
                 y = y[self.root[y] > self.root[x]]
                 most = n[x] + n[y] - 2 * terms.overlap(n[x], n[y])
                 y, most = (z[apart[y] <= most + apart[x]] for z in (y, most))
-                if len(y) and x != first:
-                    near = np.bitwise_count(self.bits[y] ^ self.bits[x]).sum(axis=1) <= most
-                    y = y[near]
+                far = np.bitwise_count(self.bits[y] ^ self.bits[x]).sum(axis=1)
+                y, far = y[far <= most], far[far <= most]
                 if len(y):
-                    yield np.full(len(y), self.sid[x]), self.sid[y]
+                    yield np.full(len(y), x), y, far
 
 
-def _across(live: DataFrame, terms: Terms) -> DataFrame:
-    """Candidate pairs of different components, from postings (key, n, sid, pos, root, bits) in order of key."""
+def _across(live: DataFrame, terms: Terms, nearest: bool) -> DataFrame:
+    """Candidate pairs of different components, from postings (key, n, sid, pos, root, bits) in order of key; if nearest, of each
+    list only the pair that is least apart for each set."""
 
     def short(key, n, pos, sid, root, bits):
         """All short lists at once: entries that stand d apart, for each d."""
@@ -314,20 +314,24 @@ def _across(live: DataFrame, terms: Terms) -> DataFrame:
             good = (root[x] != root[y]) & _may_link(terms, n[x], pos[x], n[y], pos[y])
             x, y = x[good], y[good]
             most = n[x] + n[y] - 2 * terms.overlap(n[x], n[y])
-            near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= most
-            yield sid[x[near]], sid[y[near]]
+            far = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
+            near = far <= most
+            yield x[near], y[near], far[near]
 
     def work(c):
         key, n, sid, pos, root, bits = c
         edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
         size = np.diff(np.append(edge, len(key)))
         number = np.repeat(np.arange(len(edge)), size)
-        small = np.repeat(size <= SHORT, size)
-        yield from short(number[small], n[small], pos[small], sid[small], root[small], bits[small])
+        small = np.flatnonzero(np.repeat(size <= SHORT, size))
+        for x, y, far in short(number[small], n[small], pos[small], sid[small], root[small], bits[small]):
+            yield small[x], small[y], far
         for a, s in zip(edge[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
             z = slice(a, a + s)
             if (root[z] != root[a]).any():
-                yield from _List(terms, n[z], pos[z], sid[z], root[z], bits[z]).pairs()
+                ordered = _List(terms, n[z], pos[z], sid[z], root[z], bits[z])
+                for x, y, far in ordered.pairs():
+                    yield a + ordered.order[x], a + ordered.order[y], far
 
     def run(batches):
         held = None
@@ -348,7 +352,13 @@ def _across(live: DataFrame, terms: Terms) -> DataFrame:
     def out(c):
         found = list(work(c))
         if found:
-            a, b = (np.concatenate([f[k] for f in found]) for k in range(2))
+            x, y, far = (np.concatenate([f[k] for f in found]) for k in range(3))
+            if nearest:
+                entry, other, far = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([far, far])
+                order = np.lexsort((other, far, entry))
+                first = order[np.concatenate([[True], np.diff(entry[order]) != 0])] if len(order) else order
+                x, y = entry[first], other[first]
+            a, b = c[2][x], c[2][y]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             for k in range(0, len(both), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(both[k : k + 65536, 0]), pa.array(both[k : k + 65536, 1])], ["a", "b"])
@@ -364,27 +374,39 @@ def similar_documents(df: DataFrame, terms: Terms = Terms(), id_col: str = "doc_
     classes = cut(docs.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
     live = cut(_lists(_postings(classes), terms), "lists")
 
-    # Neighbours in lists: most sets of a component meet the rest of it here.
-    near = _close(live.where("before is not null").select(F.col("sid").alias("a"), F.col("before").alias("b")), classes, terms)
-    settled = cut(components(_verify(cut(near, "near"), rows, classes, terms)), "settled").withColumnRenamed("node", "sid")
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """labels (sid, root) after links (a, b) between roots' sets."""
+        side = lambda k: labels.select(F.col("sid").alias(k), F.col("root").alias(f"root_{k}"))
+        edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        found = components(edges).select(F.col("node").alias("root"), F.col("root").alias("now"))
+        return cut(labels.join(found, "root", "left").select("sid", F.coalesce("now", "root").alias("root")), "labels")
 
-    # The rest: pairs across components.
-    rooted = live.drop("before").join(settled, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    rooted = cut(rooted, "rooted")
-    mixed = rooted.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("length")).where("r0 <> r1").select("e", "length")
     step = float(np.log(terms.den / terms.num))
     group = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("long")
     parts = F.when(F.col("length") > LONG, F.array(group, group + 1)).otherwise(F.array(F.lit(-1).cast("long")))
-    keyed = rooted.join(mixed, "e").withColumn("part", F.explode(parts))
-    keyed = keyed.join(classes.select("sid", "bits"), "sid").select("e", "part", "n", "sid", "pos", "root", "bits")
-    across = _across(keyed.repartition("e", "part").sortWithinPartitions("e", "part", "n", "pos"), terms)
-    more = _verify(cut(across.distinct(), "across"), rows, classes, terms)
-
-    root = lambda s: settled.select(F.col("sid").alias(s), F.col("root").alias(f"root_{s}"))
-    joined = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    final = components(joined).select(F.col("node").alias("root"), F.col("root").alias("last"))
-    labelled = classes.select("sid", "first_id").join(settled, "sid", "left").withColumn("root", F.coalesce("root", "sid")).join(final, "root", "left").withColumn("root", F.coalesce("last", "root")).select("sid", "first_id", "root")
-    labelled = cut(labelled, "labelled")
+
+    def across(labels: DataFrame, nearest: bool) -> DataFrame:
+        rooted = cut(live.drop("before").join(labels, "sid"), "rooted")
+        mixed = rooted.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("length")).where("r0 <> r1").select("e", "length")
+        keyed = rooted.join(mixed, "e").withColumn("part", F.explode(parts))
+        keyed = keyed.join(classes.select("sid", "bits"), "sid").select("e", "part", "n", "sid", "pos", "root", "bits")
+        pairs = _across(keyed.repartition("e", "part").sortWithinPartitions("e", "part", "n", "pos"), terms, nearest)
+        return cut(pairs.distinct(), "across")
+
+    # Neighbours in lists come first, then for each set what is nearest to it in its lists, by sketch, of other components: as
+    # many pairs as postings at most, and nearly every component is whole after them. Then every pair across components that is left.
+    near = cut(_close(live.where("before is not null").select(F.col("sid").alias("a"), F.col("before").alias("b")), classes, terms), "near")
+    labels = merged(classes.select("sid", F.col("sid").alias("root")), _verify(near, rows, classes, terms))
+    for nearest in (True, False):
+        labels = merged(labels, _verify(across(labels, nearest), rows, classes, terms))
+    labelled = classes.select("sid", "first_id").join(labels, "sid")
     ids = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_set = labelled.join(ids, "root").select("sid", "component_id")
     return docs.select("doc_id", "n", "sid").join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, terms: Terms = Terms(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df without those that links join to a smaller id; rows without an id stay."""
+    found = similar_documents(df, terms, id_col, text_col)
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
