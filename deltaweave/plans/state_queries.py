@@ -34,24 +34,27 @@ def feature_reconcile(t):
     return reconcile.features(rows(k % 5 != 0, F.col("p_brand")), rows(k % 4 != 0, either(k % 3 == 0)), rows(k % 7 != 0, either(k % 2 == 0)))
 
 
-_VAR = """l AS (SELECT l_orderkey AS id_product, 's' || l_linenumber AS semantic, l_partkey AS id_variant, l_suppkey AS sk, l_linenumber AS n FROM lineitem),
+_VAR = """v AS (SELECT l_orderkey AS id_product, 's' || l_linenumber AS semantic, l_partkey AS id_variant, l_suppkey AS sk FROM lineitem),
+l AS (SELECT l_orderkey AS id_product, 's' || l_linenumber AS semantic, min(l_partkey) AS id_variant, min(l_suppkey) AS sk, l_linenumber AS n FROM lineitem GROUP BY 1, 2, 5),
 d AS (SELECT id_product, semantic, CAST(sk % 3 AS VARCHAR) AS hash, CAST(sk % 2 AS VARCHAR) AS stock_hash FROM l WHERE n % 4 <> 3),
 o AS (SELECT id_product, semantic, id_variant, CAST(sk % 2 AS VARCHAR) AS hash, '0' AS stock_hash FROM l WHERE n % 3 <> 2),
-f AS (SELECT id_product, semantic, min(id_variant) AS least_id FROM l WHERE sk % 4 <> 0 GROUP BY 1, 2)"""
+f AS (SELECT id_product, semantic, min(id_variant) AS least_id, list(id_variant) AS ids FROM v WHERE sk % 4 <> 0 GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {_VAR}, j AS (SELECT d.*, o.id_variant AS own_id, o.hash AS own_hash, o.stock_hash AS own_stock, f.least_id, CASE WHEN f.least_id = o.id_variant THEN o.id_variant ELSE f.least_id END AS id_variant FROM d LEFT JOIN o USING (id_product, semantic) LEFT JOIN f USING (id_product, semantic))
+@query(f"""WITH {_VAR}, j AS (SELECT d.*, o.id_variant AS own_id, o.hash AS own_hash, o.stock_hash AS own_stock, CASE WHEN list_contains(f.ids, o.id_variant) THEN o.id_variant ELSE f.least_id END AS id_variant FROM d LEFT JOIN o USING (id_product, semantic) LEFT JOIN f USING (id_product, semantic))
 SELECT id_product, semantic, id_variant, CASE WHEN id_variant IS NULL THEN 'create' ELSE 'use' END AS action, id_variant IS NULL OR own_id IS DISTINCT FROM id_variant OR own_hash IS DISTINCT FROM hash AS structure_changed,
 id_variant IS NOT NULL AND (own_id IS DISTINCT FROM id_variant OR own_stock IS DISTINCT FROM stock_hash) AS write_stock FROM j
 UNION ALL SELECT id_product, semantic, own_id, 'remove', true, false FROM j WHERE id_variant IS NOT NULL AND own_id <> id_variant
 UNION ALL SELECT o.id_product, o.semantic, o.id_variant, 'remove', true, false FROM o WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.id_product = o.id_product AND d.semantic = o.semantic)""")
 def variant_reconcile(t):
     n = F.col("n")
-    rows = t("lineitem").select(F.col("l_orderkey").alias("id_product"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("semantic"), F.col("l_partkey").alias("id_variant"), F.col("l_suppkey").alias("sk"), F.col("l_linenumber").alias("n"))
+    named = [F.col("l_orderkey").alias("id_product"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("semantic")]
+    actual = t("lineitem").select(*named, F.col("l_partkey").alias("id_variant"), (F.col("l_suppkey") % 4 != 0).alias("reusable"))
+    rows = t("lineitem").groupBy(*named, F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("id_variant"), F.min("l_suppkey").alias("sk"))
     text = lambda c: c.cast("string")
     desired = rows.where(n % 4 != 3).select("id_product", "semantic", text(F.col("sk") % 3).alias("hash"), text(F.col("sk") % 2).alias("stock_hash"))
     owned = rows.where(n % 3 != 2).select("id_product", "semantic", "id_variant", text(F.col("sk") % 2).alias("hash"), F.lit("0").alias("stock_hash"))
-    return reconcile.variants(desired, owned, rows.select("id_product", "semantic", "id_variant", (F.col("sk") % 4 != 0).alias("reusable")))
+    return reconcile.variants(desired, owned, actual)
 
 
 @query("SELECT l_orderkey AS id_product, coalesce(max(CASE WHEN l_returnflag = 'R' AND l_linenumber = 2 THEN l_linenumber END), min(l_linenumber)) AS default_id, count(CASE WHEN l_returnflag = 'R' AND l_linenumber = 2 THEN 1 END) > 1 AS is_error FROM lineitem GROUP BY 1")
