@@ -74,5 +74,5 @@ def with_hashes(products: DataFrame) -> DataFrame:
         "specific_price": digest(c("specific_prices_authoritative", False), c("specific_prices_adopt_existing", False), prices),
         "image": digest(c("images")),
     }
-    payload = [c(n) for n in sorted(have - {"images", "id_run"})]
+    payload = [c(n) for n in sorted(have - {"images", "id_run", "source_record", "byte_end"})]
     return products.withColumns({f"{k}_hash": v for k, v in hashes.items()} | {"payload_hash": digest(*payload)})
