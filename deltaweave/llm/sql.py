@@ -1 +1,44 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can express."""
+
+from __future__ import annotations
+
+from .urlfilter import BLOCK_GLOBS
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP1 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1"""
+
+
+def _pattern(glob: str) -> str:
+    out, k = "", 0
+    while k < len(glob):
+        if glob[k] == "*":
+            wide = glob[k : k + 2] == "**"
+            out += "[\\s\\S]*" if wide else "[^/]*"
+            k += 2 if wide else 1
+        else:
+            out += ("\\" + glob[k]) if not glob[k].isalnum() and glob[k] != "/" and glob[k] != "_" else glob[k]
+            k += 1
+    return out
+
+
+_BLOCKED = " OR ".join(f"regexp_full_match('.' || host || path, '{_pattern(g)}')" for g in BLOCK_GLOBS)
+OP2 = f"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, '.' || host AS h FROM u),
+j AS (SELECT page_id, host, path, CASE WHEN suffix(h, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN suffix(h, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+WHEN suffix(h, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN suffix(h, '.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN suffix(h, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM r)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN {_BLOCKED} THEN 'block' ELSE 'allow' END AS verdict FROM j"""
+
+OP3 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages), m AS (SELECT s, max(page_id) AS top FROM p GROUP BY 1)
+SELECT page_id, strlen(h) AS payload_bytes,
+array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(s, CAST((i // 8) * 10 + 1 AS INTEGER), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM p JOIN m USING (s)"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1, "op2_url_filter": OP2, "op3_warc": OP3}
