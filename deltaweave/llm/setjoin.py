@@ -8,7 +8,7 @@ texts link when den * |intersection| >= num * |union|.
    counts, the rare ones first. Two sets that link share an element of their prefixes, the first
    n - ceil(num / den * n) + 1 elements.
 2. Equal sets become one class, whose answers are those of its first document.
-3. The index: for each prefix element, the list of (size, position) of the sets that have it. Lists of one set go.
+3. The index: for each prefix element, the list of (size, position) of the sets that have it. Entries that fit no other by these go.
 4. Answers from similar sets: neighbours in the lists and then nearest sets by sketch, checked first and exactly, give
    components. A set's links within its component are settled by that, so only pairs across components remain.
 5. Lists that lie within one component are skipped whole. The others are cut into blocks of equal
@@ -172,33 +172,43 @@ def _may_link(terms: Terms, nx, px, ny, py):
 
 
 def _lists(postings: DataFrame, terms: Terms) -> DataFrame:
-    """Postings of lists of two sets or more, each with the set before it in its list if that may link."""
+    """Postings that sizes and positions allow a link with some other of their list, each with the nearest such set before it.
 
-    def decide(c, lo: int, hi: int):
+    That is seen for all short lists of a batch at once; entries of long lists all stay, with the set right before them."""
+
+    def decide(c):
         e, n, sid, pos = c
-        equal = e[1:] == e[:-1]
-        keep = np.zeros(len(e), bool)
-        keep[:-1] |= equal
-        keep[1:] |= equal
-        near = np.zeros(len(e), bool)
-        near[1:] = equal & (sid[1:] != sid[:-1]) & _may_link(terms, n[1:], pos[1:], n[:-1], pos[:-1])
-        before = np.concatenate([[0], sid[:-1]])
-        keep[:lo] = keep[hi:] = False
+        new = np.concatenate([[True], e[1:] != e[:-1]])
+        size = np.diff(np.append(np.flatnonzero(new), len(e)))
+        long = np.repeat(size > SHORT, size)
+        keep, before, near = long.copy(), np.zeros(len(e), np.int64), np.zeros(len(e), bool)
+        for d in range(1, min(SHORT, int(size.max()))):
+            x = np.flatnonzero((e[d:] == e[:-d]) & ~long[d:]) if d > 1 else np.flatnonzero(e[1:] == e[:-1])
+            if not len(x):
+                break
+            y = x + d
+            good = (sid[x] != sid[y]) & _may_link(terms, n[x], pos[x], n[y], pos[y])
+            x, y = x[good], y[good]
+            keep[x] = keep[y] = True
+            first = ~near[y]
+            before[y[first]], near[y[first]] = sid[x[first]], True
         return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in c), pa.array(before[keep], mask=~near[keep])], ["e", "n", "sid", "pos", "before"])
 
     def run(batches):
-        # Two rows are held over: one already given out, for what follows it, and one whose follower isn't known yet.
-        held, done = None, 0
+        held = None  # the last list so far, which may go on; a very long one is given out in parts, as all of it stays
         for batch in batches:
             if not batch.num_rows:
                 continue
             c = [x.to_numpy() for x in batch.columns]
             c = [np.concatenate(x) for x in zip(held, c, strict=True)] if held is not None else c
-            yield decide(c, done, len(c[0]) - 1)
-            done = min(1, len(c[0]) - 1)
-            held = [x[-2:] for x in c]
+            last = int(np.searchsorted(c[0] == c[0][-1], True)) if c[0][0] != c[0][-1] else 0
+            if last == 0 and len(c[0]) > 1 << 17:
+                last = len(c[0]) - 2 * SHORT
+            if last:
+                yield decide([x[:last] for x in c])
+            held = [x[last:] for x in c]
         if held is not None:
-            yield decide(held, done, len(held[0]))
+            yield decide(held)
 
     ordered = postings.repartition("e").sortWithinPartitions("e", "n", "sid")
     return ordered.mapInArrow(run, "e long, n long, sid long, pos long, before long")
