@@ -26,6 +26,7 @@ from .words import blocks, bounds, hashes, mix, text_bytes
 
 WINDOW, STRIDE, HIDDEN, WIDTH = 32, 16, 8, 16
 WORDS = GRAMS = 1 << 15
+PART = 1 << 14
 NGRAMS = (3, 4, 5)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -88,16 +89,20 @@ class Network:
         n = np.bincount(span, minlength=len(keys)).astype(np.float32)
         first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
         x = self.p["words"][(keys % np.uint64(WORDS)).astype(np.int64)]
-        if len(gram):
-            some = n > 0
-            sums = np.add.reduceat(self.p["grams"][gram], first[some], axis=0)
-            x[some] += sums / n[some, None]
+        for k in range(0, len(keys), PART):  # n-grams of so many words at once
+            a, b = first[k], first[k + PART] if k + PART < len(keys) else len(gram)
+            some = np.flatnonzero(n[k : k + PART]) + k
+            if len(some):
+                x[some] += np.add.reduceat(self.p["grams"][gram[a:b]], first[some] - a, axis=0) / n[some, None]
         return x
 
-    def forward(self, x: np.ndarray, words: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """Logits of windows: x are vectors of distinct words, words (windows, WINDOW) their numbers."""
+    def project(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.p["w"] + self.p["b"]
+
+    def forward(self, x: np.ndarray, words: np.ndarray, mask: np.ndarray, keep: bool = False, projected: bool = False):
+        """Logits of windows: x are vectors of distinct words (or what project() makes of them), words (windows, WINDOW) their numbers."""
         p, h, (n, steps) = self.p, HIDDEN, words.shape
-        g = x @ p["w"] + p["b"]
+        g = x if projected else self.project(x)
         states = np.zeros((steps, n, 2 * h), np.float32)
         saved: list = [[None] * steps, [None] * steps]
         whole = mask.all(axis=0)
@@ -184,7 +189,8 @@ class Texts:
         data, at = text_bytes(column)
         starts, ends, before = bounds(data, at)
         keys, first, which = np.unique(hashes(data, starts, ends, lower=True), return_index=True, return_inverse=True)
-        gram, span = grams(data, starts[first], ends[first]) if len(keys) else (np.empty(0, np.int64),) * 2
+        parts = [grams(data, starts[first[k : k + PART]], ends[first[k : k + PART]]) for k in range(0, len(keys), PART)]
+        gram, span = (np.concatenate([p[c] + (k * PART if c else 0) for k, p in enumerate(parts)] or [np.empty(0, np.int64)]) for c in range(2))
         begin, size, row = window_words(before)
         step = np.arange(WINDOW)
         mask = step < size[:, None]
@@ -192,8 +198,8 @@ class Texts:
         return Texts(keys, gram, span, words, mask, row, len(at) - 1)
 
     def logits(self, net: Network, most: int = 2048) -> np.ndarray:
-        x = net.inputs(self.keys, self.gram, self.span)
-        parts = [net.forward(x, self.words[k : k + most], self.mask[k : k + most]) for k in range(0, len(self.row), most)]
+        g = net.project(net.inputs(self.keys, self.gram, self.span))
+        parts = [net.forward(g, self.words[k : k + most], self.mask[k : k + most], projected=True) for k in range(0, len(self.row), most)]
         return np.concatenate(parts) if parts else np.empty(0, np.float32)
 
     def highest(self, window_scores: np.ndarray) -> np.ndarray:
