@@ -6,6 +6,10 @@ since for a query that is near the vector only the parallel part changes the sco
 centres it is nearest to, by tables of its products with all centres; the best by table are scored again on
 the original vectors in double precision.
 
+How many cells a query scans and how many of a cell are scored again is measured on the table itself: for HELD queries that the centres
+weren't fitted on, the true nearest are found among all vectors, then in which of the query's cells each lies and how many of that cell
+are before it by table. The least numbers that find TARGET of them are taken, never less than the rule for tables of unknown spread.
+
 Centres are fitted on a bounded sample, the SAMPLE vectors of smallest id hash; every vector is indexed. Of
 equal vectors only those with the k + 1 smallest ids can be among a query's k nearest, and only they
 are kept, so a vector that a third of the rows share costs no more than another. Large cells are dealt
@@ -30,7 +34,8 @@ from .shared import cut
 SAMPLE = 20_000
 #: Vectors a cell on average, cells at most, vectors and queries that one task takes from a cell.
 PER_CELL, MOST_CELLS, TASK_ROWS, TASK_QUERIES = 1000, 4096, 16_384, 8_192
-RERANK = 100
+#: What is scored again of a cell at least; queries held out to measure recall, and the share of their nearest to be found.
+RERANK, HELD, TARGET = 100, 256, 0.97
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
@@ -129,7 +134,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _search(model: Quantiser, queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
+def _search(model: Quantiser, queries: pa.Table, vectors: pa.Table, k: int, depth: int) -> pa.Table:
     """The k nearest of a cell's part for each query that scans it."""
     out = ([], [], [])
     if queries.num_rows and vectors.num_rows:
@@ -139,13 +144,11 @@ def _search(model: Quantiser, queries: pa.Table, vectors: pa.Table, k: int) -> p
         ids, raw, codes = ids[order], raw[order], codes[order]
         length = np.sqrt((raw * raw).sum(axis=1))
         names, q = queries.column("query_id").to_numpy(), _matrix(queries.column("embedding").combine_chunks()).astype(np.float64)
-        most = min(len(ids), RERANK)
+        most = min(len(ids), depth)
         for b in range(0, len(names), 64):
             part = q[b : b + 64]
             tables = model.tables(part)
-            scores = np.zeros((len(part), len(ids)), np.float32)
-            for s in range(codes.shape[1]):
-                scores += tables[:, s][:, codes[:, s]]
+            scores = _table_scores(tables, codes)
             best = np.argpartition(-scores, most - 1, axis=1)[:, :most] if most < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
             for i, name in enumerate(names[b : b + 64].tolist()):
                 c = np.sort(best[i])
@@ -165,21 +168,94 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("vec_id"), v.alias("embedding")).where("vec_id is not null and embedding is not null").where(finite & F.exists("embedding", lambda x: x != 0))
 
 
+def _true_nearest(indexed: DataFrame, names: np.ndarray, held: np.ndarray, k: int) -> list:
+    """(q, vec_id, score, cell, codes): the k nearest of each held query among all vectors; a task gives k of a query."""
+    q = unit(held)
+
+    def run(batches):
+        best = None
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                ids = part.column(0).to_numpy()
+                score = q @ unit(_matrix(part.column(1)).astype(np.float64)).T
+                score[names[:, None] == ids] = -2.0
+                for n, row in enumerate(score):
+                    top = np.lexsort((ids, -row))[:k] if len(ids) <= k else (t := np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]))[np.lexsort((ids[t], -row[t]))[:k]]
+                    new = [(float(row[j]), int(ids[j]), part.column(2)[int(j)].as_py(), part.column(3)[int(j)].as_py()) for j in top if row[j] > -2.0 and (best is None or len(best[n]) < k or row[j] >= best[n][-1][0])]
+                    best = best or [[] for _ in q]
+                    if new:
+                        best[n] = sorted(best[n] + new, key=lambda x: (-x[0], x[1]))[:k]
+        rows = [(n, x[1], x[0], x[2], x[3]) for n, b in enumerate(best or []) for x in b]
+        yield pa.RecordBatch.from_pylist([dict(zip(("q", "vec_id", "score", "cell", "codes"), r, strict=True)) for r in rows], pa.schema([("q", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64()), ("cell", pa.int32()), ("codes", pa.binary())]))
+
+    found = indexed.select("vec_id", "embedding", "cell", "codes").mapInArrow(run, "q int, vec_id long, score double, cell int, codes binary")
+    first = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r").collect()  # HELD times k rows
+
+
+def _table_scores(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    scores = np.zeros((len(tables), len(codes)), np.float32)
+    for s in range(codes.shape[1]):
+        scores += tables[:, s][:, codes[:, s]]
+    return scores
+
+
+def measured(model: Quantiser, indexed: DataFrame, names: np.ndarray, held: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each true neighbour of the held queries: how many cells its query has to scan, and how many of its cell to score again."""
+    truth = _true_nearest(indexed, names, held, k)
+    if not truth:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    tables, q, at = model.tables(held), np.array([r["q"] for r in truth]), np.array([r["cell"] for r in truth])
+    order = np.argsort(-(unit(held) @ model.cells.T), axis=1, kind="stable")
+    cells = np.argmax(order[q] == at[:, None], axis=1) + 1
+    own = np.array([_table_scores(tables[n : n + 1], np.frombuffer(r["codes"], np.uint8)[None])[0, 0] for n, r in zip(q, truth, strict=True)])
+
+    def before(batches):
+        total = np.zeros(len(q), np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                cell = part.column(0).to_numpy()
+                scores = _table_scores(tables, np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1))
+                for j in range(len(q)):
+                    inside = np.flatnonzero(cell == at[j])
+                    total[j] += (scores[q[j], inside] >= own[j]).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(q)), pa.int32()), pa.array(total)], ["j", "n"])
+
+    counts = indexed.select("cell", "codes").mapInArrow(before, "j int, n long").groupBy("j").agg(F.sum("n").alias("n")).collect()
+    depth = np.zeros(len(q), np.int64)
+    for r in counts:
+        depth[r["j"]] = r["n"]
+    return cells, depth
+
+
+def enough(cells: np.ndarray, depth: np.ndarray, target: float) -> tuple[int, int]:
+    """The least number of cells that leaves room for target, and the least depth that reaches it with them."""
+    if not len(cells):
+        return 0, 0
+    least = int(np.sort(cells)[min(len(cells), int(np.ceil(len(cells) * (1 + target) / 2))) - 1])
+    among = np.sort(depth[cells <= least])
+    return least, int(among[min(len(among), int(np.ceil(len(cells) * target))) - 1])
+
+
 def nearest(df: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", probes: int | None = None) -> DataFrame:
     """The k nearest of every row whose id is divisible by query_every, among all other rows."""
     spark = df.sparkSession
     rows = usable(df, id_col, vector_col)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE + HELD).collect()
     if not sample:
         return spark.createDataFrame([], SCHEMA)
     sizes = [len(r["embedding"]) for r in sample]
     dim = max(set(sizes), key=lambda n: (sizes.count(n), n)) if len(set(sizes)) > 1 else sizes[0]
+    sample = [r for r in sample if len(r["embedding"]) == dim]
+    kept = len(sample) - min(HELD, len(sample) // 10)
+    names, held = np.array([r["vec_id"] for r in sample[kept:]]), np.array([r["embedding"] for r in sample[kept:]], np.float64).reshape(-1, dim)
     rows = rows.where(F.size("embedding") == dim)
     total = rows.count()
     n_cells = int(min(MOST_CELLS, max(1, total // PER_CELL)))
-    fitted = Quantiser.fit(np.array([r["embedding"] for r in sample if len(r["embedding"]) == dim]), n_cells)
+    fitted = Quantiser.fit(np.array([r["embedding"] for r in sample[:kept]]), n_cells)
     model = spark.sparkContext.broadcast(fitted)  # MOST_CELLS vectors and 16 centres a subspace at most
-    probes = min(n_cells, probes or int(np.ceil(8 * np.sqrt(n_cells))))
 
     few = Window.partitionBy("embedding").orderBy("vec_id")
     candidates = rows.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).drop("r")
@@ -200,6 +276,8 @@ def nearest(df: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec
                 yield pa.RecordBatch.from_arrays([*part.columns, cells], ["query_id", "embedding", "cells"])
 
     indexed = cut(candidates.mapInArrow(index, "vec_id long, embedding array<float>, cell int, codes binary"), "index")
+    needed, depth = enough(*measured(fitted, indexed, names, held, k), TARGET)
+    probes, depth = min(n_cells, probes or max(needed, int(np.ceil(8 * np.sqrt(n_cells))))), max(depth, RERANK)
     asking = rows.where(F.pmod("vec_id", F.lit(query_every)) == 0)
     asked = cut(asking.mapInArrow(probe, "query_id long, embedding array<float>, cells array<int>"), "queries").withColumn("cell", F.explode("cells")).drop("cells")
 
@@ -212,7 +290,7 @@ def nearest(df: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec
     keys = ["cell", "part", "turn"]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _search(model.value, left, right, k)
+        return _search(model.value, left, right, k, depth)
 
     found = queries.select(*keys, "query_id", "embedding").groupBy(*keys).cogroup(vectors.select(*keys, "vec_id", "embedding", "codes").groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

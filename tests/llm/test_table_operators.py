@@ -164,6 +164,20 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.where("vec_id = 50")).count() == 0
 
 
+def test_nearest_neighbours_where_cells_are_pruned(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_CELL", 8)
+    monkeypatch.setattr(ann, "SAMPLE", 1000)  # most vectors have no part in the centres, as in a large table
+    x = np.random.default_rng(9).standard_normal((4000, 64)).astype(np.float32)  # 500 cells; the rule alone scans 179 of them
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = ann.unit(x.astype(float))
+    hits = 0
+    for g in ann.nearest(df).collect():
+        s = u @ u[g.query_id]
+        s[g.query_id] = -2
+        hits += g.score >= np.sort(s)[-5] - 1e-12
+    assert hits / (5 * 80) >= 0.95
+
+
 def test_secret_forest(spark):
     forest = secretscan.train(spark)
     test = secretscan.labelled_findings(600, seed=5)
