@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false positives; DataFrame functions only.
 
 Candidates are runs of 12 or more key characters in words that mix letters and digits, and values of 8 or more characters that are
-assigned to a password, token or key in the same word. A word yields every value that is assigned in it and every
+assigned to a password, token or key, in the same word or the words before. A word yields every value that is assigned in it and every
 run, each scored with its own part of the word and redacted by itself. Each has features of length, character classes and their transitions, distinct characters and entropy,
 coverage by dictionary words, signs of paths and addresses, and the two words before and the one after it.
 A forest, trained from labelled findings, says which are secrets. It is applied as array functions inside each row, so
@@ -94,7 +94,8 @@ def bind(value: Column, use) -> Column:
 def _in_words(words: Column) -> Column:
     at = lambda i: F.coalesce(F.get(words, i), F.lit(""))
     before = lambda i: F.concat_ws(" ", at(i - 2), at(i - 1))
-    some = lambda i: ((F.char_length(at(i)) >= 12) & at(i).rlike(CANDIDATE))
+    signed = lambda i: at(i - 1).rlike("[=:]>?[\"'`(<\\[{]*$") | at(i).rlike("^[=:]")
+    some = lambda i: ((F.char_length(at(i)) >= 12) & at(i).rlike(CANDIDATE)) | ((F.char_length(at(i)) >= 8) & signed(i) & F.concat_ws(" ", before(i), F.regexp_extract(at(i), "^[=:]*", 0)).rlike(KEYED))
     places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), some)
 
     def one(i: Column) -> Column:
@@ -113,7 +114,7 @@ def _in_word(w: Column) -> Column:
     whole = F.filter(F.array_union(F.array(_trimmed(word)), F.transform(F.regexp_extract_all(word, F.lit(QUOTED), 2), _bare)), lambda v: v.rlike(PARTS))
     parts = F.filter(F.split(word, PARTS), lambda p: F.char_length(p) >= 8)
     every = F.concat(found(word, whole), F.flatten(F.transform(parts, lambda p: found(p, _values(p)))))
-    return F.filter(every, lambda c: _may_be(c["word"], c["value"]))
+    return F.filter(every, lambda c: _may_be(c["word"], c["value"], c["before"]))
 
 
 def _bare(value: Column) -> Column:
@@ -133,9 +134,9 @@ def _values(part: Column) -> Column:
     return bind(bind(F.transform(F.regexp_extract_all(part, F.lit(ASSIGNED), 1), _bare), rest), runs)
 
 
-def _may_be(part: Column, value: Column) -> Column:
+def _may_be(part: Column, value: Column, before: Column) -> Column:
     mixed = part.rlike("[A-Za-z]") & part.rlike("[0-9]") & value.rlike(RUN)
-    keyed = F.split_part(part, value, F.lit(1)).rlike(KEYED)
+    keyed = F.concat_ws(" ", before, F.split_part(part, value, F.lit(1))).rlike(KEYED)
     return (F.char_length(value) >= 8) & (mixed | value.rlike("A[KS]IA[0-9A-Z]{16}") | keyed)
 
 

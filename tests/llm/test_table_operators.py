@@ -206,6 +206,22 @@ def test_every_value_of_a_word_is_redacted(spark):
     assert got == [t.replace(a, "[SECRET]").replace(b, "[SECRET]").replace(c, "[SECRET]") for t in texts]
 
 
+def test_values_in_words_of_their_own_are_candidates(spark):
+    forest = secretscan.train(spark)
+    r = random.Random(8)
+    pick = lambda: "".join(r.choice(string.ascii_letters + string.digits + "!#%^*-_") for _ in range(r.randint(9, 20)))
+    forms = ["password = {}", "db_password: {}", 'api_key = "{}"', "token => '{}'", "secret={}"]
+    lines = [(f"one two {forms[k % 5].format(v)} three", v) for k, v in enumerate(pick() for _ in range(300))] + [("x password = S3cr3t!pass y", "S3cr3t!pass"), ("x db_password: hunter2!x y", "hunter2!x")]
+    df = spark.createDataFrame(lines, "text string, value string")
+    got = df.select("value", secretscan.findings(F.col("text"), forest).alias("f")).collect()
+    assert np.mean([any(f.value == x.value for f in x.f or []) for x in got]) > 0.97
+    assert np.mean([any(f.value == x.value and f.score >= 0.5 for f in x.f or []) for x in got]) > 0.95
+    # Labelled lines without any candidate count as missed secrets.
+    test = secretscan.labelled_findings(600, seed=5)
+    found = spark.createDataFrame(test, "text string, label int").select("label", secretscan.findings(F.col("text"), forest).alias("f")).collect()
+    assert np.mean([any(f.score >= 0.5 for f in x.f or []) == (x.label == 1) for x in found]) > 0.95
+
+
 def plain_targets(sizes, weights=(5, 2, 1), cap=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: weights[k % 3] for k, s in enumerate(names)}
