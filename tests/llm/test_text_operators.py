@@ -145,6 +145,30 @@ def test_quality_verdicts(spark):
     assert [x.doc_id for x in quality.keep_good(df, quality_rules()).collect()] == [1]
 
 
+def test_bands_reject_mashing_and_symbols_and_leave_prose():
+    import pyarrow.parquet as pq
+
+    r = random.Random(11)
+    typed = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(4, 9))) for _ in range(200))
+    prose = ["The committee met on Tuesday to discuss the budget and agreed that further work was needed before any decision. ", "Der Ausschuss traf sich am Dienstag, um den Haushalt zu besprechen, und war sich einig, dass weitere Arbeit nötig sei. ", "Le comité s'est réuni mardi pour discuter du budget et a convenu que des travaux supplémentaires étaient nécessaires. ", "Komisja spotkała się we wtorek, aby omówić budżet, i zgodziła się, że przed podjęciem decyzji potrzebna jest praca. "]
+    junk = [typed("asdfghjkl"), typed("abcdefghijklmnopqrstuvwxyz"), typed("abcdefgh#$%&*|"), " ".join(bytes(r.randrange(256) for _ in range(9)).hex() for _ in range(100))]
+
+    def good(texts, langs):
+        m = quality.measure(pa.array(texts), quality_rules())
+        return quality.judge({k: v if k != "n_words" else v + 50 for k, v in m.items()} | {"n_repeat_words": 0 * m["n_words"]}, langs, quality_rules())[1]
+
+    assert not good(junk, [None] * 4).any() and not good(junk, ["en"] * 4).any()
+    assert good(prose, ["en", "de", "fr", "pl"]).all() and good(prose, [None] * 4).all()
+    # On labelled documents that pass the base rules: nearly all good ones stay, and the bands decide on the bad ones.
+    docs, labels = (pq.read_table(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    marks = dict(zip(labels["doc_id"].to_pylist(), labels["quality"].to_pylist(), strict=True))
+    docs = docs.slice(5000)
+    y = np.array([marks.get(d, -1) for d in docs["doc_id"].to_pylist()])
+    text = docs["text"].combine_chunks()
+    failed, kept = quality.judge(quality.measure(text, quality_rules()), docs["lang"].to_pylist(), quality_rules())
+    assert kept[~failed & (y == 1)].mean() > 0.99 and kept[~failed & (y == 0)].mean() < 0.8
+
+
 def test_toxicity_gradients():
     rng, net = np.random.default_rng(0), toxicity.Network.new()
     net.p = {k: v if k in ("words", "grams") else v.astype(float) for k, v in net.p.items()}
