@@ -32,6 +32,15 @@ def test_query(spark, db, name):
     assert got == sorted(tuple(shown(r[names.index(c)]) for c in cols) for r in found.fetchall())
 
 
+def test_label_collisions_compares_every_part(spark, monkeypatch):
+    from deltaweave.plans import delta_queries
+
+    seen = []
+    monkeypatch.setattr(delta_queries.delta, "label_collisions", lambda state, rows, keys, f=delta_queries.delta.label_collisions: seen.append(rows.count()) or f(state, rows, keys))
+    plans.QUERIES["label_collisions"](spark, SF)
+    assert seen == [spark.read.parquet(f"{SF}/part.parquet").count()]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
