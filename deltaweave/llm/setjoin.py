@@ -30,8 +30,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .shared import cut
@@ -378,6 +379,11 @@ def _across(live: DataFrame, terms: Terms, nearest: bool) -> DataFrame:
 
 def similar_documents(df: DataFrame, terms: Terms = Terms(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id that links reach."""
+    return _labelled(df, terms, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _labelled(df: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n, sid, root, component_id) of every row: its set's hash, and a hash that all sets of its component share."""
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     counts = df.sparkSession.sparkContext.broadcast(_frequencies(rows, terms.n))
     docs = cut(_documents(rows, terms, counts), "docs")
@@ -411,12 +417,33 @@ def similar_documents(df: DataFrame, terms: Terms = Terms(), id_col: str = "doc_
         labels = merged(labels, _verify(across(labels, nearest), rows, classes, terms))
     labelled = classes.select("sid", "first_id").join(labels, "sid")
     ids = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_set = labelled.join(ids, "root").select("sid", "component_id")
-    return docs.select("doc_id", "n", "sid").join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_set = labelled.join(ids, "root").select("sid", "root", "component_id")
+    return docs.select("doc_id", "n", "sid").join(by_set, "sid", "left").select("doc_id", "n", "sid", "root", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(df: DataFrame, terms: Terms = Terms(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df without those that links join to a smaller id; rows without an id stay."""
-    found = similar_documents(df, terms, id_col, text_col)
+    """The rows of df without those that links join to a smaller id; of a component's rows with its smallest id, one. Rows without
+    an id stay, and so do those without a word."""
+    found = cut(_labelled(df, terms, id_col, text_col).select("doc_id", "sid", "root", "component_id"), "found")
+    many = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id")), "many")
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
+    if many.isEmpty():
+        return df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
+    # An id of several rows doesn't say which of them goes: these are told by their sets.
+    gone = gone.union(many).distinct()
+    rest = df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
+    stay = found.join(many, F.col("doc_id") == F.col("gone_id")).where("component_id = doc_id and sid is not null").groupBy(F.col("doc_id").alias("stay_id"), "root").agg(F.min("sid").alias("stay_sid")).select("stay_id", "stay_sid")
+    place = df.columns.index(text_col)
+
+    def hashed(batches):
+        for batch in batches:
+            for i, j in blocks(batch.column(place)):
+                part = batch.slice(i, j - i)
+                own = [set_hash(s) if len(s) else None for s in shingle_sets(part.column(place), terms.n)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.int64())], [*part.schema.names, "own_sid"])
+
+    several = df.join(many, df[id_col] == many["gone_id"], "left_semi").mapInArrow(hashed, StructType([*df.schema.fields, StructField("own_sid", LongType())]))
+    several = cut(several, "several")
+    equal = Window.partitionBy(id_col, "own_sid").orderBy(F.lit(0))
+    one = several.join(stay, (F.col(id_col) == F.col("stay_id")) & (F.col("own_sid") == F.col("stay_sid")), "left_semi").withColumn("own_row", F.row_number().over(equal)).where("own_row = 1").drop("own_row")
+    return rest.union(one.drop("own_sid")).union(several.where("own_sid is null").drop("own_sid"))

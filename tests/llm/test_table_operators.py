@@ -69,6 +69,13 @@ def test_join_of_nothing_and_of_nulls(spark):
     assert sorted(x.doc_id or -1 for x in setjoin.keep_one(df, setjoin.Terms(3, 90, 100)).collect()) == [-1, -1, 7]
 
 
+def test_rows_that_share_an_id_are_told_by_their_sets(spark):
+    rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "other words than the rest"), (8, "x y z u v"), (8, "x y z u v"), (8, "X y z u v"), (9, "x y z u v"), (9, ""), (9, ""), (11, "only one row here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.text.lower()) for x in setjoin.keep_one(df, setjoin.Terms(3, 90, 100)).collect())
+    assert got == [(1, "a b c d e"), (5, "other words than the rest"), (8, "x y z u v"), (9, ""), (9, ""), (11, "only one row here")]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1400)] + [(5000, k) for k in range(5001, 5100)]
