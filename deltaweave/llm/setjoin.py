@@ -14,13 +14,16 @@ texts link when den * |intersection| >= num * |union|.
 5. Lists that lie within one component are skipped whole. The others are cut into blocks of equal
    size and position, and a block is skipped if what follows its position can't reach the overlap asked for. Within a list, a
    set's candidates are derived from those of the first set of its component: where a sketch of parities puts the first
-   set more than the limit and their own difference apart from another set, that set is out for this one too.
-6. What is left is checked exactly, on whole sets.
+   set more than the limit and their own difference apart from another set, that set is out for this one too. Long lists are
+   dealt to tiles: the entries of the component that has most of them against the others, and the others against each other.
+6. What is left is checked exactly. Where several sets of a component have the same candidate, the overlap of the component's first set
+   with it is computed once, from whole sets; those of the others follow from it by the elements in which they differ from the first.
 
-Only hashes of prefixes and the sets of candidate pairs are shuffled, and no pairs within a component are
+Only hashes of prefixes, sketches and the packed texts of candidate pairs are shuffled, and no pairs within a component are
 formed. Null ids stand for themselves (component null unless a linked document has an id); rows that share an id are documents of
-their own with the same label; ties don't arise; an empty table gives an empty result; other columns aren't read. Two
-different sets are taken for equal if their 64-bit hashes are.
+their own with the same label; ties don't arise; an empty table gives an empty result; a text of any length is a set like others; other
+columns aren't read. Two different sets are taken for equal if their 64-bit hashes are. Tables on the way are deleted as soon as
+what they are for is written; the labels stay in the shared folder, as the result reads them.
 """
 
 from __future__ import annotations
@@ -29,21 +32,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
-from .shared import cut
+from .shared import cut, drop
 from .words import blocks, bounds, hashes, mix, text_bytes, windows
 
 SKETCH_BITS, SLICE, FAN_IN = 20, 1 << 14, 512
 PARITY_BITS = 512
 FILTER_BITS = 1 << 23
-#: Lists longer than this are cut by size class.
-LONG = 1024
+#: Lists longer than this are cut by size class and into tiles of TILE entries a side.
+LONG = 512
+TILE = 256
 SHORT = 64
+#: An element that some task has this often is looked at as one whose list may be long.
+OFTEN = 8
+#: Bytes of packed texts that are unpacked at once.
+PACKED = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -87,11 +97,27 @@ def set_hash(s: np.ndarray) -> int:
     return int(mix(np.array([np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64) + np.uint64(len(s))], np.uint64)).astype(np.int64)[0])
 
 
+def _parity(s: np.ndarray, width: int) -> bytes:
+    return np.packbits((np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(bool)).tobytes()
+
+
 def parities(sets: list[np.ndarray]) -> list[bytes]:
     """PARITY_BITS bits a set: how many elements fall on each, odd or even. Each element that only one of two sets has flips
     one bit, so sketches differ in no more bits than sets in elements."""
-    width = np.uint64(PARITY_BITS - 1)
-    return [np.packbits((np.bincount((s & width).astype(np.int64), minlength=PARITY_BITS) & 1).astype(bool)).tobytes() for s in sets]
+    return [_parity(s, PARITY_BITS) for s in sets]
+
+
+def wide_parities(sets: list[np.ndarray]) -> list[bytes | None]:
+    """The same with as many bits as a set has elements, up to the next power of two; null where parities() has that many."""
+    return [_parity(s, 1 << (len(s) - 1).bit_length()) if len(s) > PARITY_BITS else None for s in sets]
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ; the wider one is folded, as its bits modulo the lesser width add up to those."""
+    x, y = (np.frombuffer(z, np.uint8) for z in (x, y))
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
 def _frequencies(rows: DataFrame, n: int) -> np.ndarray:
@@ -126,7 +152,7 @@ def _frequencies(rows: DataFrame, n: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-DOCS = "doc_id long, n long, sid long, prefix binary, bits binary"
+DOCS = "doc_id long, n long, sid long, prefix binary, bits binary, wide binary"
 
 
 def _documents(rows: DataFrame, terms: Terms, counts) -> DataFrame:
@@ -145,7 +171,7 @@ def _documents(rows: DataFrame, terms: Terms, counts) -> DataFrame:
                     c = order[(s & np.uint64(len(order) - 1)).astype(np.int64)]
                     prefix.append(s[np.lexsort((s, c))[:k]].astype("<u8").tobytes())
                     sid.append(set_hash(s))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(map(len, sets)), pa.int64()), pa.array(sid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(parities(sets), pa.binary())], ["doc_id", "n", "sid", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(map(len, sets)), pa.int64()), pa.array(sid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(parities(sets), pa.binary()), pa.array(wide_parities(sets), pa.binary())], ["doc_id", "n", "sid", "prefix", "bits", "wide"])
 
     return rows.mapInArrow(run, DOCS)
 
@@ -172,19 +198,43 @@ def _may_link(terms: Terms, nx, px, ny, py):
     return (np.minimum(nx, ny) * terms.den >= np.maximum(nx, ny) * terms.num) & (np.minimum(nx - px, ny - py) >= least)
 
 
-def _lists(postings: DataFrame, terms: Terms) -> DataFrame:
+def _often(postings: DataFrame) -> DataFrame:
+    """(e, length): elements that a task holds OFTEN times at least, and how often those tasks do. Longer lists than OFTEN times the number of
+    tasks are all among them, and no more than one in OFTEN entries is counted, without a shuffle of the others."""
+
+    def run(batches):
+        seen, held, total = [], [], 0
+        for batch in batches:
+            seen.append(batch.column(0).to_numpy())
+            total += len(seen[-1])
+            if total > 1 << 22:
+                held.append(np.unique(np.concatenate(seen), return_counts=True))
+                seen, total = [], 0
+        if seen:
+            held.append(np.unique(np.concatenate(seen), return_counts=True))
+        for e, n in held:  # a piece of a task counts as a task
+            e, n = e[n >= OFTEN], n[n >= OFTEN]
+            for k in range(0, len(e), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(e[k : k + 65536]), pa.array(n[k : k + 65536])], ["e", "n"])
+
+    return postings.select("e").mapInArrow(run, "e long, n long").groupBy("e").agg(F.sum("n").alias("length")).where(F.col("length") > LONG)
+
+
+def _lists(postings: DataFrame, often: DataFrame, terms: Terms) -> DataFrame:
     """Postings that sizes and positions allow a link with some other of their list, each with the nearest such set before it.
 
-    That is seen for all short lists of a batch at once; entries of long lists all stay, with the set right before them."""
+    That is seen for all short lists of a batch at once; entries of long lists all stay, with the set right before them. Lists known
+    to be long are dealt out in parts of about LONG entries, as nothing is decided on them."""
 
     def decide(c):
-        e, n, sid, pos = c
-        new = np.concatenate([[True], e[1:] != e[:-1]])
+        e, salt, n, sid, pos = c
+        new = np.concatenate([[True], (e[1:] != e[:-1]) | (salt[1:] != salt[:-1])])
+        number = np.cumsum(new)
         size = np.diff(np.append(np.flatnonzero(new), len(e)))
-        long = np.repeat(size > SHORT, size)
+        long = np.repeat(size > SHORT, size) | (salt >= 0)
         keep, before, near = long.copy(), np.zeros(len(e), np.int64), np.zeros(len(e), bool)
         for d in range(1, min(SHORT, int(size.max()))):
-            x = np.flatnonzero((e[d:] == e[:-d]) & ~long[d:]) if d > 1 else np.flatnonzero(e[1:] == e[:-1])
+            x = np.flatnonzero((number[d:] == number[:-d]) & ~long[d:]) if d > 1 else np.flatnonzero(number[1:] == number[:-1])
             if not len(x):
                 break
             y = x + d
@@ -193,7 +243,7 @@ def _lists(postings: DataFrame, terms: Terms) -> DataFrame:
             keep[x] = keep[y] = True
             first = ~near[y]
             before[y[first]], near[y[first]] = sid[x[first]], True
-        return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in c), pa.array(before[keep], mask=~near[keep])], ["e", "n", "sid", "pos", "before"])
+        return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (e, n, sid, pos)), pa.array(before[keep], mask=~near[keep])], ["e", "n", "sid", "pos", "before"])
 
     def run(batches):
         held = None  # the last list so far, which may go on; a very long one is given out in parts, as all of it stays
@@ -202,7 +252,8 @@ def _lists(postings: DataFrame, terms: Terms) -> DataFrame:
                 continue
             c = [x.to_numpy() for x in batch.columns]
             c = [np.concatenate(x) for x in zip(held, c, strict=True)] if held is not None else c
-            last = int(np.searchsorted(c[0] == c[0][-1], True)) if c[0][0] != c[0][-1] else 0
+            open_list = (c[0] == c[0][-1]) & (c[1] == c[1][-1])
+            last = int(np.searchsorted(open_list, True)) if not open_list[0] else 0
             if last == 0 and len(c[0]) > 1 << 17:
                 last = len(c[0]) - 2 * SHORT
             if last:
@@ -211,7 +262,9 @@ def _lists(postings: DataFrame, terms: Terms) -> DataFrame:
         if held is not None:
             yield decide(held)
 
-    ordered = postings.repartition("e").sortWithinPartitions("e", "n", "sid")
+    part = F.when(F.col("length").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("sid"), F.ceil(F.col("length") / LONG)))
+    dealt = postings.join(often, "e", "left").select("e", part.alias("salt"), "n", "sid", "pos")
+    ordered = dealt.repartition("e", "salt").sortWithinPartitions("e", "salt", "n", "sid")
     return ordered.mapInArrow(run, "e long, n long, sid long, pos long, before long")
 
 
@@ -222,25 +275,27 @@ def _close(pairs: DataFrame, classes: DataFrame, terms: Terms) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = [batch.column(k) for k in range(6)]
-            nx, ny = c[1].to_numpy(), c[4].to_numpy()
-            x, y = (np.frombuffer(b"".join(c[k].to_pylist()), np.uint64).reshape(len(nx), -1) for k in (2, 5))
+            c = [batch.column(k) for k in range(8)]
+            nx, ny = c[1].to_numpy(), c[5].to_numpy()
+            x, y = (np.frombuffer(b"".join(c[k].to_pylist()), np.uint64).reshape(len(nx), -1) for k in (2, 6))
             most = nx + ny - 2 * terms.overlap(nx, ny)
-            keep = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most)
-            yield pa.RecordBatch.from_arrays([c[0].filter(keep), c[3].filter(keep)], ["a", "b"])
+            keep = np.bitwise_count(x ^ y).sum(axis=1) <= most
+            for k in np.flatnonzero(keep & ((nx > PARITY_BITS) | (ny > PARITY_BITS))).tolist():
+                keep[k] = _apart(*((c[i + 1] if c[i + 1][k].is_valid else c[i])[k].as_py() for i in (2, 6))) <= most[k]
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([c[0].filter(keep), c[4].filter(keep)], ["a", "b"])
 
     distinct = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda s: classes.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-    both = distinct.join(side("a"), "a").join(side("b"), "b").select("a", "n_a", "bits_a", "b", "n_b", "bits_b")
+    side = lambda s: classes.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"), F.col("wide").alias(f"wide_{s}"))
+    both = distinct.join(side("a"), "a").join(side("b"), "b").select("a", "n_a", "bits_a", "wide_a", "b", "n_b", "bits_b", "wide_b")
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, terms: Terms) -> DataFrame:
-    """The pairs (a, b) that do link, by whole sets: those of the sets that pairs name are made again from their texts.
+def _packed(wanted: DataFrame, rows: DataFrame, terms: Terms) -> DataFrame:
+    """(sid, packed) of the sets wanted (sid, first_id): the compressed text of each one's first document, as a set made again from
+    its text takes a third of the room of its hashes.
 
-    A bit map of fixed size keeps most other sets from being shuffled; the join that follows lets no other through."""
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = cut(ids.join(classes, "sid").select("sid", "first_id"), "wanted")
+    A bit map of fixed size keeps most other texts from being shuffled; the join that follows lets no other through."""
     bit = F.pmod(F.xxhash64(F.coalesce("first_id", F.lit(0))), F.lit(FILTER_BITS))
     words = wanted.select(F.floor(bit / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("x")).groupBy("w").agg(F.bit_or("x").alias("x"))
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
@@ -250,40 +305,125 @@ def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, terms: Terms)
     marked = rows.withColumn("bit", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(FILTER_BITS)))
 
     def run(batches):
-        bits = bitmap.value
+        bits, pack = bitmap.value, zstandard.ZstdCompressor(level=3)
         for batch in batches:
             b = batch.column(2).to_numpy()
             chosen = batch.filter(pa.array((bits[b >> 6] >> (b & 63)) & 1 == 1))
             for i, j in blocks(chosen.column(1)):
-                sets = shingle_sets(chosen.column(1).slice(i, j - i), terms.n)
-                yield pa.RecordBatch.from_arrays([chosen.column(0).slice(i, j - i), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["doc_id", "sid", "items"])
+                texts = chosen.column(1).slice(i, j - i)
+                sets = shingle_sets(texts, terms.n)
+                packed = [pack.compress(t.encode()) if t else b"" for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([chosen.column(0).slice(i, j - i), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "sid", "packed"])
 
-    made = marked.mapInArrow(run, "doc_id long, sid long, items binary").alias("m")
+    made = marked.mapInArrow(run, "doc_id long, sid long, packed binary").alias("m")
     w = wanted.alias("w")
-    found = made.join(w, (F.col("m.sid") == F.col("w.sid")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("m.sid", "items").dropDuplicates(["sid"])
-    found = cut(found, "sets")
-    side = lambda s: found.select(F.col("sid").alias(s), F.col("items").alias(f"items_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b")
+    found = made.join(w, (F.col("m.sid") == F.col("w.sid")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    return cut(found.select("m.sid", "packed").groupBy("sid").agg(F.min("packed").alias("packed")), "sets")
+
+
+def _unpacked(columns: list[pa.Array], n: int):
+    """The sets of each row's packed texts, row by row; equal texts that follow each other are unpacked once."""
+    sizes = np.zeros(len(columns[0]) + 1, np.int64)
+    for c in columns:
+        sizes[1:] += pa.compute.binary_length(c).to_numpy(zero_copy_only=False)
+    before, i, total = np.cumsum(sizes), 0, len(columns[0])
+    while i < total:
+        j = max(i + 1, int(np.searchsorted(before, before[i] + PACKED, "right")) - 1)
+        made = {}
+        for c in columns:
+            for p in c.slice(i, j - i).to_pylist():
+                made.setdefault(p)
+        unpack = zstandard.ZstdDecompressor()
+        made = dict(zip(made, shingle_sets(pa.array([unpack.decompress(p).decode() for p in made], pa.large_string()), n), strict=True))
+        for k in range(i, j):
+            yield tuple(made[c[k].as_py()] for c in columns)
+        i = j
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted sets have in common."""
+    merged = np.sort(np.concatenate([x, y]), kind="stable")
+    return int((merged[1:] == merged[:-1]).sum())
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """(a, b, n_a, n_b, overlap) of pairs (a, b), by whole sets."""
 
-    def check(batches):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                got = np.array([(len(x), len(y), _shared(x, y)) for x, y in _unpacked([batch.column(2), batch.column(3)], n)], np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, k]) for k in range(3))], ["a", "b", "n_a", "n_b", "overlap"])
+
+    side = lambda s: sets.select(F.col("sid").alias(s), F.col("packed").alias(f"packed_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "packed_a", "packed_b")
+    return both.mapInArrow(run, "a long, b long, n_a long, n_b long, overlap long")
+
+
+def _derived(members: DataFrame, answers: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """(a, b, n_a, n_b, overlap) of members (a, root, b), from answers of the root: each element that a has beyond its root
+    and b has too adds one to the root's overlap with b, and each that a lacks and b has takes one away."""
+
+    def differ(batches):
+        for batch in batches:
+            if batch.num_rows:
+                more, less = [], []
+                for x, y in _unpacked([batch.column(1), batch.column(2)], n):
+                    more.append(np.setdiff1d(x, y, assume_unique=True).astype("<u8").tobytes())
+                    less.append(np.setdiff1d(y, x, assume_unique=True).astype("<u8").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(more, pa.binary()), pa.array(less, pa.binary())], ["a", "more", "less"])
+
+    side = lambda s: sets.select(F.col("sid").alias(s), F.col("packed").alias(f"packed_{s}"))
+    whole = members.select("a", "root").distinct().join(side("a"), "a").join(side("root"), "root").select("a", "packed_a", "packed_root")
+    diffs = cut(whole.mapInArrow(differ, "a long, more binary, less binary"), "diffs")
+
+    def update(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                merged = np.sort(np.concatenate([x, y]), kind="stable")
-                good.append(int((merged[1:] == merged[:-1]).sum()) >= terms.overlap(len(x), len(y)))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            if batch.num_rows:
+                n_a, n_b, out = [], [], []
+                size, told = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                for k, (y,) in enumerate(_unpacked([batch.column(6)], n)):
+                    more, less = (np.frombuffer(batch.column(c)[k].as_buffer(), "<u8") for c in (4, 5))
+                    n_a.append(size[k] + len(more) - len(less))
+                    n_b.append(len(y))
+                    out.append(told[k] + _shared(more, y) - _shared(less, y))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n_a, n_b, out))], ["a", "b", "n_a", "n_b", "overlap"])
+
+    known = answers.select(F.col("a").alias("root"), "b", F.col("n_a").alias("n_root"), F.col("overlap").alias("told"))
+    rows = members.join(known, ["root", "b"]).join(diffs, "a").join(side("b"), "b").select("a", "b", "n_root", "told", "more", "less", "packed_b")
+    out = cut(rows.mapInArrow(update, "a long, b long, n_a long, n_b long, overlap long"), "derived")
+    drop(diffs)
+    return out
+
 
-    return both.mapInArrow(check, "a long, b long")
+def _verify(pairs: DataFrame, labels: DataFrame, rows: DataFrame, classes: DataFrame, terms: Terms) -> DataFrame:
+    """The pairs (a, b) that do link. Where several sets of a component (labels: sid, root) have the same b, only the root is held
+    against b whole, whether it is among them or not, and the others' overlaps are derived."""
+    rooted = cut(pairs.join(labels.select(F.col("sid").alias("a"), "root"), "a"), "asked")
+    several = rooted.groupBy("root", "b").agg(F.count("*").alias("members")).where("members > 1").select("root", "b")
+    several = cut(several, "several")
+    plain = rooted.join(several, ["root", "b"], "left_anti").select("a", "b").union(several.select(F.col("root").alias("a"), "b"))
+    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).union(several.select(F.col("root").alias("sid"))).distinct()
+    wanted = cut(ids.join(classes, "sid").select("sid", "first_id"), "wanted")
+    sets = _packed(wanted, rows, terms)
+    answers = cut(_overlaps(plain, sets, terms.n), "answers")
+    derived = _derived(rooted.join(several, ["root", "b"], "left_semi").where("a <> root").select("a", "root", "b"), answers, sets, terms.n)
+    found = answers.union(derived).where(f"{terms.num + terms.den} * overlap >= {terms.num} * (n_a + n_b)").select("a", "b")
+    links = cut(found.distinct(), "links")
+    drop(rooted, several, wanted, sets, answers, derived)
+    return links
+
+
+#: Sides of an entry in a tile: the two that are held against each other, or a tile within which all are.
+LEFT, RIGHT, WITHIN = 0, 1, 2
 
 
 class _List:
     """One list of the index: its sets by size and position, and what may link across components."""
 
-    def __init__(self, terms: Terms, n, pos, sid, root, bits):
+    def __init__(self, terms: Terms, n, pos, sid, root, side, bits):
         order = np.lexsort((pos, n))
-        self.order, self.terms, self.n, self.pos, self.sid, self.root, self.bits = order, terms, n[order], pos[order], sid[order], root[order], bits[order]
+        self.order, self.terms, self.n, self.pos, self.sid, self.root, self.side, self.bits = order, terms, n[order], pos[order], sid[order], root[order], side[order], bits[order]
 
     def pairs(self):
         n, pos, terms = self.n, self.pos, self.terms
@@ -302,7 +442,7 @@ class _List:
                     good = _may_link(terms, n[x], pos[x], n[begin], pos[begin])
                     alive[k] = np.concatenate([np.arange(b, e) for b, e in zip(begin[good], end[good], strict=True)] or [np.empty(0, np.int64)])
                 y = alive[k]
-                y = y[self.root[y] > self.root[x]]
+                y = y[(self.root[y] > self.root[x]) & ((self.side[y] != self.side[x]) | (self.side[x] == WITHIN))]
                 most = n[x] + n[y] - 2 * terms.overlap(n[x], n[y])
                 y, most = (z[apart[y] <= most + apart[x]] for z in (y, most))
                 far = np.bitwise_count(self.bits[y] ^ self.bits[x]).sum(axis=1)
@@ -312,17 +452,17 @@ class _List:
 
 
 def _across(live: DataFrame, terms: Terms, nearest: bool) -> DataFrame:
-    """Candidate pairs of different components, from postings (key, n, sid, pos, root, bits) in order of key; if nearest, of each
-    list only the pair that is least apart for each set."""
+    """Candidate pairs of different components, from postings (e, part, tile, n, sid, pos, root, side, bits) in order of the first three; if
+    nearest, of each list only the pair that is least apart for each set."""
 
-    def short(key, n, pos, sid, root, bits):
+    def short(key, n, pos, root, side, bits):
         """All short lists at once: entries that stand d apart, for each d."""
         for d in range(1, SHORT):
             same = np.flatnonzero(key[d:] == key[:-d])
             if not len(same):
                 return
             x, y = same, same + d
-            good = (root[x] != root[y]) & _may_link(terms, n[x], pos[x], n[y], pos[y])
+            good = (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == WITHIN)) & _may_link(terms, n[x], pos[x], n[y], pos[y])
             x, y = x[good], y[good]
             most = n[x] + n[y] - 2 * terms.overlap(n[x], n[y])
             far = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
@@ -330,17 +470,17 @@ def _across(live: DataFrame, terms: Terms, nearest: bool) -> DataFrame:
             yield x[near], y[near], far[near]
 
     def work(c):
-        key, n, sid, pos, root, bits = c
+        key, n, sid, pos, root, side, bits = c
         edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
         size = np.diff(np.append(edge, len(key)))
         number = np.repeat(np.arange(len(edge)), size)
         small = np.flatnonzero(np.repeat(size <= SHORT, size))
-        for x, y, far in short(number[small], n[small], pos[small], sid[small], root[small], bits[small]):
+        for x, y, far in short(number[small], n[small], pos[small], root[small], side[small], bits[small]):
             yield small[x], small[y], far
         for a, s in zip(edge[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
             z = slice(a, a + s)
             if (root[z] != root[a]).any():
-                ordered = _List(terms, n[z], pos[z], sid[z], root[z], bits[z])
+                ordered = _List(terms, n[z], pos[z], sid[z], root[z], side[z], bits[z])
                 for x, y, far in ordered.pairs():
                     yield a + ordered.order[x], a + ordered.order[y], far
 
@@ -349,8 +489,8 @@ def _across(live: DataFrame, terms: Terms, nearest: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
-            c = [key, *(batch.column(k).to_numpy() for k in range(2, 6)), np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(batch.num_rows, -1)]
+            key = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            c = [key, *(batch.column(k).to_numpy() for k in range(3, 8)), np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(batch.num_rows, -1)]
             if held is not None:
                 c = [np.concatenate(x) for x in zip(held, c, strict=True)]
             last = int(np.flatnonzero((c[0] != c[0][-1]).any(axis=1))[-1]) + 1 if (c[0][0] != c[0][-1]).any() else 0
@@ -387,44 +527,75 @@ def _labelled(df: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFr
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     counts = df.sparkSession.sparkContext.broadcast(_frequencies(rows, terms.n))
     docs = cut(_documents(rows, terms, counts), "docs")
-    classes = cut(docs.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
-    live = cut(_lists(_postings(classes), terms), "lists")
+    classes = cut(docs.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "prefix", "bits", "wide"))), "classes")
+    postings = _postings(classes)
+    often = cut(_often(postings), "often")
+    live = cut(_lists(postings, often, terms), "lists")
+    drop(often)
 
     def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         """labels (sid, root) after links (a, b) between roots' sets."""
         side = lambda k: labels.select(F.col("sid").alias(k), F.col("root").alias(f"root_{k}"))
         edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        found = components(edges).select(F.col("node").alias("root"), F.col("root").alias("now"))
-        return cut(labels.join(found, "root", "left").select("sid", F.coalesce("now", "root").alias("root")), "labels")
+        forest = components(edges)
+        found = forest.select(F.col("node").alias("root"), F.col("root").alias("now"))
+        out = cut(labels.join(found, "root", "left").select("sid", F.coalesce("now", "root").alias("root")), "labels")
+        drop(labels, links, forest)
+        return out
 
     step = float(np.log(terms.den / terms.num))
     group = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("long")
-    parts = F.when(F.col("length") > LONG, F.array(group, group + 1)).otherwise(F.array(F.lit(-1).cast("long")))
 
     def across(labels: DataFrame, nearest: bool) -> DataFrame:
         rooted = cut(live.drop("before").join(labels, "sid"), "rooted")
-        mixed = rooted.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("length")).where("r0 <> r1").select("e", "length")
-        keyed = rooted.join(mixed, "e").withColumn("part", F.explode(parts))
-        keyed = keyed.join(classes.select("sid", "bits"), "sid").select("e", "part", "n", "sid", "pos", "root", "bits")
-        pairs = _across(keyed.repartition("e", "part").sortWithinPartitions("e", "part", "n", "pos"), terms, nearest)
-        return cut(pairs.distinct(), "across")
+        each = rooted.groupBy("e", "root").agg(F.count("*").alias("members"))
+        mixed = each.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("members").alias("length"), F.max(F.struct("members", "root")).alias("main")).where("r0 <> r1")
+        mixed = cut(mixed.select("e", "length", F.col("main.root").alias("main"), F.ceil(F.col("main.members") / TILE).alias("m"), F.ceil((F.col("length") - F.col("main.members")) / TILE).alias("k")), "mixed")
+        # A long list's entries of its main component go to m tiles, the others to k; a tile of one is held against each of the k.
+        is_main, own = F.col("root") == F.col("main"), F.pmod(F.xxhash64("sid"), F.when(F.col("root") == F.col("main"), F.col("m")).otherwise(F.col("k")))
+        others = F.sequence(F.lit(0).cast("long"), F.col("k") - 1)
+        tile = lambda x, y, side: F.struct((x * (F.col("m") + F.col("k")) + y).alias("tile"), F.lit(side).alias("side"))
+        mine = F.transform(others, lambda v: tile(own, F.col("m") + v, LEFT))
+        theirs = F.concat(
+            F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda u: tile(u, F.col("m") + own, RIGHT)),
+            F.transform(others, lambda v: F.when(v == own, tile(F.col("m") + own, F.col("m") + own, WITHIN)).when(v > own, tile(F.col("m") + own, F.col("m") + v, LEFT)).otherwise(tile(F.col("m") + v, F.col("m") + own, RIGHT))),
+        )
+        whole = F.array(F.struct(F.lit(-1).cast("long").alias("tile"), F.lit(WITHIN).alias("side")))
+        is_long = F.col("length") > LONG
+        dealt = rooted.join(mixed, "e").withColumn("part", F.explode(F.when(is_long, F.array(group, group + 1)).otherwise(F.array(F.lit(-1).cast("long")))))
+        dealt = dealt.withColumn("t", F.explode(F.when(~is_long, whole).when(is_main, mine).otherwise(theirs)))
+        keyed = dealt.join(classes.select("sid", "bits"), "sid").select("e", "part", "t.tile", "n", "sid", "pos", "root", F.col("t.side").cast("long").alias("side"), "bits")
+        pairs = _across(keyed.repartition("e", "part", "tile").sortWithinPartitions("e", "part", "tile", "n", "pos"), terms, nearest)
+        found = cut(pairs.distinct(), "across")
+        out = cut(_close(found, classes, terms), "close")
+        drop(rooted, mixed, found)
+        return out
+
+    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        out = merged(labels, _verify(pairs, labels, rows, classes, terms))
+        drop(pairs)
+        return out
 
     # Neighbours in lists come first, then for each set what is nearest to it in its lists, by sketch, of other components: as
     # many pairs as postings at most, and nearly every component is whole after them. Then every pair across components that is left.
     near = cut(_close(live.where("before is not null").select(F.col("sid").alias("a"), F.col("before").alias("b")), classes, terms), "near")
-    labels = merged(classes.select("sid", F.col("sid").alias("root")), _verify(near, rows, classes, terms))
+    labels = joined(cut(classes.select("sid", F.col("sid").alias("root")), "labels"), near)
     for nearest in (True, False):
-        labels = merged(labels, _verify(across(labels, nearest), rows, classes, terms))
-    labelled = classes.select("sid", "first_id").join(labels, "sid")
-    ids = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        labels = joined(labels, across(labels, nearest))
+    labelled = cut(classes.select("sid", "first_id").join(labels, "sid"), "labelled")
+    drop(classes, live, labels)
+    ids = cut(labelled.groupBy("root").agg(F.min("first_id").alias("component_id")), "ids")
     by_set = labelled.join(ids, "root").select("sid", "root", "component_id")
-    return docs.select("doc_id", "n", "sid").join(by_set, "sid", "left").select("doc_id", "n", "sid", "root", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = docs.select("doc_id", "n", "sid").join(by_set, "sid", "left").select("doc_id", "n", "sid", "root", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = cut(out, "found")
+    drop(docs, labelled, ids)
+    return out
 
 
 def keep_one(df: DataFrame, terms: Terms = Terms(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without those that links join to a smaller id; of a component's rows with its smallest id, one. Rows without
     an id stay, and so do those without a word."""
-    found = cut(_labelled(df, terms, id_col, text_col).select("doc_id", "sid", "root", "component_id"), "found")
+    found = _labelled(df, terms, id_col, text_col).select("doc_id", "sid", "root", "component_id")
     many = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id")), "many")
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     if many.isEmpty():

@@ -17,12 +17,15 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder as the session names it; a temporary one where it is unset (local runs)."""
+    """The cluster's shared folder as the session names it. Where it is unset, a temporary one in local runs; on a cluster, whose executors
+    couldn't see that, an error."""
     where = spark.conf.get(KEY, None)
     if not where:
         where = spark.sparkContext.getConf().get(KEY, None)
     if not where:
         own = spark.sparkContext.getCheckpointDir()
+        if own is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {KEY} to a folder that the driver and all executors share")
         if own is None:
             keep = tempfile.TemporaryDirectory(prefix="deltaweave-")
             atexit.register(keep.cleanup)
@@ -41,7 +44,15 @@ def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote; nothing may read them, or what was made from them without a cut, any more."""
+    for df in tables:
+        drop_folder(df.sparkSession, df.folder)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

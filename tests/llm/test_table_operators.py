@@ -8,6 +8,7 @@ import re
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,78 @@ def test_join_finds_every_link(spark, terms):
     assert got == plain_components(rows, terms)
 
 
+def test_long_lists_in_tiles_find_every_link(spark, monkeypatch):
+    for name, value in (("LONG", 6), ("TILE", 3), ("OFTEN", 2), ("SHORT", 4)):
+        monkeypatch.setattr(setjoin, name, value)
+    r = random.Random(12)
+    word = lambda: r.choice("abcdefg")
+    bases = [[word() for _ in range(r.randint(3, 14))] for _ in range(12)]
+    rows = []
+    for _ in range(160):
+        t = list(r.choice(bases))
+        if r.random() < 0.7:
+            t[r.randrange(len(t))] = word()
+        rows.append(" ".join(t))
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for terms in (setjoin.Terms(1, 70, 100), setjoin.Terms(2, 50, 100)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in setjoin.similar_documents(df, terms).collect()}
+        assert got == plain_components(rows, terms)
+
+
+def test_join_of_very_long_texts(spark):
+    r = random.Random(6)
+    long = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    near, far = list(long), list(long)
+    for t, n in ((near, 500), (far, 3000)):
+        for k in r.sample(range(len(t)), n):
+            t[k] = "x%d" % k
+    rows = list(enumerate(map(" ".join, [long, near, far, long[:59_000], long[:50_000], [f"w{r.randrange(5000)}" for _ in range(60_000)]])))
+    terms = setjoin.Terms(3, 90, 100)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in setjoin.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), terms).collect()}
+    want = plain_components(rows, terms)
+    assert got == want and sorted(c for _, c in want.values()) == [0, 0, 0, 2, 4, 5]
+
+
+def test_answers_of_similar_sets_follow_from_those_of_the_first(spark, monkeypatch):
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(9):
+        t = list(base)
+        for k in r.sample(range(60), r.randint(0, 8)):
+            t[k] = "y%d" % r.randrange(5)
+        texts.append(" ".join(t))
+    texts = list(dict.fromkeys(texts))
+    terms = setjoin.Terms(1, 85, 100)
+    sets = setjoin.shingle_sets(pa.array(texts), terms.n)
+    sid = [setjoin.set_hash(s) for s in sets]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = spark.createDataFrame([(s, k) for k, s in enumerate(sid)], "sid long, first_id long")
+    half = len(texts) // 2
+    labels = spark.createDataFrame([(s, sid[0] if k < half else s) for k, s in enumerate(sid)], "sid long, root long")
+    pairs = [(a, b) for a in range(1, half) for b in range(half, len(texts))]
+    seen = []
+    whole = setjoin._overlaps
+    monkeypatch.setattr(setjoin, "_overlaps", lambda p, *a: seen.extend((x.a, x.b) for x in p.collect()) or whole(p, *a))
+    links = setjoin._verify(spark.createDataFrame([(sid[a], sid[b]) for a, b in pairs], "a long, b long"), labels, rows, classes, terms)
+    assert sorted(seen) == sorted((sid[0], sid[b]) for b in range(half, len(texts)))  # only the first set is held against others whole
+    plain = [shingles(t, terms.n) for t in texts]
+    links_of = lambda s: {(sid[a], sid[b]) for a in s for b in range(half, len(texts)) if terms.den * len(plain[a] & plain[b]) >= terms.num * len(plain[a] | plain[b])}
+    got = {tuple(x) for x in links.collect()}
+    assert got == links_of(range(half)) and 0 < len(links_of(range(1, half))) < len(pairs)  # the first set's links are given too
+
+
+def test_sketches_of_any_width_bound_the_difference():
+    r = np.random.default_rng(1)
+    x, y = (np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (700, 9000))
+    y = np.unique(np.concatenate([x[:600], y]))
+    (a,), (b,) = setjoin.wide_parities([x]), setjoin.wide_parities([y])
+    assert len(a) == 128 and len(b) == 2048 and setjoin.wide_parities([x[:100]]) == [None]
+    assert setjoin._apart(a, b) == setjoin._apart(b, a) <= len(np.setxor1d(x, y)) and setjoin._apart(a, a) == 0
+    assert setjoin._apart(a, setjoin.parities([x])[0]) == 0
+
+
 def test_join_of_nothing_and_of_nulls(spark):
     df = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (9, "A b c d"), (9, "A b c d"), (None, None)], "doc_id long, text string")
     assert setjoin.similar_documents(df.limit(0)).count() == 0
