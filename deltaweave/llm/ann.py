@@ -8,7 +8,7 @@ the original vectors in double precision.
 
 How many cells a query scans and how many of a cell are scored again is measured on the table itself: for HELD queries that the centres
 weren't fitted on, the true nearest are found among all vectors, then in which of the query's cells each lies and how many of that cell
-are before it by table. The least numbers that find TARGET of them are taken, never less than the rule for tables of unknown spread.
+are before it by table. The least numbers that find TARGET of them are taken, twice as many cells for good measure.
 
 Centres are fitted on a bounded sample, the SAMPLE vectors of smallest id hash; every vector is indexed. Of
 equal vectors only those with the k + 1 smallest ids can be among a query's k nearest, and only they
@@ -16,8 +16,9 @@ are kept, so a vector that a third of the rows share costs no more than another.
 over several tasks, and so are many queries of one cell.
 
 Vectors that are null, zero, of another length than the sample's most frequent one, or hold a null, NaN or infinite part take no
-part, neither as queries nor as candidates; so do rows without an id. A repeated id is a candidate each time. An empty table, or one
-without a query, gives no rows. Ties go to the smaller id. Other columns aren't read.
+part, neither as queries nor as candidates; so do rows without an id. Rows that share an id are rows of their own: each is a query with
+its own ranks, and a candidate of the others. An empty table, or one without a query, gives no rows. Ties go to the smaller id. Other
+columns aren't read. Parts of any size count in full: vectors are multiplied by powers of two, which changes no digit of a cosine.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .shared import cut
+from .shared import cut, drop
 
 SAMPLE = 20_000
 #: Vectors a cell on average, cells at most, vectors and queries that one task takes from a cell.
@@ -39,7 +41,14 @@ RERANK, HELD, TARGET = 100, 256, 0.97
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision times the power of two that puts their largest part near 1, so that no square overflows or vanishes."""
+    x = np.asarray(x, np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if x.size else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -138,12 +147,12 @@ def _search(model: Quantiser, queries: pa.Table, vectors: pa.Table, k: int, dept
     """The k nearest of a cell's part for each query that scans it."""
     out = ([], [], [])
     if queries.num_rows and vectors.num_rows:
-        ids, raw = vectors.column("vec_id").to_numpy(), _matrix(vectors.column("embedding").combine_chunks()).astype(np.float64)
+        ids, own, raw = vectors.column("vec_id").to_numpy(), vectors.column("row").to_numpy(), scaled(_matrix(vectors.column("embedding").combine_chunks()))
         codes = np.frombuffer(b"".join(vectors.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-        order = np.argsort(ids, kind="stable")
-        ids, raw, codes = ids[order], raw[order], codes[order]
+        order = np.lexsort((own, ids))
+        ids, own, raw, codes = ids[order], own[order], raw[order], codes[order]
         length = np.sqrt((raw * raw).sum(axis=1))
-        names, q = queries.column("query_id").to_numpy(), _matrix(queries.column("embedding").combine_chunks()).astype(np.float64)
+        names, q = queries.column("query_row").to_numpy(), scaled(_matrix(queries.column("embedding").combine_chunks()))
         most = min(len(ids), depth)
         for b in range(0, len(names), 64):
             part = q[b : b + 64]
@@ -152,18 +161,19 @@ def _search(model: Quantiser, queries: pa.Table, vectors: pa.Table, k: int, dept
             best = np.argpartition(-scores, most - 1, axis=1)[:, :most] if most < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
             for i, name in enumerate(names[b : b + 64].tolist()):
                 c = np.sort(best[i])
-                c = c[ids[c] != name]
+                c = c[own[c] != name]
                 exact = (raw[c] * part[i]).sum(axis=1) / (length[c] * np.sqrt((part[i] * part[i]).sum()))
                 top = np.lexsort((ids[c], -exact))[:k]
                 out[0].append(np.full(len(top), name))
                 out[1].append(ids[c[top]])
                 out[2].append(exact[top])
     flat = [np.concatenate(x) if x else np.empty(0) for x in out]
-    return pa.table({"query_id": pa.array(flat[0].astype(np.int64)), "vec_id": pa.array(flat[1].astype(np.int64)), "score": pa.array(flat[2].astype(float))})
+    return pa.table({"query_row": pa.array(flat[0].astype(np.int64)), "vec_id": pa.array(flat[1].astype(np.int64)), "score": pa.array(flat[2].astype(float))})
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = df[vector_col].cast("array<float>")
+    kind = df.schema[vector_col].dataType
+    v = df[vector_col] if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else df[vector_col].cast("array<double>")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return df.select(df[id_col].cast("long").alias("vec_id"), v.alias("embedding")).where("vec_id is not null and embedding is not null").where(finite & F.exists("embedding", lambda x: x != 0))
 
@@ -178,8 +188,8 @@ def _true_nearest(indexed: DataFrame, names: np.ndarray, held: np.ndarray, k: in
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 ids = part.column(0).to_numpy()
-                score = q @ unit(_matrix(part.column(1)).astype(np.float64)).T
-                score[names[:, None] == ids] = -2.0
+                score = q @ unit(_matrix(part.column(1))).T
+                score[names[:, None] == part.column(4).to_numpy()] = -2.0
                 for n, row in enumerate(score):
                     top = np.lexsort((ids, -row))[:k] if len(ids) <= k else (t := np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]))[np.lexsort((ids[t], -row[t]))[:k]]
                     new = [(float(row[j]), int(ids[j]), part.column(2)[int(j)].as_py(), part.column(3)[int(j)].as_py()) for j in top if row[j] > -2.0 and (best is None or len(best[n]) < k or row[j] >= best[n][-1][0])]
@@ -189,7 +199,7 @@ def _true_nearest(indexed: DataFrame, names: np.ndarray, held: np.ndarray, k: in
         rows = [(n, x[1], x[0], x[2], x[3]) for n, b in enumerate(best or []) for x in b]
         yield pa.RecordBatch.from_pylist([dict(zip(("q", "vec_id", "score", "cell", "codes"), r, strict=True)) for r in rows], pa.schema([("q", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64()), ("cell", pa.int32()), ("codes", pa.binary())]))
 
-    found = indexed.select("vec_id", "embedding", "cell", "codes").mapInArrow(run, "q int, vec_id long, score double, cell int, codes binary")
+    found = indexed.select("vec_id", "embedding", "cell", "codes", "row").mapInArrow(run, "q int, vec_id long, score double, cell int, codes binary")
     first = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r").collect()  # HELD times k rows
 
@@ -242,56 +252,63 @@ def enough(cells: np.ndarray, depth: np.ndarray, target: float) -> tuple[int, in
 def nearest(df: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", probes: int | None = None) -> DataFrame:
     """The k nearest of every row whose id is divisible by query_every, among all other rows."""
     spark = df.sparkSession
-    rows = usable(df, id_col, vector_col)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE + HELD).collect()
+    # Each row gets a number of its own, once: the table is written with it.
+    rows = cut(usable(df, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE + HELD).collect()
     if not sample:
+        drop(rows)
         return spark.createDataFrame([], SCHEMA)
     sizes = [len(r["embedding"]) for r in sample]
     dim = max(set(sizes), key=lambda n: (sizes.count(n), n)) if len(set(sizes)) > 1 else sizes[0]
     sample = [r for r in sample if len(r["embedding"]) == dim]
     kept = len(sample) - min(HELD, len(sample) // 10)
-    names, held = np.array([r["vec_id"] for r in sample[kept:]]), np.array([r["embedding"] for r in sample[kept:]], np.float64).reshape(-1, dim)
-    rows = rows.where(F.size("embedding") == dim)
-    total = rows.count()
+    names, held = np.array([r["row"] for r in sample[kept:]], np.int64), np.array([r["embedding"] for r in sample[kept:]], np.float64).reshape(-1, dim)
+    fit = rows.where(F.size("embedding") == dim)
+    total = fit.count()
     n_cells = int(min(MOST_CELLS, max(1, total // PER_CELL)))
     fitted = Quantiser.fit(np.array([r["embedding"] for r in sample[:kept]]), n_cells)
     model = spark.sparkContext.broadcast(fitted)  # MOST_CELLS vectors and 16 centres a subspace at most
 
-    few = Window.partitionBy("embedding").orderBy("vec_id")
-    candidates = rows.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).drop("r")
+    few = Window.partitionBy("embedding").orderBy("vec_id", "row")
+    candidates = fit.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).select("vec_id", "embedding", "row")
+    vector = f"embedding {rows.schema['embedding'].dataType.simpleString()}"
 
     def index(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 cell, codes = model.value.encode(_matrix(part.column(1)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "cell", "codes"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "row", "cell", "codes"])
 
     def probe(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                near = np.argsort(-(unit(_matrix(part.column(1)).astype(np.float64)) @ model.value.cells.T), axis=1, kind="stable")[:, :probes]
+                near = np.argsort(-(unit(_matrix(part.column(1))) @ model.value.cells.T), axis=1, kind="stable")[:, :probes]
                 cells = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * probes, pa.int32()), pa.array(near.reshape(-1), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, cells], ["query_id", "embedding", "cells"])
+                yield pa.RecordBatch.from_arrays([*part.columns, cells], ["query_row", "embedding", "cells"])
 
-    indexed = cut(candidates.mapInArrow(index, "vec_id long, embedding array<float>, cell int, codes binary"), "index")
+    indexed = cut(candidates.mapInArrow(index, f"vec_id long, {vector}, row long, cell int, codes binary"), "index")
     needed, depth = enough(*measured(fitted, indexed, names, held, k), TARGET)
-    probes, depth = min(n_cells, probes or max(needed, int(np.ceil(8 * np.sqrt(n_cells))))), max(depth, RERANK)
-    asking = rows.where(F.pmod("vec_id", F.lit(query_every)) == 0)
-    asked = cut(asking.mapInArrow(probe, "query_id long, embedding array<float>, cells array<int>"), "queries").withColumn("cell", F.explode("cells")).drop("cells")
+    probes, depth = min(n_cells, probes or max(2 * needed, int(np.ceil(np.sqrt(n_cells))))), max(depth, RERANK)
+    asking = fit.where(F.pmod("vec_id", F.lit(query_every)) == 0)
+    asked = cut(asking.select("row", "embedding").mapInArrow(probe, f"query_row long, {vector}, cells array<int>"), "queries")
+    each = asked.withColumn("cell", F.explode("cells")).drop("cells")
 
     parts = indexed.groupBy("cell").agg(F.ceil(F.count("*") / TASK_ROWS).alias("parts"))
-    turns = asked.groupBy("cell").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("turns"))
+    turns = each.groupBy("cell").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("turns"))
     plan = cut(parts.join(turns, "cell"), "plan")  # MOST_CELLS rows at most
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     vectors = indexed.join(F.broadcast(plan), "cell").withColumn("part", deal("vec_id", "parts")).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
-    queries = asked.join(F.broadcast(plan), "cell").withColumn("turn", deal("query_id", "turns")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    queries = each.join(F.broadcast(plan), "cell").withColumn("turn", deal("query_row", "turns")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     keys = ["cell", "part", "turn"]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         return _search(model.value, left, right, k, depth)
 
-    found = queries.select(*keys, "query_id", "embedding").groupBy(*keys).cogroup(vectors.select(*keys, "vec_id", "embedding", "codes").groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = queries.select(*keys, "query_row", "embedding").groupBy(*keys).cogroup(vectors.select(*keys, "vec_id", "row", "embedding", "codes").groupBy(*keys)).applyInArrow(search, "query_row long, vec_id long, score double")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    out = cut(ranked.join(asking.select("row", F.col("vec_id").alias("query_id")), F.col("query_row") == F.col("row")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
+    drop(rows, indexed, asked, plan)
+    return out

@@ -138,8 +138,9 @@ def taken_by_document(m: Mix) -> DataFrame:
 def repeated(df: DataFrame, m: Mix, id_col: str = "doc_id") -> DataFrame:
     """The rows of df, each as many times as the mix takes its words, rounded to whole texts; rows it takes less than half of once go.
 
-    Rows that share an id are taken alike."""
+    Rows that share an id are taken alike; rows without words go; columns of any name stay as they are; an empty table stays empty."""
     each = taken_by_document(m).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken")).where("size > 0")
     copies = each.select(F.col("doc_id").alias("taken_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0")
-    joined = df.join(copies, df[id_col].eqNullSafe(copies["taken_id"])).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return joined.select(*(df[c] for c in df.columns))
+    rows = df.select(df[id_col].alias("own_id"), F.struct(*(df[c] for c in df.columns)).alias("own_row"))
+    joined = rows.join(copies, F.col("own_id").eqNullSafe(F.col("taken_id"))).select("own_row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return joined.select(*(F.col("own_row").getField(c).alias(c) for c in df.columns))

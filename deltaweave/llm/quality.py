@@ -30,6 +30,8 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 #: Scripts by the lead byte of their letters in UTF-8; the ASCII letters are Latin.
 SCRIPTS = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF], "cyrillic": [*range(0xD0, 0xD4)], "hebrew": [0xD6, 0xD7], "arabic": [*range(0xD8, 0xDC)], "indic": [0xE0], "cjk": [*range(0xE3, 0xEA)], "hangul": [*range(0xEA, 0xEE)]}
 OTHER = len(SCRIPTS)
+#: Distinct words whose tokens a worker holds: beyond that it starts anew, as junk gives ever new ones.
+MOST_WORDS = 400_000
 _SCRIPT_OF = np.full(256, OTHER, np.int8)
 for _k, _leads in enumerate(SCRIPTS.values()):
     _SCRIPT_OF[_leads] = _k
@@ -87,7 +89,7 @@ def _vocabularies(piece_model: str, byte_ranks: str, pattern: str):
         # The number of byte-level tokens goes before the pieces.
         return [[len(b), *p] for b, p in zip(map(coder.encode_ordinary, (" " + w for w in words)), pieces.encode(words, num_threads=1), strict=True)]
 
-    return SpanStore(by_text(encode)), fallback
+    return SpanStore(by_text(encode), MOST_WORDS), fallback
 
 
 def per_row(mask: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import string
 import uuid
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +31,14 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 KEY_WORDS = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key"
 OTHER_WORDS = "sha1|sha256|sha512|md5|checksum|digest|commit|hash|uuid|guid|revision|version|isbn|etag|integrity|order|invoice|build|serial|example|sample|placeholder"
-#: Words that human-made names and placeholders are made of.
-DICTIONARY = "the|and|for|your|here|key|token|secret|password|example|sample|test|dummy|change|replace|insert|value|name|user|admin|index|page|image|file|data|config|default|public|static|media|upload|download|release|build|version|main|master|service|client|server|string|object|array|error|report|final|draft|report|january|february|monday|sunday|xxxx|aaaa|1234|0000|abcd"
-#: A text without this has no candidate: a digit next to a letter, or a sign of assignment after a key word. Only digits and signs are looked at closely.
-SIGN = r"[0-9](?:[A-Za-z_+/\-]|(?<=[A-Za-z_+/\-][0-9]))|[=:](?<=(?i:" + KEY_WORDS + r")[\"']?[\x20\x09]{0,3}[=:])|A[KS]IA[0-9A-Z]{16}"
-CANDIDATE = r"(?:(?=.*[A-Za-z])(?=.*[0-9]).*[A-Za-z0-9+/_\-]{12,})|(?i:" + KEY_WORDS + r")[\"']?[=:][\"']?[^\s\"']{8,}|.*A[KS]IA[0-9A-Z]{16}"
+#: Words that placeholders are made of; the dictionary has these and the common words of a public vocabulary.
+PLACEHOLDERS = "the|and|for|your|here|key|token|secret|password|example|sample|test|dummy|change|replace|insert|value|name|user|admin|index|page|image|file|data|config|default|public|static|media|upload|download|release|build|version|main|master|service|client|server|string|object|array|error|report|final|draft|report|january|february|monday|sunday|xxxx|aaaa|1234|0000|abcd"
+DICTIONARY_WORDS, LEAST_LETTERS = 1500, 5
+#: A word that mixes letters and digits has two of them, or of the signs that keys have, side by side.
+MIXED = r"[0-9](?:[A-Za-z_+/\-]|(?<=[A-Za-z_+/\-][0-9]))"
+#: A text without this has no candidate, as no word of it can be one: whether a word is a candidate depends on it and the two words before alone.
+SIGN = MIXED + r"|[=:](?<=(?:(?i:" + KEY_WORDS + r")[\"']?|[\x20\x09-\x0D])[=:])|A[KS]IA[0-9A-Z]{16}"
+CANDIDATE = r"(?:(?=.*[A-Za-z])(?=.*" + MIXED + r").*[A-Za-z0-9+/_\-]{12,})|(?i:" + KEY_WORDS + r")[\"']?[=:][\"']?[^\s\"']{8,}|.*A[KS]IA[0-9A-Z]{16}"
 #: Where a word falls into parts with values of their own; the assigned values and quoted values of a part, and its runs of key characters.
 PARTS = r"[;,&?|]+"
 ASSIGNED = r"[=:][\"'`(<\[{]*([^\s\"'`<>\[\]{}();,=:&?|]+)"
@@ -47,6 +52,18 @@ FEATURES = ("length", "transitions", "distinct", "entropy", "digits", "upper", "
 FINDING = "array<struct<place:int,value:string,score:double>>"
 
 
+@lru_cache(maxsize=2)
+def dictionary(vocabulary: str | None = None) -> str:
+    """The dictionary as a pattern: PLACEHOLDERS and the DICTIONARY_WORDS first words of LEAST_LETTERS letters or more of a public byte-level
+    vocabulary (a file of the tokenizers library), longer ones first."""
+    import public_tokenizers
+
+    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.json")) as f:
+        tokens = json.load(f)["model"]["vocab"]
+    words = [t[1:] for t, _ in sorted(tokens.items(), key=lambda x: x[1]) if re.fullmatch("\u0120[a-z]{%d,}" % LEAST_LETTERS, t)]
+    return "|".join(sorted({*words[:DICTIONARY_WORDS], *PLACEHOLDERS.split("|")}, key=lambda w: (-len(w), w)))
+
+
 def _features(word: Column, value: Column, before: Column, after: Column) -> Column:
     """The features of one candidate as an array of doubles."""
     n = F.char_length(value).cast("double")
@@ -57,7 +74,7 @@ def _features(word: Column, value: Column, before: Column, after: Column) -> Col
     own = F.array_distinct(F.filter(F.split(value, ""), lambda c: c != ""))
     share = lambda c: (n - F.char_length(F.replace(value, c, F.lit("")))) / n
     entropy = F.aggregate(own, F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
-    covered = 1 - F.char_length(F.regexp_replace(F.lower(value), DICTIONARY, "")) / n
+    covered = 1 - F.char_length(F.regexp_replace(F.lower(value), dictionary(), "")) / n
     near = F.lower(F.concat_ws(" ", before, word, after))
     return F.array(
         n,
@@ -219,7 +236,7 @@ def labelled_findings(n: int = 3000, seed: int = 17) -> list[tuple[str, int]]:
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     alnum, hexes, lower = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_lowercase
     word = lambda: pick(lower, r.randint(2, 9))
-    named = lambda: r.choice(DICTIONARY.split("|")[:40])
+    named = lambda: r.choice(PLACEHOLDERS.split("|")[:40])
     assign = lambda k, v: r.choice([f"{k}={v}", f"{k} = \"{v}\"", f"{k}: {v}", f"{k}='{v}'", f"{k} = {v}"])
     key = lambda: r.choice(["password", "passwd", "secret", "token", "api_key", "access_key", "auth_token", "API_KEY", "db_password"])
     secrets = [

@@ -280,12 +280,13 @@ def held_out(c):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int) -> list:
-    """(text, toxic) of at most `bound` labelled rows of each class that aren't held out."""
+    """(doc_id, text, toxic) of at most `bound` labelled rows of each class that aren't held out. An id with several labels is toxic if one
+    of them says so; of an id with several texts the first by code point counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
-    known = known.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     some = F.broadcast(pick(0).union(pick(1)))  # 2 * bound rows at most
-    return docs.select("doc_id", "text").join(some, "doc_id").select("doc_id", "text", "toxic").where("text is not null").dropDuplicates(["doc_id"]).collect()
+    return docs.select("doc_id", "text").join(some, "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
 
 
 def score_texts(df: DataFrame, labels: DataFrame, bound: int = 800, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
