@@ -198,26 +198,30 @@ def _may_link(terms: Terms, nx, px, ny, py):
     return (np.minimum(nx, ny) * terms.den >= np.maximum(nx, ny) * terms.num) & (np.minimum(nx - px, ny - py) >= least)
 
 
-def _often(postings: DataFrame) -> DataFrame:
-    """(e, length): elements that a task holds OFTEN times at least, and how often those tasks do. Longer lists than OFTEN times the number of
-    tasks are all among them, and no more than one in OFTEN entries is counted, without a shuffle of the others."""
+def _often(classes: DataFrame) -> DataFrame:
+    """(e, length): prefix elements that a task holds OFTEN times at least, and how often those tasks do. Longer lists than OFTEN times the
+    number of tasks are all among them, and no more than one in OFTEN entries is counted, without a shuffle of the others."""
 
     def run(batches):
-        seen, held, total = [], [], 0
-        for batch in batches:
-            seen.append(batch.column(0).to_numpy())
-            total += len(seen[-1])
-            if total > 1 << 22:
-                held.append(np.unique(np.concatenate(seen), return_counts=True))
-                seen, total = [], 0
-        if seen:
-            held.append(np.unique(np.concatenate(seen), return_counts=True))
-        for e, n in held:  # a piece of a task counts as a task
+        held, total = [], 0
+
+        def often():  # a piece of a task counts as a task
+            e, n = np.unique(np.concatenate(held), return_counts=True)
             e, n = e[n >= OFTEN], n[n >= OFTEN]
             for k in range(0, len(e), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(e[k : k + 65536]), pa.array(n[k : k + 65536])], ["e", "n"])
 
-    return postings.select("e").mapInArrow(run, "e long, n long").groupBy("e").agg(F.sum("n").alias("length")).where(F.col("length") > LONG)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                held.append(np.frombuffer(b"".join(batch.column(0).slice(k, 2048).to_pylist()), "<i8"))
+                total += len(held[-1])
+                if total > 1 << 20:
+                    yield from often()
+                    held, total = [], 0
+        if held:
+            yield from often()
+
+    return classes.select("prefix").mapInArrow(run, "e long, n long").groupBy("e").agg(F.sum("n").alias("length")).where(F.col("length") > LONG)
 
 
 def _lists(postings: DataFrame, often: DataFrame, terms: Terms) -> DataFrame:
@@ -528,9 +532,8 @@ def _labelled(df: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFr
     counts = df.sparkSession.sparkContext.broadcast(_frequencies(rows, terms.n))
     docs = cut(_documents(rows, terms, counts), "docs")
     classes = cut(docs.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "prefix", "bits", "wide"))), "classes")
-    postings = _postings(classes)
-    often = cut(_often(postings), "often")
-    live = cut(_lists(postings, often, terms), "lists")
+    often = cut(_often(classes), "often")
+    live = cut(_lists(_postings(classes), often, terms), "lists")
     drop(often)
 
     def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
