@@ -18,6 +18,11 @@ def digest(*cols: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(cols))), {"ignoreNullFields": "false"}), 256)
 
 
+def joined_key(*cols: Column) -> Column:
+    """SHA-256 of the columns' texts with bars between."""
+    return F.sha2(F.concat_ws("|", *cols), 256)
+
+
 def token(attribute: Column) -> Column:
     """`id:<n>` of a known attribute, else `supplier:<group>:<value>`."""
     return F.when(attribute["id"].isNotNull(), F.concat(F.lit("id:"), attribute["id"].cast("string"))).otherwise(F.concat(F.lit("supplier:"), F.trim(F.coalesce(attribute["group_key"], F.lit(""))), F.lit(":"), F.trim(F.coalesce(attribute["value_key"], F.lit("")))))

@@ -7,31 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-#: A tree of more rows than this is not broadcast; its ancestors are found by paths instead.
-BROADCAST_ROWS = 200_000
+#: Bounds are below 2 to this power.
+LEVELS = 31
 
 
-def ancestors(leaves: DataFrame, tree: DataFrame, n_tree: int | None = None) -> DataFrame:
+def ancestors(leaves: DataFrame, tree: DataFrame) -> DataFrame:
     """(leaf_id, id_category) for every ancestor of a leaf, itself included, by nested-set bounds.
 
-    A tree known to be small is broadcast. A larger one is dealt by ranges of its bounds: each node goes to the cells that
-    its bounds cover, each leaf to its one cell, so the range join becomes an equal join.
+    A node whose bounds lie less than 2**k apart covers two blocks of 2**k numbers at most; a leaf lies in one block of each k. So the range join becomes an
+    equal join on k and block, whatever the size of the tree.
     """
-    n = tree.count() if n_tree is None else n_tree
-    nodes = tree.select(F.col("id_category").alias("id_category"), F.col("nleft").alias("p_left"), F.col("nright").alias("p_right"))
-    leaf = leaves.join(tree.select(F.col("id_category").alias("leaf_id"), "nleft"), "leaf_id")
+    width = F.col("p_right") - F.col("p_left") + 1
+    nodes = tree.select(F.col("id_category"), F.col("nleft").cast("long").alias("p_left"), F.col("nright").cast("long").alias("p_right"))
+    nodes = nodes.withColumn("k", F.ceil(F.log2(width.cast("double"))).cast("int"))
+    block = lambda c, k: F.call_function("shiftright", c, k)
+    nodes = nodes.withColumn("block", F.explode(F.array_distinct(F.array(block(F.col("p_left"), F.col("k")), block(F.col("p_right"), F.col("k"))))))
+    leaf = leaves.join(tree.select(F.col("id_category").alias("leaf_id"), F.col("nleft").cast("long").alias("nleft")), "leaf_id")
+    leaf = leaf.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("block", block(F.col("nleft"), F.col("k")))
     inside = (F.col("nleft") >= F.col("p_left")) & (F.col("nleft") <= F.col("p_right"))
-    if n <= BROADCAST_ROWS:
-        return leaf.join(F.broadcast(nodes), inside).select("leaf_id", "id_category")
-    width = max(1, int(n**0.5))
-    cells = nodes.withColumn("cell", F.explode(F.sequence(F.floor(F.col("p_left") / width), F.floor(F.col("p_right") / width))))
-    return leaf.withColumn("cell", F.floor(F.col("nleft") / width)).join(cells, "cell").where(inside).select("leaf_id", "id_category")
+    return leaf.join(nodes, ["k", "block"]).where(inside).select("leaf_id", "id_category")
 
 
-def membership(leaves: DataFrame, tree: DataFrame, root_id: int, n_tree: int | None = None) -> DataFrame:
-    """Per leaf, the sorted ids of its ancestors without the root."""
-    found = ancestors(leaves, tree, n_tree).where(F.col("id_category") != root_id)
-    return found.groupBy("leaf_id").agg(F.array_sort(F.collect_set("id_category")).alias("ids"))
+def membership(leaves: DataFrame, tree: DataFrame, root_id: int) -> DataFrame:
+    """Per leaf, the sorted ids of its ancestors without the root; error where the tree doesn't have the leaf."""
+    found = ancestors(leaves.select("leaf_id").distinct(), tree).where(F.col("id_category") != root_id)
+    ids = found.groupBy("leaf_id").agg(F.array_sort(F.collect_set("id_category")).alias("ids"))
+    known = tree.select(F.col("id_category").alias("leaf_id"), F.lit(True).alias("known"))
+    j = leaves.select("leaf_id").distinct().join(ids, "leaf_id", "left").join(known, "leaf_id", "left")
+    return j.select("leaf_id", F.coalesce("ids", F.array().cast(ids.schema["ids"].dataType)).alias("ids"), F.when(F.col("known").isNull(), F.lit("no such category")).alias("error"))
 
 
 def assembled_paths(rows: DataFrame) -> DataFrame:
@@ -63,6 +66,11 @@ def auto_map(rows: DataFrame, categories: DataFrame) -> DataFrame:
     return r.select("key", "path", outcome.alias("outcome"), new.alias("id_category"))
 
 
+def map_counts(mapped: DataFrame) -> DataFrame:
+    """Rows of each outcome of auto_map, 0 where there is none."""
+    return mapped.agg(*(F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("mapped", "kept", "skipped", "ambiguous", "missing")), F.count("*").alias("n"))
+
+
 def missing_prefixes(paths: DataFrame, known: DataFrame) -> DataFrame:
     """Every prefix of the paths that no known path equals in normal form: what has to be created, parents first."""
     parts = F.split(text.path_key(F.col("path")), " > ")

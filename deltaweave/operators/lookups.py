@@ -49,6 +49,31 @@ def interrupted(products: DataFrame, mapping: DataFrame, since: Column) -> DataF
     return free.groupBy("reference").agg(F.count("*").alias("n"), F.min("id_product").alias("id_product")).where("n = 1").drop("n")
 
 
+def recoverable(wanted: DataFrame, products: DataFrame, mapping: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Products that a create has left behind: wanted (reference, active, price, names, since), products (id_product, reference, active, price,
+    names, added_at) in the shop.
+
+    Of one reference, exactly one product without an owner that was added since then is recovered if it is as active, costs the same and bears one of the
+    names (the reference, if there is none); else the outcome says none, ambiguous, or what differs.
+    """
+    free = products.join(mapping.select("id_product").distinct(), "id_product", "left_anti").select("id_product", "reference", *(F.col(c).alias(f"p_{c}") for c in ("active", "price", "names", "added_at")))
+    named = F.filter(F.transform("names", lambda n: F.trim(n)), lambda n: n != "")
+    j = wanted.where(F.trim("reference") != "").join(free, "reference", "left")
+    fits = F.col("id_product").isNotNull() & (F.col("p_added_at") >= F.col("since"))
+    found = j.groupBy("reference").agg(F.count_if(fits).alias("n"), F.min_by(F.struct("id_product", "active", "price", F.when(F.size(named) > 0, named).otherwise(F.array("reference")).alias("names"), "p_active", "p_price", "p_names"), F.when(fits, F.col("id_product"))).alias("c"))
+    outcome = (
+        F.when(F.col("n") == 0, "none").when(F.col("n") > 1, "ambiguous").when(F.col("c.active") != F.col("c.p_active"), "differs: active")
+        .when(F.abs(F.col("c.price") - F.col("c.p_price")) > tolerance, "differs: price").when(~F.arrays_overlap("c.names", "c.p_names"), "differs: name").otherwise("recovered")
+    )
+    return found.select("reference", outcome.alias("outcome"), F.when(outcome == "recovered", F.col("c.id_product")).alias("id_product"))
+
+
+def shops_per_variant(variants: DataFrame, links: DataFrame) -> DataFrame:
+    """How many shops have each variant; one that a single shop has may be used again."""
+    counts = links.groupBy("id_variant").agg(F.count_distinct("id_shop").alias("n_shops"))
+    return variants.join(counts, "id_variant", "left").withColumn("n_shops", F.coalesce("n_shops", F.lit(0))).withColumn("reusable", F.col("n_shops") <= 1)
+
+
 def owner_drift(jobs: DataFrame, mapping: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Done jobs whose key has no owner now, or another product."""
     owners = mapping.select(*keys, F.col("id_product").alias("owner"))

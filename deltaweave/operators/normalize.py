@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-# Limits of collections, and of keys and references in bytes.
+# Limits of collections, of keys and references in bytes, and of a product as JSON.
 MOST_IMAGES, MOST_COMBINATIONS, MOST_KEY_BYTES, MOST_REFERENCE_BYTES, MOST_SIZE_BYTES = 1000, 5000, 191, 64, 128
+MOST_PRODUCT_BYTES = 2 * 1024 * 1024
 MOST_WARNING = 1000
 
 
@@ -59,9 +60,17 @@ def _combinations(p: Policy) -> Column:
             text.trim(o["available_in"]).alias("available_in"),
         )
 
-    # Byte order of the reference decides; the first is the default.
-    ordered = F.array_sort(F.transform("options", one))
-    return F.transform(ordered, lambda c, i: c.withField("default", i == 0))
+    return ordered_with_default(F.transform("options", one))
+
+
+def ordered_with_default(rows: Column) -> Column:
+    """Structs that begin with their reference: its byte order decides; the first is the default."""
+    return F.transform(F.array_sort(rows), lambda c, i: c.withField("default", i == 0))
+
+
+def warning_set(warnings: Column) -> Column:
+    """Distinct, in byte order, each of bounded length."""
+    return F.array_sort(F.array_distinct(F.transform(warnings, lambda w: F.substring(w, 1, MOST_WARNING))))
 
 
 def _warnings() -> Column:
@@ -71,8 +80,7 @@ def _warnings() -> Column:
     low = F.transform(F.filter(options, lambda o: text.stock_was_negative(o["stock"])), say("has a negative stock"))
     flagged = F.transform(F.coalesce(F.col("images"), F.array()), lambda u, i: F.when(~text.url_is_sound(u), F.concat(F.lit("image "), (i + 1).cast("string"), F.lit(" is not a usable address"))))
     images = F.filter(flagged, lambda w: w.isNotNull())
-    given = F.transform(F.coalesce(F.col("supplier_warnings"), F.array()), lambda w: F.substring(w, 1, MOST_WARNING))
-    return F.array_sort(F.array_distinct(F.concat(given, ean, low, images)))
+    return warning_set(F.concat(F.coalesce(F.col("supplier_warnings"), F.array().cast("array<string>")), ean, low, images))
 
 
 def reject_reason() -> Column:
@@ -87,6 +95,7 @@ def reject_reason() -> Column:
         .when(~text.bounded(F.col("name"), text.MAX_NAME), "name")
         .when(text.price(F.col("price")).isNull(), "price")
         .when(optional("brand", text.MAX_BRAND), "brand")
+        .when(F.octet_length(F.concat(F.lit("supplier-category:"), text.trim(F.coalesce(F.col("category.id"), F.lit(""))))) > MOST_KEY_BYTES, "category id length")
         .when((F.coalesce(text.trim(F.col("category_path")), F.lit("")) != "") & ~text.path_is_sound(F.col("category_path")), "category path")
         .when(optional("color", text.MAX_FEATURE), "color")
         .when(optional("type", text.MAX_FEATURE), "type")

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets of a pass over a page, and rows that need no finer ones.
+BUCKETS, FEW_ROWS = 32, 100_000
+
+
 def keyset_page(df: DataFrame, key: str, cursor, limit: int) -> DataFrame:
     rows = df if cursor is None else df.where(F.col(key) > cursor)
     return rows.orderBy(key).limit(limit)
@@ -14,17 +18,32 @@ def keyset_page(df: DataFrame, key: str, cursor, limit: int) -> DataFrame:
 def byte_budget_page(df: DataFrame, key: str, size: str, budget: int) -> DataFrame:
     """Rows in order while their sizes sum up to the budget at most, stopping once it is reached; at least one row.
 
-    A row's bucket by key gives sums of sums, so no task orders the whole table: only the buckets up to the budget do.
+    A row's bucket by key gives sums of sums. Rows beyond the bucket that reaches the budget go, and the rest is cut into finer
+    buckets until they are few or nothing goes any more, so no task orders more than a bucket of what lies before the budget.
     """
-    cuts = df.select(F.expr(f"percentile_approx({key}, array({', '.join(str(i / 32) for i in range(1, 32))}))").alias("c")).first()[0] or []
-    bucket = F.lit(0)
-    for c in sorted(set(cuts)):
-        bucket = bucket + F.when(F.col(key) > c, 1).otherwise(0)
-    rows = df.withColumn("bucket", bucket)
-    sums = rows.groupBy("bucket").agg(F.sum(size).alias("s"))
-    before = sums.select("bucket", (F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).alias("ahead")).where(F.col("ahead") < budget)
+    rows = df
+    while True:
+        cuts = rows.select(F.expr(f"percentile_approx({key}, array({', '.join(str(i / BUCKETS) for i in range(1, BUCKETS))}))").alias("c")).first()[0] or []
+        cuts = sorted(set(cuts))
+        bucket = F.lit(0)
+        for c in cuts:
+            bucket = bucket + F.when(F.col(key) > c, 1).otherwise(0)
+        sums = rows.groupBy(bucket.alias("bucket")).agg(F.sum(size).alias("s"), F.count("*").alias("n")).orderBy("bucket").collect()  # BUCKETS rows
+        total, kept, last = 0, 0, None
+        for r in sums:
+            total, kept, last = total + (r["s"] or 0), kept + r["n"], r["bucket"]
+            if total >= budget:
+                break
+        n = sum(r["n"] for r in sums)
+        if last is None or last >= len(cuts) or kept == n:
+            break
+        rows = rows.where(F.col(key) <= cuts[last])
+        if n <= FEW_ROWS:
+            break
+    marked = rows.withColumn("bucket", bucket)
+    before = marked.groupBy("bucket").agg(F.sum(size).alias("s")).select("bucket", (F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).alias("ahead"))
     w = Window.partitionBy("bucket").orderBy(key)
-    placed = rows.join(F.broadcast(before), "bucket").withColumn("upto", F.col("ahead") + F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = marked.join(F.broadcast(before), "bucket").withColumn("upto", F.col("ahead") + F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     first = (F.col("upto") == F.col(size)) & (F.col("ahead") == 0)
     return placed.where(first | ((F.col("upto") <= budget) & (F.col("upto") - F.col(size) < budget))).select(*df.columns, F.col("upto").alias("running"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,24 +39,132 @@ def orphan_decision(job_active: Column, referenced: Column, exists: Column, excl
     return F.when(job_active, "defer").when(referenced, "resolved").when(~exists, "resolved").when(exclusive, "delete").otherwise("defer")
 
 
-def within_budget(frames: Sequence[tuple[str, DataFrame, str]], budget: int) -> list[tuple[str, DataFrame]]:
-    """Deletions in order under one budget of rows: each takes what those before it have left."""
+@dataclass
+class Budget:
+    """Rows and seconds that a call may take; 0 is no limit. It stops at the first boundary after either is used up."""
+
+    rows: int = 0
+    seconds: float = 0
+    clock: Callable[[], float] = time.monotonic
+    spent: int = 0
+
+    def __post_init__(self):
+        self.began = self.clock()
+
+    @property
+    def reason(self) -> str | None:
+        if self.rows and self.spent >= self.rows:
+            return "rows"
+        return "time" if self.seconds and self.clock() - self.began >= self.seconds else None
+
+    def left(self, most: int) -> int:
+        return min(most, self.rows - self.spent) if self.rows else most
+
+
+def bounded_delete(df: DataFrame, doomed: DataFrame, key: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(what stays, keys that go): the first `limit` doomed rows by key."""
+    gone = doomed.select(key).distinct().orderBy(key).limit(limit)
+    return df.join(gone, key, "left_anti"), gone
+
+
+def within_budget(frames: Sequence[tuple[str, DataFrame, str]], budget: int | Budget, most: int = 50_000) -> list[tuple[str, DataFrame]]:
+    """Deletions in order under one budget of rows and time: each takes what those before it have left."""
+    budget = Budget(budget) if isinstance(budget, int) else budget
     out = []
     for name, df, key in frames:
-        rows = df.orderBy(key).limit(budget)
-        out.append((name, rows))
-        budget -= rows.count()
-        if budget <= 0:
+        if budget.reason:
             break
+        rows = df.orderBy(key).limit(budget.left(most))
+        out.append((name, rows))
+        budget.spent += rows.count()
     return out
 
 
+def collect_garbage(store, parts: Sequence[tuple[str, str, Callable[[DataFrame], DataFrame]]], budget: Budget, most: int = 50_000) -> dict:
+    """parts: (table of the store, its key, table to its doomed rows), in order. Each table is rewritten once, without the first doomed rows that the
+    budget leaves; the counts by table, and why it stopped before the end, if it did."""
+    out: dict = {}
+    for name, key, doomed in parts:
+        if budget.reason:
+            break
+        table = store.read(name)
+        rest, gone = bounded_delete(table, doomed(table), key, budget.left(most))
+        n = table.count()
+        version = store.write(name, rest) if gone.take(1) else None
+        out[name] = n - store.read(name, version).count() if version else 0
+        budget.spent += out[name]
+    return out | {"total": budget.spent, "stopped_by": budget.reason}
+
+
 def checks(*rows: tuple[str, DataFrame, str]) -> DataFrame:
     """One row of name and status for each condition that has to be empty."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.when(F.col("n") == 0, "ok").otherwise(severity).alias("status"), "n") for name, df, severity in rows]
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Conditions of the state, each with its severity and the rows that break it, as SQL conditions over what doctor() joins.
+UNIQUE = (("mapping", ("id_shop", "source", "source_key")), ("mapping", ("id_shop", "id_product")), ("image_state", ("id_shop", "source", "source_key", "url_hash")), ("image_queue", ("id_shop", "id_product", "url_hash")), ("product_queue", ("id_shop", "source", "source_key")), ("orphans", ("id_shop", "id_product", "id_image")), ("category_mapping", ("id_shop", "supplier_key")))
+OWNED = ("image_state", "image_queue", "orphans")
+QUEUES = ("image_queue", "product_queue")
+
+
+def doctor(tables: dict[str, DataFrame], now: Column) -> DataFrame:
+    """name, status (ok, warning, error), n: every check whose tables are given. Keys that rows share, rows whose owner or product is gone, jobs with a lapsed
+    lease, failed or out of attempts, unknown states, orphans that are due, runs that two stages claim, rows of unknown runs, categories
+    that are mapped nowhere, and hashes that are missing."""
+    found: list[tuple[str, DataFrame, str]] = []
+    has = lambda name, *cols: name in tables and set(cols) <= set(tables[name].columns)
+    for name, keys in UNIQUE:
+        if has(name, *keys):
+            found.append((f"{name}: one row a {'/'.join(keys)}", tables[name].groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "error"))
+    owner = ["id_shop", "source", "source_key", "id_product"]
+    for name in OWNED:
+        if has(name, *owner) and has("mapping", *owner):
+            found.append((f"{name}: has an owner", tables[name].join(tables["mapping"].select(*owner).distinct(), owner, "left_anti"), "warning" if name == "orphans" else "error"))
+    for name in ("mapping", "image_state"):
+        if has(name, "id_product") and has("products", "id_product"):
+            found.append((f"{name}: product exists", broken(tables[name].where("id_product is not null"), (tables["products"], ["id_product"])), "error"))
+    if has("image_state", "id_image") and has("images", "id_image", "id_product"):
+        found.append(("image_state: image exists", broken(tables["image_state"], (tables["images"], ["id_image", "id_product"])), "error"))
+    for name in QUEUES:
+        if has(name, "status", "locked_until", "attempts"):
+            q = tables[name]
+            found.append((f"{name}: leases hold", q.where((F.col("status") == "processing") & (F.col("locked_until").isNull() | (F.col("locked_until") < now))), "warning"))
+            found.append((f"{name}: no failed job", q.where("status = 'failed'"), "warning"))
+            found.append((f"{name}: known states", q.where(~F.col("status").isin("pending", "processing", "done", "failed")), "error"))
+            found.append((f"{name}: attempts are left", q.where("status = 'pending' and attempts >= 5"), "warning"))
+            if has("runs", "id_run") and has(name, "id_run"):
+                found.append((f"{name}: run is known", q.join(tables["runs"].select("id_run").distinct(), "id_run", "left_anti"), "warning"))
+    if has("orphans", "available_at"):
+        found.append(("orphans: none is due", tables["orphans"].where(F.col("available_at") <= now), "warning"))
+    if has("runs", "read", "import", "update", "remove"):
+        r = tables["runs"]
+        found.append(("runs: one stage at a time", r.where(sum((F.col(s) == "running").cast("int") for s in ("read", "import", "update", "remove")) > 1), "error"))
+        found.append(("runs: none has failed", r.where(reduce(lambda a, b: a | b, (F.col(s) == "failed" for s in ("read", "import", "update", "remove")))), "warning"))
+    if has("category_mapping", "id_category", "active"):
+        found.append(("category_mapping: active ones are mapped", tables["category_mapping"].where("active and id_category is null"), "warning"))
+    if "mapping" in tables:
+        for h in [c for c in tables["mapping"].columns if c.endswith("_hash")]:
+            found.append((f"mapping: {h} is there", tables["mapping"].where(F.col(h).isNull() | (F.col(h) == "")), "warning"))
+    return checks(*found)
+
+
+def status_report(id_shop: int, source: str, settings: dict, runs: DataFrame, errors: DataFrame, image_queue: DataFrame, product_queue: DataFrame, orphans: DataFrame) -> DataFrame:
+    """One row with one JSON text: settings, the latest run of the scope, counts of its errors and warnings, jobs by status, orphans."""
+    scope = (F.col("id_shop") == id_shop) & (F.col("source") == source)
+    mine = runs.where(scope)
+    run = mine.agg(F.max_by(F.struct(*mine.columns), "id_run").alias("run"))
+    latest = run.select(F.col("run.id_run").alias("id_run"))
+    warning = F.col("message").startswith("WARNING:")
+    issues = errors.join(F.broadcast(latest), "id_run").agg(F.count("*").alias("issues_total"), F.count_if(~warning).alias("errors_total"), F.count_if(warning).alias("warnings_total"))
+    counts = lambda q, name: q.where(scope).agg(F.struct(*(F.count_if(F.col("status") == s).alias(s) for s in ("pending", "processing", "done", "failed"))).alias(name))
+    parts = [run, issues, counts(image_queue, "images"), orphans.where(scope).agg(F.count("*").alias("image_orphans")), counts(product_queue, "new_products")]
+    one = reduce(lambda a, b: a.join(b, "one"), [p.withColumn("one", F.lit(1)) for p in parts])  # a row each
+    chosen = F.struct(*(F.lit(v).alias(k) for k, v in sorted(settings.items()))) if settings else F.lit(None).cast("string")
+    fields = [F.lit(id_shop).alias("shop_id"), F.lit(source).alias("source"), chosen.alias("effective_settings"), *(F.col(c) for c in ("run", "issues_total", "errors_total", "warnings_total", "images", "image_orphans", "new_products"))]
+    return one.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("report"))
+
+
 def progress(done: Column, stages: int = 4) -> Column:
     return F.floor(done * 100 / stages).cast("long")
 

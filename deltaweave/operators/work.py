@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_ATTEMPTS = 5
+MOST_ATTEMPTS, MOST_CLAIMED, MOST_ORPHAN_ATTEMPTS = 5, 500, 255
 IMAGE_LEASE, PRODUCT_LEASE = "INTERVAL 15 MINUTES", "INTERVAL 10 MINUTES"
 STATES = ("pending", "processing", "done", "failed")
 # Waits after each failed attempt and orphan check, and messages of failures that no retry mends.
@@ -29,7 +29,7 @@ PERMANENT = (
     "image redirect protocol downgrade blocked",
     "invalid image redirect location",
 )
-RETRIED_STATUS = (408, 425, 429)
+RETRIED_STATUS, STATUS_MESSAGE = (408, 425, 429), "image http failure"
 TRANSIENT_CODES = ("1205", "1213", "40001")
 TRANSIENT = ("deadlock found", "lock wait timeout exceeded", "sqlstate[40001]", "serialization failure", "try restarting transaction", "server has gone away", "lost connection")
 
@@ -48,16 +48,19 @@ def eligible(now: Column) -> Column:
     return (due | lapsed) & (F.col("attempts") < MOST_ATTEMPTS)
 
 
-def claim(queue: DataFrame, now: Column, limit: int, worker: str, lease: str = IMAGE_LEASE, most: int = 500) -> DataFrame:
+def claim(queue: DataFrame, now: Column, limit: int, worker: str, lease: str = IMAGE_LEASE, most: int = MOST_CLAIMED) -> DataFrame:
     """The claimed rows as they are afterwards: the first `limit` eligible by id."""
     rows = queue.where(eligible(now)).orderBy("id_queue").limit(min(limit, most))
     return rows.withColumns({"status": F.lit("processing"), "attempts": F.col("attempts") + 1, "locked_by": F.lit(worker), "locked_until": now + F.expr(lease), "updated_at": now})
 
 
 def claim_active_first(queue: DataFrame, owners: DataFrame, now: Column, limit: int, worker: str, keys: Sequence[str]) -> DataFrame:
-    """Rows with a live owner come first; only where there is none does a claim take others."""
-    live = claim(queue.join(owners, list(keys), "left_semi"), now, limit, worker)
-    return live if live.take(1) else claim(queue, now, limit, worker)
+    """Rows with a live owner come first; only where there is none does a claim take others. One ordered claim: live rows before the rest,
+    and of its at most `limit` rows those that are as live as the first."""
+    flagged = queue.join(owners.select(*keys).distinct().withColumn("live", F.lit(1)), list(keys), "left").withColumn("live", F.coalesce("live", F.lit(0)))
+    rows = flagged.where(eligible(now)).orderBy(F.desc("live"), "id_queue").limit(min(limit, MOST_CLAIMED))
+    first = rows.agg(F.max("live").alias("live"))
+    return claim(rows.join(F.broadcast(first), "live", "left_semi").drop("live").select(*queue.columns), now, limit, worker)  # one row
 
 
 def apply_changes(queue: DataFrame, changed: DataFrame, key: str = "id_queue") -> DataFrame:
@@ -145,12 +148,29 @@ def finish_generation(expected: Column) -> Column:
     return F.when(F.col("id_run") > expected, "pending").otherwise("done")
 
 
+def finish_product_jobs(queue: DataFrame, done: DataFrame, worker: str, now: Column) -> DataFrame:
+    """done: (id_queue, expected_run, id_product). A job that this worker still holds is done, unless a newer generation has come meanwhile: that starts over."""
+    j = queue.join(done.select("id_queue", "expected_run", F.col("id_product").alias("made")), "id_queue", "left")
+    mine = F.col("expected_run").isNotNull() & holds(worker, now)
+    status = finish_generation(F.col("expected_run"))
+    again = mine & (status == "pending")
+    put = lambda c, v: F.when(mine, v).otherwise(F.col(c))
+    changed = {"attempts": F.when(again, 0).otherwise(F.col("attempts")), "available_at": F.when(again, F.lit(None)).otherwise(F.col("available_at")), "updated_at": put("updated_at", now), "id_product": F.when(mine, F.coalesce("made", "id_product")).otherwise(F.col("id_product")), "locked_by": put("locked_by", F.lit(None)), "locked_until": put("locked_until", F.lit(None)), "status": put("status", status)}
+    return j.withColumns(changed).select(*queue.columns)
+
+
+def lease_counts(queue: DataFrame, now: Column, *by: str) -> DataFrame:
+    """Rows being worked on, and those of them whose lease has run out."""
+    busy = F.col("status") == "processing"
+    return queue.groupBy(*by).agg(F.count_if(busy).alias("n_processing"), F.count_if(busy & (F.col("locked_until") < now)).alias("n_lapsed"))
+
+
 def is_retryable(message: Column, invalid_argument: Column | None = None) -> Column:
     m = F.lower(message)
     permanent = F.lit(False) if invalid_argument is None else invalid_argument
     for p in PERMANENT:
         permanent = permanent | m.contains(p)
-    status = F.regexp_extract(m, r"image http failure\s+(\d{3})\b", 1).try_cast("int")
+    status = F.regexp_extract(m, STATUS_MESSAGE + r"\s+(\d{3})(?!\w)", 1).try_cast("int")
     by_status = F.when(status.isin(*RETRIED_STATUS) | (status >= 500), True).when((status >= 300) & (status < 500), False).otherwise(True)
     return F.when(permanent, False).otherwise(by_status)
 
@@ -165,7 +185,7 @@ def is_transient(code: Column, message: Column) -> Column:
 def defer_orphan(rows: DataFrame, now: Column) -> DataFrame:
     """One more attempt, and the next check after a wait that grows with the attempts made."""
     minutes = steps(F.col("attempts") + 1, ORPHAN_MINUTES, ORPHAN_REST)
-    return rows.withColumns({"available_at": now + F.make_dt_interval(mins=minutes), "attempts": F.col("attempts") + 1})
+    return rows.withColumns({"available_at": now + F.make_dt_interval(mins=minutes), "attempts": F.least(F.col("attempts") + 1, F.lit(MOST_ORPHAN_ATTEMPTS))})
 
 
 def histogram(queue: DataFrame, states: Sequence[str] = STATES) -> DataFrame:

@@ -1,4 +1,9 @@
-"""A full run: read a feed, take its snapshot, compare it with the state, guard, merge, and say what the shop has to do."""
+"""A full run: read a feed, take its snapshot, compare it with the state, guard, merge, and say what the shop has to do.
+
+The table of runs has a run's stages, the input and policy it began with, and the version of the mapping it set out from. A run that broke off
+goes on by its id: what it has read isn't read again, and what follows is worked out from that version anew, so it gives the same
+actions whether the break came before or after they were written.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import with_hashes
-from ..operators import delta
-from ..operators.normalize import Policy, normalize
-from ..operators.runs import Run, RunError, policy_hash
+from ..operators import delta, states
+from ..operators.normalize import MOST_PRODUCT_BYTES, Policy, normalize
+from ..operators.runs import RUNS, Run, RunError, policy_hash
 from ..schemas import HASHES, MAPPING
 from ..sources import feed
 from ..sources.store import Store
 
+EXTENSIONS = ("source", "mapper", "size_resolver", "writer", "policy")
+
 
 @dataclass
 class Outcome:
@@ -26,70 +33,166 @@ class Outcome:
 
 
 def extend(name: str, function=None, _registry: dict = {}):  # noqa: B006
-    """Register or look up a step of the caller's own: a mapper, size resolver, writer or policy, all DataFrame to DataFrame."""
+    """Register or look up a step of the caller's own; False takes it away.
+
+    source: (spark, path) to raw records; mapper: raw records to (products, rejects); size_resolver: products to products, before they are
+    hashed; policy: (source_key, id_product) of products out of the feed to their (id_product, action, value) rows; writer: (actions, run id), called
+    when a run's actions are written.
+    """
+    if name not in EXTENSIONS:
+        raise ValueError(f"no step {name}")
     if function is not None:
         _registry[name] = function
-    return _registry.get(name)
+    return _registry.get(name) or None
 
 
-def read_stage(spark: SparkSession, path: str, policy: Policy) -> tuple[DataFrame, DataFrame]:
-    spark.dataSource.register(feed.FeedSource)
-    raw = spark.read.format("feed_xml").option("path", path).load()
-    mapper = extend("mapper") or (lambda df: normalize(df, policy))
-    products, rejects = mapper(raw)
-    return with_hashes(products), rejects
+def read_stage(spark: SparkSession, path: str, policy: Policy, store: Store, run: Run) -> tuple[DataFrame, DataFrame]:
+    """(products with hashes, rejects). The input is parsed once: raw records are written, and both come from them."""
 
+    def own(spark: SparkSession, path: str) -> DataFrame:
+        spark.dataSource.register(feed.FeedSource)
+        return spark.read.format("feed_xml").option("path", path).load()
+
+    store.append_partition("raw", (extend("source") or own)(spark, path), "id_run", run.id_run)
+    products, rejects = (extend("mapper") or (lambda df: normalize(df, policy)))(store.partition("raw", "id_run", run.id_run))
+    products = (extend("size_resolver") or (lambda df: df))(products)
+    size = F.octet_length(F.to_json(F.struct(*products.columns)))
+    large = products.where(size > MOST_PRODUCT_BYTES)
+    if {"source_record", "source_key"} <= set(products.columns):
+        rejects = rejects.unionByName(large.select("source_record", F.col("source_key").alias("id"), F.lit("product is too large").alias("reason"), F.lit(False).alias("skipped")))
+    return with_hashes(products.where(size <= MOST_PRODUCT_BYTES)), rejects
+
+
+def numbered(spark: SparkSession, store: Store, keys: DataFrame, run: int, start: int) -> DataFrame:
+    """(source_key, id_product): each key gets a number of its own from start + 1 on, without a task that sees them all: rows are numbered within their
+    part of a written table, and parts go on where those before them end."""
+    place = F.monotonically_increasing_id()
+    store.append_partition("numbered", keys.select("source_key").distinct().select("source_key", place.alias("place")), "id_run", run)
+    rows = store.partition("numbered", "id_run", run).select("source_key", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("row"))
+    sizes = [(r["part"], r["n"]) for r in rows.groupBy("part").agg((F.max("row") + 1).alias("n")).orderBy("part").collect()]  # a row for each part
+    offsets, at = [], start
+    for part, n in sizes:
+        offsets.append((part, at))
+        at += n
+    table = spark.createDataFrame(offsets, "part long, offset long")
+    return rows.join(F.broadcast(table), "part").select("source_key", (F.col("offset") + F.col("row") + 1).alias("id_product"))
+
+
+def stored_run(store: Store, id_run: int, id_shop: int, source: str) -> dict | None:
+    if not store.exists("runs"):
+        return None
+    found = store.read("runs").where((F.col("id_run") == id_run) & (F.col("id_shop") == id_shop) & (F.col("source") == source)).first()
+    return found and found.asDict()
 
-def run_feed(spark: SparkSession, path: str, store: Store, run: Run, policy: Policy = Policy(), id_shop: int = 1, source: str = "feed", most_removed: int = 25, dry_run: bool = False) -> Outcome:
-    """All four stages. Raises RunError at the first gate that is closed; the state's version moves only at the end."""
-    run.resume(feed.fingerprint(path), policy_hash(policy.language_id, policy.features_auto_create, policy.size_group))
-    run.start("read")
-    try:
-        products, rejects = read_stage(spark, path, policy)
-        store.append_partition("snapshot", products, "id_run", run.id_run)
-        snap = spark.read.parquet(f"{store.folder}/snapshot/id_run={run.id_run}")
-        counts = snap.agg(F.count("*"), F.count_distinct("source_key")).first()
-        bad = rejects.where("not skipped").count()
-        before = store.read("runs").where(F.col("id_run") < run.id_run).orderBy(F.desc("id_run")).select("n_valid").first() if store.exists("runs") else None
-        gate = spark.range(1).select(delta.read_gate(*(F.lit(n) for n in (counts[0], bad, counts[0] - counts[1], before[0] if before else 0)))).first()[0]
-        if gate != "ok":
-            raise RunError(f"read: {gate}")
-    except Exception as e:
-        run.fail("read", str(e))
-        raise
-    run.n_valid = counts[0]
-    run.move("read", "completed")
 
-    mapping = store.read("mapping") if store.exists("mapping") else spark.createDataFrame([], MAPPING)
+def save_run(spark: SparkSession, store: Store, run: Run, id_shop: int, source: str) -> None:
+    """A row a run: the table is small, and each save is a version of it."""
+    row = spark.createDataFrame([run.row(id_shop, source)], RUNS)
+    old = store.read("runs").join(row.select("id_run", "id_shop", "source"), ["id_run", "id_shop", "source"], "left_anti").select(*row.columns) if store.exists("runs") else row.limit(0)
+    store.write("runs", old.unionByName(row).coalesce(1))
+
+
+def newest_read(store: Store, id_shop: int, source: str) -> int:
+    """The latest run of the scope that has completed reading; 0 if there is none."""
+    if not store.exists("runs"):
+        return 0
+    read = store.read("runs").where((F.col("id_shop") == id_shop) & (F.col("source") == source) & (F.col("read") == "completed"))
+    return read.agg(F.max("id_run")).first()[0] or 0
+
+
+def run_feed(spark: SparkSession, path: str, store: Store, run: Run, policy: Policy = Policy(), id_shop: int = 1, source: str = "feed", most_removed: int = 25, dry_run: bool = False, products: DataFrame | None = None, linked: DataFrame | None = None) -> Outcome:
+    """All four stages. Raises RunError at the first gate that is closed; the state's version moves only at the end.
+
+    products, linked: (id_product) of the shop's products and of those linked to it, where known: rows whose product is gone are created again,
+    those whose link is gone are linked again.
+    """
+    done = run.resumed(stored_run(store, run.id_run, id_shop, source))
+    run.__dict__.update(done.__dict__)
+    rules = policy_hash(policy.language_id, policy.features_auto_create, policy.size_group)
+    run.resume(feed.fingerprint(path), rules)
+    now = F.current_timestamp()
+    save = lambda: save_run(spark, store, run, id_shop, source)
+    newest = newest_read(store, id_shop, source)
+    if newest > run.id_run:
+        raise RunError(f"run {newest} has completed reading")
+
+    if run.stages["read"] != "completed":
+        run.start("read", newest)
+        run.base_version = store.version("mapping")
+        try:
+            made, rejects = read_stage(spark, path, policy, store, run)
+            store.append_partition("snapshot", made, "id_run", run.id_run)
+            store.append_partition("rejects", rejects, "id_run", run.id_run)
+            snap, rejects = store.partition("snapshot", "id_run", run.id_run), store.partition("rejects", "id_run", run.id_run)
+            told = rejects.select(F.col("id").alias("source_key"), F.concat(F.when(F.col("skipped"), "SKIPPED: ").otherwise(""), "reason").alias("message"))
+            if "supplier_warnings" in snap.columns:
+                told = told.unionByName(snap.select("source_key", F.explode("supplier_warnings").alias("w")).select("source_key", F.concat(F.lit("WARNING: "), "w").alias("message")))
+            store.append_partition("errors", states.error_rows(told, run.id_run, "read", now).drop("id_run"), "id_run", run.id_run)
+            counts = snap.agg(F.count("*"), F.count_distinct("source_key")).first()
+            bad = rejects.where("not skipped").count()
+            before = store.read("runs").where((F.col("id_run") < run.id_run) & (F.col("id_shop") == id_shop) & (F.col("source") == source) & (F.col("read") == "completed")).orderBy(F.desc("id_run")).select("n_valid").first() if store.exists("runs") else None
+            gate = spark.range(1).select(delta.read_gate(*(F.lit(n) for n in (counts[0], bad, counts[0] - counts[1], before[0] if before else 0)))).first()[0]
+            if gate != "ok":
+                raise RunError(f"read: {gate}")
+            run.resume(feed.fingerprint(path), rules)  # the input is still the one that was read
+        except Exception as e:
+            run.fail("read", str(e))
+            save()
+            raise
+        run.n_valid = counts[0]
+        run.move("read", "completed")
+        if not dry_run:
+            save()
+    snap, rejects = store.partition("snapshot", "id_run", run.id_run), store.partition("rejects", "id_run", run.id_run)
+
+    mapping = store.read("mapping", run.base_version) if run.base_version > 0 else spark.createDataFrame([], MAPPING)
     mine = mapping.where((F.col("id_shop") == id_shop) & (F.col("source") == source))
     skipped = rejects.where("skipped").select(F.col("id").alias("source_key"))
     mine = delta.touch_seen(mine, skipped, run.id_run)
-    new, changed, gone = delta.new_rows(snap, mine), delta.changed_rows(snap, mine), delta.removed_rows(mine, snap, run.id_run)
+    new, changed, gone = delta.new_rows(snap, mine), delta.changed_rows(snap, mine, products, linked), delta.removed_rows(mine, snap, run.id_run)
     n_mapped = mine.where("not out_of_feed").count()
     n_new, n_changed, n_removed = new.count(), changed.count(), gone.count()
     closed = n_mapped and n_removed * 100 > n_mapped * max(1, min(100, most_removed))
-    actions = new.select("source_key", F.lit("create").alias("action"), F.array().cast("array<string>").alias("domains"), F.lit(True).alias("image_changed"))
-    actions = actions.unionByName(changed.select("source_key", "action", "domains", "image_changed")).unionByName(gone.select("source_key", F.lit("disable").alias("action"), F.array().cast("array<string>").alias("domains"), F.lit(False).alias("image_changed")))
-    if dry_run or closed:
-        if closed and not dry_run:
-            run.fail("remove", "too many products would be removed")
-            raise RunError(f"remove: {n_removed} of {n_mapped} products would be removed")
+    none = F.array().cast("array<string>")
+    actions = new.select("source_key", F.lit("create").alias("action"), none.alias("domains"), F.lit(True).alias("image_changed"))
+    actions = actions.unionByName(changed.select("source_key", "action", "domains", "image_changed")).unionByName(gone.select("source_key", F.lit("disable").alias("action"), none.alias("domains"), F.lit(False).alias("image_changed")))
+    if dry_run:
         return Outcome(actions, rejects, n_new, n_changed, n_removed)
-    for stage in ("import", "update", "remove"):
-        run.start(stage)
-        run.move(stage, "completed")
-    store.append_partition("actions", actions, "id_run", run.id_run)
+    if closed:
+        run.fail("remove", "too many products would be removed")
+        save()
+        raise RunError(f"remove: {n_removed} of {n_mapped} products would be removed")
+
+    # Keys that are new, and those whose product is gone, get products that no key has had.
+    again = changed.where("action = 'recreate'").select("source_key")
     start = mapping.agg(F.max("id_product")).first()[0] or 0
-    # New products get ids by a hash of shop, source and key, after what exists: no task has to number them all.
-    ids = snap.join(mine.select("source_key", "id_product"), "source_key", "left").withColumn("id_product", F.coalesce("id_product", F.lit(start + 1) + F.pmod(F.xxhash64(F.lit(id_shop), F.lit(source), "source_key"), F.lit(1 << 40))))
-    applied = ids.select("source_key", "id_product", *(f"{h}_hash" for h in HASHES))
-    merged = delta.mark_removed(delta.merge_mapping(mine.drop("id_shop", "source"), applied, run.id_run), gone, run.id_run)
-    merged = merged.select(F.lit(id_shop).cast("long").alias("id_shop"), F.lit(source).alias("source"), *merged.columns)
-    others = mapping.where(~((F.col("id_shop") == id_shop) & (F.col("source") == source)))
-    state = others.unionByName(merged.select(*mapping.columns))
-    if delta.conflicts(state, "id_shop", "id_product").take(1):
-        raise RunError("two keys would own one product")
-    store.write("mapping", state)
-    row = spark.range(1).select(F.lit(run.id_run).cast("long").alias("id_run"), F.lit(run.n_valid).cast("long").alias("n_valid"))
-    store.write("runs", store.read("runs").unionByName(row) if store.exists("runs") else row)
-    return Outcome(spark.read.parquet(f"{store.folder}/actions/id_run={run.id_run}"), rejects, n_new, n_changed, n_removed)
+    ids = numbered(spark, store, new.select("source_key").union(again), run.id_run, start).withColumnRenamed("id_product", "made_id")
+    hashes = [f"{h}_hash" for h in HASHES]
+    known = mine.select("source_key", F.col("id_product").alias("known_id"))
+    applied = snap.select("source_key", *hashes).join(known, "source_key", "left").join(ids, "source_key", "left").select("source_key", F.coalesce("made_id", "known_id").alias("id_product"), *hashes)
+    scope = mapping.where(F.col("id_shop") == id_shop)
+    owners = scope.join(again.withColumn("source", F.lit(source)), ["source", "source_key"], "left_anti")
+    conflict = delta.merge_conflicts(owners, applied.withColumn("source", F.lit(source)), ("source", "source_key"))
+    try:
+        if conflict.take(1):
+            raise RunError("a key and a product have other owners")
+        for stage in ("import", "update", "remove"):
+            run.start(stage, newest) if run.stages[stage] != "completed" else None
+            run.move(stage, "completed") if run.stages[stage] != "completed" else None
+        store.append_partition("actions", actions, "id_run", run.id_run)
+        out_policy = extend("policy") or delta.out_of_feed_actions
+        store.append_partition("shop_actions", out_policy(gone.select("source_key", "id_product")), "id_run", run.id_run)
+        merged = delta.mark_removed(delta.merge_mapping(mine.drop("id_shop", "source"), applied, run.id_run), gone, run.id_run)
+        merged = merged.select(F.lit(id_shop).cast("long").alias("id_shop"), F.lit(source).alias("source"), *merged.columns)
+        others = mapping.where(~((F.col("id_shop") == id_shop) & (F.col("source") == source)))
+        store.write("mapping", others.unionByName(merged.select(*mapping.columns)))
+    except Exception as e:
+        run.errors.append(str(e)[:8000])
+        run.stages = {"read": "completed"} | dict.fromkeys(("import", "update", "remove"), "pending")
+        save()
+        raise
+    save()
+    written = store.partition("actions", "id_run", run.id_run)
+    if extend("writer"):
+        extend("writer")(written, run.id_run)
+    return Outcome(written, rejects, n_new, n_changed, n_removed)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import hierarchy
+from ..operators.normalize import ordered_with_default, warning_set
 from .registry import query
 
 _SLUG = "trim(regexp_replace(lower(trim({c})), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-')"
@@ -88,7 +89,7 @@ def location_check(t):
 @query("SELECT event_id, array_to_string(list_sort(list_distinct([event_type, 'w' || (user_id % 3), event_type])), ';') AS warnings FROM events")
 def warnings_set(t):
     a = F.array("event_type", F.concat(F.lit("w"), (F.col("user_id") % 3).cast("string")), "event_type")
-    return t("events").select("event_id", F.array_join(F.array_sort(F.array_distinct(a)), ";").alias("warnings"))
+    return t("events").select("event_id", F.array_join(warning_set(a), ";").alias("warnings"))
 
 
 @query("SELECT event_id, 'failed at https://***:***@host/x password=*** after ' || event_type AS message FROM events")
@@ -114,9 +115,9 @@ def html_sanitize(t):
 @query("SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT 'R' || l_partkey)), ',') AS refs, min('R' || l_partkey) AS default_ref FROM lineitem GROUP BY l_orderkey")
 def option_order_default(t):
     """Options in byte order of their reference; the first is the default."""
-    refs = F.array_sort(F.collect_set(F.concat(F.lit("R"), F.col("l_partkey").cast("string"))))
-    options = t("lineitem").groupBy("l_orderkey").agg(refs.alias("refs")).withColumn("o", F.transform("refs", lambda r, i: F.struct(r.alias("ref"), (i == 0).alias("is_default"))))
-    return options.select("l_orderkey", F.array_join("refs", ",").alias("refs"), F.filter("o", lambda o: o["is_default"])[0]["ref"].alias("default_ref"))
+    refs = F.collect_set(F.struct(F.concat(F.lit("R"), F.col("l_partkey").cast("string")).alias("reference")))
+    options = t("lineitem").groupBy("l_orderkey").agg(ordered_with_default(refs).alias("o"))
+    return options.select("l_orderkey", F.array_join(F.transform("o", lambda o: o["reference"]), ",").alias("refs"), F.filter("o", lambda o: o["default"])[0]["reference"].alias("default_ref"))
 
 
 # Categories: lang stands for the key, source for name and path; region and nation are a tree.
@@ -147,8 +148,9 @@ def ancestors(t):
 
 @query(f"WITH {TREE}, {_ANC} SELECT leaf_id, id_category FROM anc")
 def ancestors_by_cells(t):
-    """The same for a tree too large to be broadcast."""
-    return hierarchy.ancestors(_leaves(t), tree(t), n_tree=hierarchy.BROADCAST_ROWS + 1)
+    """The same with leaves that come twice and one that the tree doesn't have: neither changes a row of the others."""
+    leaves = _leaves(t).union(_leaves(t)).union(t("region").limit(1).select(F.lit(-1).alias("leaf_id")))
+    return hierarchy.ancestors(leaves, tree(t)).distinct()
 
 
 @query(f"WITH {TREE}, {_ANC} SELECT leaf_id, array_to_string(list_sort(list(DISTINCT id_category)), ',') AS ids FROM anc WHERE id_category <> 1 GROUP BY leaf_id")

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..operators import paging, reconcile, retention, work
 from .registry import query
 
@@ -65,7 +66,7 @@ def default_heal(t):
 
 @query("SELECT sha256(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'))) AS scope, count(*) AS n FROM lineitem GROUP BY 1")
 def price_scope_key(t):
-    scope = F.sha2(F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")), 256)
+    scope = hashing.joined_key(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
     return t("lineitem").groupBy(scope.alias("scope")).agg(F.count("*").alias("n"))
 
 
@@ -256,8 +257,7 @@ def queue_histogram(t):
 
 @query(f"WITH {_Q} SELECT source, count(*) FILTER (WHERE status = 'processing') AS n_processing, count(*) FILTER (WHERE status = 'processing' AND locked_until < now) AS n_lapsed FROM q GROUP BY 1")
 def expired_leases(t):
-    busy = F.col("status") == "processing"
-    return queue(t).groupBy("source").agg(F.count_if(busy).alias("n_processing"), F.count_if(busy & (F.col("locked_until") < now())).alias("n_lapsed"))
+    return work.lease_counts(queue(t), now(), "source")
 
 
 @query(f"WITH {_Q} SELECT id_run, count(*) AS n FROM q WHERE status IN ('pending', 'processing') AND id_product % 5 <> 0 GROUP BY 1")

@@ -13,11 +13,10 @@ import hashlib
 import json
 import os
 import re
-import shutil
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import urlparse
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -39,15 +38,27 @@ class FeedError(ValueError):
     """The feed as a whole can't be used."""
 
 
-def open_file(path: str):
-    """A seekable input by path or by any URI that Arrow's file systems know."""
-    scheme = urlparse(path).scheme
-    if scheme in ("", "file"):
-        return open(path.removeprefix("file://") if scheme else path, "rb")
+def _local(path: str) -> str | None:
+    """The plain path of a local one, by path or file: URI; null for any other place."""
+    url = urlparse(path)
+    return path if url.scheme == "" else unquote(url.path) if url.scheme == "file" else None
+
+
+def _place(path: str):
+    """(file system, path in it) of a path or of any URI that Arrow's file systems know."""
     from pyarrow import fs
 
-    store, plain = fs.FileSystem.from_uri(path)
-    return store.open_input_file(plain)
+    plain = _local(path)
+    return (fs.LocalFileSystem(), os.path.abspath(plain)) if plain is not None else fs.FileSystem.from_uri(path)
+
+
+def open_file(path: str):
+    """A seekable input by path or URI."""
+    plain = _local(path)
+    if plain is not None:
+        return open(plain, "rb")
+    store, inner = _place(path)
+    return store.open_input_file(inner)
 
 
 def check_root(head: bytes) -> None:
@@ -234,13 +245,21 @@ class FeedSource(DataSource):
 
 
 def fingerprint(path: str) -> str:
-    """Of a local file: place, size, times, identity, and both of its ends."""
-    s = os.stat(path)
-    with open(path, "rb") as f:
+    """Of a file: place, size, times, identity where it is local, and both of its ends."""
+    plain = _local(path)
+    if plain is not None:
+        s = os.stat(plain)
+        size, parts = s.st_size, [os.path.realpath(plain), s.st_size, s.st_mtime_ns, s.st_ctime_ns, s.st_dev, s.st_ino]
+    else:
+        store, inner = _place(path)
+        info = store.get_file_info(inner)
+        if not info.is_file:
+            raise FileNotFoundError(path)
+        size, parts = info.size, [path, info.size, info.mtime_ns]
+    with open_file(path) as f:
         head = f.read(HEAD)
-        f.seek(max(0, s.st_size - HEAD))
+        f.seek(max(0, size - HEAD))
         tail = f.read(HEAD)
-    parts = [os.path.realpath(path), s.st_size, s.st_mtime_ns, s.st_ctime_ns, s.st_dev, s.st_ino]
     return hashlib.sha256("\n".join(map(str, parts)).encode() + head + tail).hexdigest()
 
 
@@ -248,32 +267,49 @@ def fingerprint_remote(url: str, content: bytes) -> str:
     return hashlib.sha256((url + hashlib.sha256(content).hexdigest()).encode()).hexdigest()
 
 
+def _exists(store, path: str) -> bool:
+    return store.get_file_info(path).is_file
+
+
+def _put(store, path: str, write) -> None:
+    """A file that gets its name only when it is whole."""
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(path + ".tmp") as out:
+        write(out)
+    store.move(path + ".tmp", path)
+
+
 def freeze(path: str, run_dir: str) -> str:
-    """A copy of the input for one run, made whole before it gets its name."""
-    os.makedirs(run_dir, exist_ok=True)
-    target = os.path.join(run_dir, "source.xml")
-    if not os.path.exists(target):
-        shutil.copyfile(path, target + ".tmp")
-        os.replace(target + ".tmp", target)
-    return target
+    """A copy of the input for one run, made whole before it gets its name; its path in the run's folder, which may be anywhere."""
+    store, top = _place(run_dir)
+    if not _exists(store, f"{top}/source.xml"):
+
+        def copy(out) -> None:
+            with open_file(path) as f:
+                while chunk := f.read(16 * CHUNK):
+                    out.write(chunk)
+
+        _put(store, f"{top}/source.xml", copy)
+    return f"{run_dir.rstrip('/')}/source.xml"
 
 
 def save_checkpoint(run_dir: str, record: int, byte: int) -> None:
-    target = os.path.join(run_dir, "checkpoint.json")
-    with open(target + ".tmp", "w") as f:
-        json.dump({"record": record, "byte": byte}, f)
-    os.replace(target + ".tmp", target)
+    store, top = _place(run_dir)
+    _put(store, f"{top}/checkpoint.json", lambda out: out.write(json.dumps({"record": record, "byte": byte}).encode()))
 
 
 def load_checkpoint(run_dir: str, record: int) -> tuple[int, int]:
     """(record, byte) to go on from: the sidecar's if it is at the record that the run's state knows, else the start."""
+    store, top = _place(run_dir)
     try:
-        with open(os.path.join(run_dir, "checkpoint.json")) as f:
-            c = json.load(f)
+        with store.open_input_file(f"{top}/checkpoint.json") as f:
+            c = json.loads(f.read())
     except (OSError, ValueError):
         return 0, 0
     return (c["record"], c["byte"]) if c.get("record") == record else (0, 0)
 
 
 def release(run_dir: str) -> None:
-    shutil.rmtree(run_dir, ignore_errors=True)
+    store, top = _place(run_dir)
+    if store.get_file_info(top).type.name == "Directory":
+        store.delete_dir(top)

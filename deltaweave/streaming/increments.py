@@ -1,29 +1,72 @@
 """Snapshots that come in pieces: each micro-batch of normalised records is merged into the state.
 
-Nothing is removed by a piece, since what it lacks may be in the next; removal is a run's business.
+Nothing is removed by a piece, since what it lacks may be in the next; removal is a run's business. The state lies in buckets by key, each a table of its own,
+and a batch rewrites only the buckets that its keys fall in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import delta
 from ..sources.store import Store
 
 
-def merge_stream(stream: DataFrame, store: Store, checkpoint: str, run: int, on_actions: Callable[[DataFrame, int], None] | None = None, table: str = "mapping"):
-    """Start a query that merges (source_key, id_product, hashes) rows, the last of a key in a batch; a batch that comes again changes nothing."""
+def latest_records(batch: DataFrame, version: str) -> DataFrame:
+    """The record of highest version of each key; of equal versions the largest by its other columns, so a batch that comes again gives the same."""
+    rest = [c for c in batch.columns if c not in ("source_key", version)]
+    best = batch.groupBy("source_key").agg(F.max(F.struct(version, *rest)).alias("b"))
+    return best.select("source_key", *(F.col(f"b.{c}").alias(c) for c in batch.columns if c != "source_key")).select(*batch.columns)
 
-    def apply(batch: DataFrame, number: int) -> None:
-        last = Window.partitionBy("source_key").orderBy(F.desc("id_product"))
-        rows = batch.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
-        state = store.read(table)
+
+def bucket_of(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_buckets(store: Store, state: DataFrame, buckets: int, table: str = "mapping") -> None:
+    """The state dealt to its buckets, as merge_stream expects it."""
+    for b in range(buckets):
+        store.write(f"{table}_{b}", state.where(bucket_of("source_key", buckets) == b))
+
+
+def read_buckets(store: Store, buckets: int, table: str = "mapping") -> DataFrame:
+    out = store.read(f"{table}_0")
+    for b in range(1, buckets):
+        out = out.unionByName(store.read(f"{table}_{b}"))
+    return out
+
+
+def merge_stream(stream: DataFrame, store: Store, checkpoint: str, run: int, on_actions: Callable[[DataFrame, int], None] | None = None, on_conflicts: Callable[[DataFrame, int], None] | None = None, table: str = "mapping", buckets: int = 0, version: str | None = None):
+    """Start a query that merges (source_key, id_product, hashes) rows; a batch that comes again changes nothing.
+
+    version: the column that says which record of a key is the latest, where a batch may have several; it isn't kept. Rows whose key has another product
+    aren't merged; on_conflicts gets them. buckets: 0 for one table, else the number that write_buckets() has dealt the state to.
+    """
+
+    def merge(rows: DataFrame, name: str, number: int) -> None:
+        state = store.read(name)
+        bad = delta.merge_conflicts(state, rows)
+        if on_conflicts is not None:
+            on_conflicts(bad, number)
+        good = rows.join(bad.select("source_key").distinct(), "source_key", "left_anti")
         if on_actions is not None:
             domains = [c[: -len("_hash")] for c in state.columns if c.endswith("_hash")]
-            on_actions(delta.changed_rows(rows, state, domains=domains), number)
-        store.write(table, delta.merge_mapping(state, rows, run))
+            on_actions(delta.changed_rows(good, state, domains=domains), number)
+        store.write(name, delta.merge_mapping(state, good, run))
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rows = latest_records(batch, version).drop(version) if version else latest_records(batch, "id_product")
+        if not buckets:
+            merge(rows, table, number)
+            return
+        rows = rows.withColumn("bucket", bucket_of("source_key", buckets)).persist()
+        try:
+            for r in rows.select("bucket").distinct().collect():  # at most `buckets` rows
+                merge(rows.where(F.col("bucket") == r["bucket"]).drop("bucket"), f"{table}_{r['bucket']}", number)
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
