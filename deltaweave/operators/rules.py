@@ -32,6 +32,10 @@ def _twice(values: Column) -> Column:
     return F.size(values) != F.size(F.array_distinct(values))
 
 
+def _exceeds(rows: Column, field: str, most: int) -> Column:
+    return F.exists(rows, lambda r: F.octet_length(r[field]) > most)
+
+
 def collection_error(columns: dict[str, Column]) -> Column:
     """The first collection (by name) that holds more than it may; of combinations also the attributes of each."""
     rules = [(F.size(c) > MOST[name], f"too many {name}") for name, c in columns.items()]
@@ -49,7 +53,7 @@ def feature_error(rows: Column) -> Column:
     rows = features(rows)
     blank = F.exists(rows, lambda r: (r["key"] == "") | (r["value_key"] == ""))
     pairs = F.transform(rows, lambda r: F.struct(r["key"], r["value_key"]))
-    long = [(F.exists(rows, lambda r, f=f, n=n: F.octet_length(r[f]) > n), f"feature {f} is too long") for f, n in FEATURE_BYTES.items()]
+    long = [(_exceeds(rows, f, n), f"feature {f} is too long") for f, n in FEATURE_BYTES.items()]
     return first_error((blank, "feature without a key"), (_twice(pairs), "feature pair twice"), *long)
 
 
@@ -74,7 +78,7 @@ def combinations(rows: Column) -> Column:
 def combination_error(rows: Column) -> Column:
     normal = combinations(rows)
     bare = F.exists(normal, lambda r: (F.size(r["attribute_ids"]) == 0) | F.exists(r["attribute_ids"], lambda i: i.isNull() | (i <= 0)))
-    long = [(F.exists(normal, lambda r, f=f, n=n: F.octet_length(r[f]) > n), f"combination {f} is too long") for f, n in COMBINATION_BYTES.items()]
+    long = [(_exceeds(normal, f, n), f"combination {f} is too long") for f, n in COMBINATION_BYTES.items()]
     few = F.exists(normal, lambda r: r["minimal_quantity"] < 1)
     return first_error((bare, "combination without attributes"), (_twice(F.transform(normal, lambda r: r["semantic_key"])), "combination twice"), *long, (few, "minimal quantity below 1"))
 
