@@ -597,16 +597,25 @@ def _labelled(df: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFr
 
 def keep_one(df: DataFrame, terms: Terms = Terms(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without those that links join to a smaller id; of a component's rows with its smallest id, one. Rows without
-    an id stay, and so do those without a word."""
+    an id stay, and so do those without a word. Columns of any name go through."""
     found = _labelled(df, terms, id_col, text_col).select("doc_id", "sid", "root", "component_id")
-    many = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id")), "many")
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    taken = {c.lower() for c in df.columns}
+
+    def name(wanted: str) -> str:
+        """A name that no column of df has."""
+        while wanted in taken:
+            wanted += "_"
+        return wanted
+
+    gone_id, stay_id, own_sid, own_row = map(name, ("gone_id", "stay_id", "own_sid", "own_row"))
+    many = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(gone_id)), "many")
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
     if many.isEmpty():
-        return df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
+        return df.join(gone, df[id_col] == gone[gone_id], "left_anti")
     # An id of several rows doesn't say which of them goes: these are told by their sets.
     gone = gone.union(many).distinct()
-    rest = df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
-    stay = found.join(many, F.col("doc_id") == F.col("gone_id")).where("component_id = doc_id and sid is not null").groupBy(F.col("doc_id").alias("stay_id"), "root").agg(F.min("sid").alias("stay_sid")).select("stay_id", "stay_sid")
+    rest = df.join(gone, df[id_col] == gone[gone_id], "left_anti")
+    stay = found.join(many, F.col("doc_id") == F.col(gone_id)).where("component_id = doc_id and sid is not null").groupBy("doc_id", "root").agg(F.min("sid").alias("sid")).select(F.col("doc_id").alias(stay_id), F.col("sid").alias(name("stay_sid")))
     place = df.columns.index(text_col)
 
     def hashed(batches):
@@ -614,10 +623,10 @@ def keep_one(df: DataFrame, terms: Terms = Terms(), id_col: str = "doc_id", text
             for i, j in blocks(batch.column(place)):
                 part = batch.slice(i, j - i)
                 own = [set_hash(s) if len(s) else None for s in shingle_sets(part.column(place), terms.n)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.int64())], [*part.schema.names, "own_sid"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.int64())], [*part.schema.names, own_sid])
 
-    several = df.join(many, df[id_col] == many["gone_id"], "left_semi").mapInArrow(hashed, StructType([*df.schema.fields, StructField("own_sid", LongType())]))
+    several = df.join(many, df[id_col] == many[gone_id], "left_semi").mapInArrow(hashed, StructType([*df.schema.fields, StructField(own_sid, LongType())]))
     several = cut(several, "several")
-    equal = Window.partitionBy(id_col, "own_sid").orderBy(F.lit(0))
-    one = several.join(stay, (F.col(id_col) == F.col("stay_id")) & (F.col("own_sid") == F.col("stay_sid")), "left_semi").withColumn("own_row", F.row_number().over(equal)).where("own_row = 1").drop("own_row")
-    return rest.union(one.drop("own_sid")).union(several.where("own_sid is null").drop("own_sid"))
+    equal = Window.partitionBy(id_col, own_sid).orderBy(F.lit(0))
+    one = several.join(stay, (F.col(id_col) == F.col(stay_id)) & (F.col(own_sid) == F.col(name("stay_sid"))), "left_semi").withColumn(own_row, F.row_number().over(equal)).where(F.col(own_row) == 1).drop(own_row)
+    return rest.union(one.drop(own_sid)).union(several.where(F.col(own_sid).isNull()).drop(own_sid))
