@@ -48,12 +48,7 @@ def extend(name: str, function=None, _registry: dict = {}):  # noqa: B006
 
 def read_stage(spark: SparkSession, path: str, policy: Policy, store: Store, run: Run) -> tuple[DataFrame, DataFrame]:
     """(products with hashes, rejects). The input is parsed once: raw records are written, and both come from them."""
-
-    def own(spark: SparkSession, path: str) -> DataFrame:
-        spark.dataSource.register(feed.FeedSource)
-        return spark.read.format("feed_xml").option("path", path).load()
-
-    store.append_partition("raw", (extend("source") or own)(spark, path), "id_run", run.id_run)
+    store.append_partition("raw", (extend("source") or feed.load)(spark, path), "id_run", run.id_run)
     products, rejects = (extend("mapper") or (lambda df: normalize(df, policy)))(store.partition("raw", "id_run", run.id_run))
     products = (extend("size_resolver") or (lambda df: df))(products)
     size = F.octet_length(F.to_json(F.struct(*products.columns)))

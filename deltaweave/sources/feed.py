@@ -1,7 +1,12 @@
 """The XML product feed as a batch data source: one row per record.
 
-One pass finds where records start and end, whatever they hold; ranges of records are then parsed in parallel. A record that
-is not well-formed neither hides nor swallows the next one. Broken feeds are refused before any row is made.
+Ranges of bytes are looked through in parallel for where records start, whatever stands in comments, CDATA and instructions that go on from one
+range to the next; then records are parsed in parallel. A record that is not well-formed neither hides nor swallows the next one. Broken feeds are
+refused before any row is made.
+
+    load(spark, path)
+
+The source can be read by itself too; then the driver looks through the feed:
 
     spark.dataSource.register(FeedSource)
     spark.read.format("feed_xml").option("path", ...).option("startByte", 0).option("startRecord", 0).load()
@@ -200,8 +205,11 @@ class FeedReader(DataSourceReader):
         self.path = options["path"]
         self.start, self.record = int(options.get("startByte", 0)), int(options.get("startRecord", 0))
         self.size = int(options.get("partitionBytes", PARTITION_BYTES))
+        self.ranges = json.loads(options["ranges"]) if "ranges" in options else None
 
     def partitions(self):
+        if self.ranges is not None:
+            return [Range(*r) for r in self.ranges] or [Range(0, 0, 0)]
         with open_file(self.path) as f:
             check_root(f.read(HEAD))
             end = f.seek(0, os.SEEK_END)
@@ -241,6 +249,90 @@ class FeedSource(DataSource):
         return FeedReader(self.options)
 
 
+# The parallel look through a feed.
+
+#: Text in which a range may end: no token of the feed's grammar is within twelve bytes of it, nor is it in the white space of a closing tag.
+_QUIET = rb"[^<>\]\-?!]"
+SEAM = re.compile(_QUIET + rb"{12}\s(?!\s)" + _QUIET + rb"{13}")
+STATES = (None, *CLOSERS.values())
+
+
+def _seam(f, at: int, end: int) -> int:
+    """The first place from `at` on where a range may end."""
+    held, base = b"", at
+    f.seek(at)
+    while base < end:
+        held += f.read(CHUNK)
+        m = SEAM.search(held)
+        if m:
+            return base + m.start() + 14
+        if base + len(held) >= end:
+            return end
+        base, held = base + len(held) - 64, held[-64:]
+    return end
+
+
+def _through(data: bytes, length: int, closer: bytes | None) -> tuple[bytes | None, int, int]:
+    """What is still open after `length` bytes of data, how many records start in them, and where the first look for a record begins."""
+    at, n, first = 0, 0, 0
+    if closer is not None:
+        end = data.find(closer, 0, length)
+        if end < 0:
+            return closer, 0, length
+        at = first = end + len(closer)
+    while (m := TOKEN.search(data, at)) is not None and m.start() < length:
+        at = m.end()
+        if (until := CLOSERS.get(m.group())) is not None:
+            end = data.find(until, at, length)
+            if end < 0:
+                return until, n, first
+            at = end + len(until)
+        elif not m.group().startswith(b"</"):
+            n += 1
+    return None, n, first
+
+
+def plan(spark, path: str, start: int = 0, record: int = 0, size: int = PARTITION_BYTES) -> list[tuple[int, int, int]]:
+    """(start, end, records before) of ranges of about `size` bytes. Each task says of its range, for each construct that may be open where it starts, what
+    is open where it ends and how many records it has; the driver joins these up, four rows a range."""
+    import pyarrow as pa
+
+    with open_file(path) as f:
+        check_root(f.read(HEAD))
+        end = f.seek(0, os.SEEK_END)
+        f.seek(max(0, end - TAIL))
+        check_tail(f.read())
+    n = max(1, -(-(end - start) // size))
+
+    def run(batches):
+        for batch in batches:
+            with open_file(path) as f:
+                for k in batch.column(0).to_pylist():
+                    a = start if k == 0 else _seam(f, start + k * size, end)
+                    b = end if k == n - 1 else _seam(f, start + (k + 1) * size, end)
+                    f.seek(a)
+                    data = f.read(max(0, b - a) + 64)
+                    rows = [_through(data, max(0, b - a), s) for s in STATES]
+                    yield pa.RecordBatch.from_pylist([{"k": k, "a": a, "b": b, "before": i, "after": STATES.index(s), "n": c, "first": a + at} for i, (s, c, at) in enumerate(rows)], schema)
+
+    schema = pa.schema([("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("n", pa.int64()), ("first", pa.int64())])
+    found = spark.range(0, n, 1, min(n, 10_000)).mapInArrow(run, "k long, a long, b long, before int, after int, n long, first long").collect()
+    by = {(r["k"], r["before"]): r for r in found}
+    out, state = [], 0
+    for k in range(n):
+        r = by[k, state]
+        if r["n"]:
+            out.append((r["first"], r["b"], record))
+        record, state = record + r["n"], r["after"]
+    return out
+
+
+def load(spark, path: str, start: int = 0, record: int = 0, size: int = PARTITION_BYTES):
+    """Raw records of a feed, from a byte and record on."""
+    spark.dataSource.register(FeedSource)
+    return spark.read.format("feed_xml").option("path", path).option("ranges", json.dumps(plan(spark, path, start, record, size))).load()
+
+
 # Fingerprints, and inputs that don't change while a run reads them.
 
 

@@ -78,6 +78,24 @@ def products(spark, tmp_path, *records, name="f.xml"):
     return normalize(spark.read.format("feed_xml").option("path", str(path)).option("partitionBytes", 900).load())
 
 
+@pytest.mark.parametrize("size", [90, 333, 900, 10**9])
+def test_a_feed_is_the_same_however_it_is_dealt(spark, tmp_path, size):
+    long = "many words of a text that goes on and <product id='77'> " * 40
+    parts = [record(1), f"<!-- {long} -->", record(2, extra=f"<other><![CDATA[ {long} </product> ]]></other>"), '<product id="3"/>', record(4), f"<?note {long} ?>", '<product id="5"><name>open here and there', "<!---->", record(6, name="x - y ] z ? end"), "</product" + " " * 300 + ">", record(7), *(record(k, name=f"a dress of linen for the summer of {k}") for k in range(10, 30))]
+    path = tmp_path / "f.xml"
+    path.write_bytes(xml(*parts))
+    spark.dataSource.register(feed.FeedSource)
+    whole = spark.read.format("feed_xml").option("path", str(path)).load()
+    got, want = (sorted(map(tuple, df.collect())) for df in (feed.load(spark, str(path), size=size), whole))
+    assert got == want and [r[2] for r in got] == ["1", "2", "3", "4", "5", "6", "7", *(str(k) for k in range(10, 30))]
+    ranges = feed.plan(spark, str(path), size=size)
+    assert (len(ranges) > 5) == (size <= 900)
+    half = got[9]
+    assert sorted(map(tuple, feed.load(spark, str(path), half[1], half[0], size).collect())) == got[10:]
+    path.write_bytes(b"<products>" + b" " * 2000 + b"</products>")
+    assert feed.load(spark, str(path), size=size).count() == 0
+
+
 def test_domains_change_alone(spark, tmp_path):
     base, _ = products(spark, tmp_path, record(1), name="a.xml")
     edits = {"price": record(1, price="15.90"), "core": record(1, name="Other"), "combination_stock": record(1, stock="9"), "image": record(1, images=("http://a.example/2", "http://a.example/1")), "combination": record(1, options=1)}
