@@ -181,8 +181,8 @@ def _postings(classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                b = batch.slice(k, 2048)
+            for i, j in blocks(batch.column(2)):
+                b = batch.slice(i, j - i)
                 parts = [np.frombuffer(p, "<i8") for p in b.column(2).to_pylist()]
                 m = np.fromiter(map(len, parts), np.int64, len(parts))
                 ends = np.cumsum(m)
@@ -212,8 +212,8 @@ def _often(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(e[k : k + 65536]), pa.array(n[k : k + 65536])], ["e", "n"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                held.append(np.frombuffer(b"".join(batch.column(0).slice(k, 2048).to_pylist()), "<i8"))
+            for i, j in blocks(batch.column(0)):
+                held.append(np.frombuffer(b"".join(batch.column(0).slice(i, j - i).to_pylist()), "<i8"))
                 total += len(held[-1])
                 if total > 1 << 20:
                     yield from often()
