@@ -20,6 +20,12 @@ def by_keys(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFram
     return rows.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
 
 
+def manifest(snapshot: DataFrame, mapping: DataFrame, keys: Sequence[str], after: str | None = None) -> DataFrame:
+    """The payload of each row of a snapshot that has a product, with that product; after: keys up to this one have been worked on."""
+    rows = snapshot if after is None else snapshot.where(F.col(keys[-1]) > after)
+    return rows.join(mapping.select(*keys, "id_product"), list(keys)).select(*keys, "payload", "id_product")
+
+
 def live_state(state: DataFrame, images: DataFrame, image_shops: DataFrame) -> DataFrame:
     """State rows whose image exists and belongs to their shop."""
     return state.join(images, ["id_image", "id_product"]).join(image_shops, ["id_image", "id_shop"])

@@ -77,6 +77,13 @@ def feature_pairs(t):
     return lookups.resolved_pairs(features, values, in_shop, live).select("feature_key", "value_key", "r_name")
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS source_key, o_orderpriority AS payload, o_custkey AS id_product FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 AND CAST(o_orderkey AS VARCHAR) > '2'")
+def manifest(t):
+    key = F.col("o_orderkey").cast("string").alias("source_key")
+    mapping = t("orders").join(t("customer").where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey")).select(key, F.col("o_custkey").alias("id_product"))
+    return lookups.manifest(t("orders").select(key, F.col("o_orderpriority").alias("payload")), mapping, ["source_key"], "2")
+
+
 @query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def manifest_by_keys(t):
     keys = t("lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import paging, reconcile, retention, work
+from ..operators import attributes, paging, reconcile, retention, work
 from .registry import query
 
 NOW = "2024-01-15 00:00:00"
@@ -138,6 +139,37 @@ def attribute_resolution(t):
     return out.select("id_product", "combination", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "n_unresolved")
 
 
+#: Pairs of a flag and a ship mode: those of flag A are mapped, and of these modes of four letters are not in the shop; the shop has group 'flag A' with all modes but MAIL.
+_ATTRIBUTES = """r AS (SELECT l_orderkey AS id_product, l_linenumber % 2 AS combination, l_returnflag AS g, (['AIR', 'FOB', 'MAIL', 'RAIL', 'REG AIR', 'SHIP', 'TRUCK'])[1 + l_partkey % 7] AS v, CASE WHEN l_orderkey % 97 = 0 THEN '' ELSE 'flag ' || l_returnflag END AS gn FROM lineitem),
+m AS (SELECT DISTINCT v, ascii(v) * 100 + length(v) AS id FROM r), e AS (SELECT v, id, row_number() OVER (ORDER BY v) - 1 AS position FROM m WHERE v <> 'MAIL'),
+j AS (SELECT r.*, CASE WHEN g = 'A' AND length(r.v) <> 4 THEN ascii(r.v) * 100 + length(r.v) WHEN g = 'A' AND gn <> '' THEN e.id END AS found FROM r LEFT JOIN e ON e.v = r.v),
+ok AS (SELECT * FROM j WHERE id_product NOT IN (SELECT id_product FROM j WHERE found IS NULL AND gn = '') AND id_product NOT IN (SELECT id_product FROM j WHERE gn = '' AND g = 'A' AND length(v) = 4)),
+gr AS (SELECT gn, CASE WHEN gn = 'flag A' THEN 1 ELSE 1 + row_number() OVER (PARTITION BY gn = 'flag A' ORDER BY gn) END AS id_group FROM (SELECT DISTINCT gn FROM ok WHERE found IS NULL)),
+n AS (SELECT gn, id_group, v, (SELECT max(id) FROM e) + row_number() OVER (ORDER BY id_group, v) AS id, row_number() OVER (PARTITION BY id_group ORDER BY v) - 1 + CASE WHEN id_group = 1 THEN (SELECT max(position) + 1 FROM e) ELSE 0 END AS position FROM (SELECT DISTINCT gn, v FROM ok WHERE found IS NULL) JOIN gr USING (gn))"""
+
+
+def _attributes(t):
+    li = t("lineitem")
+    flag, mode = F.col("l_returnflag"), F.element_at(F.split(F.lit("AIR,FOB,MAIL,RAIL,REG AIR,SHIP,TRUCK"), ","), (F.col("l_partkey") % 7 + 1).cast("int"))
+    refs = li.select(F.col("l_orderkey").alias("id_product"), (F.col("l_linenumber") % 2).alias("combination"), F.lit(None).cast("int").alias("id_attribute"), flag.alias("group_key"), mode.alias("value_key"), F.when(F.col("l_orderkey") % 97 == 0, "").otherwise(F.concat(F.lit("flag "), flag)).alias("group_name"), mode.alias("value"))
+    modes = refs.select("value").distinct().withColumn("id_attribute", F.ascii("value") * 100 + F.char_length("value"))
+    mapping = modes.select(F.lit("A").alias("group_key"), F.col("value").alias("value_key"), "id_attribute")
+    groups = li.sparkSession.createDataFrame([(1, "flag A", 0)], "id_group int, name string, position int")
+    place = (F.row_number().over(Window.orderBy("value")) - 1).alias("position")  # seven rows
+    has = modes.where("value <> 'MAIL'").select("id_attribute", F.lit(1).alias("id_group"), F.col("value").alias("name"), place)
+    return attributes.resolve(refs, mapping, modes.where(F.char_length("value") != 4), groups, has, auto_create=True)
+
+
+@query(f"WITH {_ATTRIBUTES} SELECT id_product, combination, array_to_string(list_sort(list(DISTINCT coalesce(found, n.id))), ',') AS ids FROM ok LEFT JOIN n ON n.gn = ok.gn AND n.v = ok.v GROUP BY 1, 2")
+def combination_attributes(t):
+    return _attributes(t).combinations.select("id_product", "combination", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query(f"WITH {_ATTRIBUTES} SELECT CAST(id AS BIGINT) AS id_attribute, CAST(id_group AS BIGINT) AS id_group, v AS name, CAST(position AS BIGINT) AS position FROM n")
+def attributes_made(t):
+    return _attributes(t).attributes.select(F.col("id_attribute").cast("long"), F.col("id_group").cast("long"), "name", F.col("position").cast("long"))
+
+
 @query("""WITH h AS (SELECT DISTINCT l_partkey, l_suppkey % 4 AS shop FROM lineitem), b AS (SELECT l_partkey, min(shop) AS copy_from FROM h GROUP BY 1)
 SELECT b.l_partkey, b.copy_from, s.shop FROM b, (SELECT unnest([0, 1, 2, 3]) AS shop) s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.l_partkey = b.l_partkey AND h.shop = s.shop)""")
 def row_repair(t):
