@@ -6,6 +6,9 @@ since for a query that is near the vector only the parallel part changes the sco
 centres it is nearest to, by tables of its products with all centres; the best by table are scored again on
 the original vectors in double precision.
 
+Cells grow in number with the table. From MOST_CELLS on, each is split by centres of what is left in a cell, the same ones for all cells, up to
+MOST_SPLITS; so a table of many more vectors has many more cells, while the centres still come from a bounded sample and are few.
+
 How many cells a query scans and how many of a cell are scored again is measured on the table itself: for HELD queries that the centres
 weren't fitted on, the true nearest are found among all vectors, then in which of the query's cells each lies and how many of that cell
 are before it by table. The least numbers that find TARGET of them are taken, twice as many cells for good measure.
@@ -34,8 +37,8 @@ from pyspark.sql.types import ArrayType, FloatType
 from .shared import cut, drop
 
 SAMPLE = 20_000
-#: Vectors a cell on average, cells at most, vectors and queries that one task takes from a cell.
-PER_CELL, MOST_CELLS, TASK_ROWS, TASK_QUERIES = 1000, 4096, 16_384, 8_192
+#: Vectors a cell on average, coarse centres and splits of each at most, vectors and queries that one task takes from a cell.
+PER_CELL, MOST_CELLS, MOST_SPLITS, TASK_ROWS, TASK_QUERIES = 1000, 4096, 64, 16_384, 8_192
 #: What is scored again of a cell at least; queries held out to measure recall, and the share of their nearest to be found.
 RERANK, HELD, TARGET = 100, 256, 0.97
 SCHEMA = "query_id long, rank int, vec_id long, score double"
@@ -59,16 +62,71 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def _split(left: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """n centres of what is left in the cells; one is the origin, so that nothing is split."""
+    if n == 1:
+        return np.zeros((1, left.shape[1]))
+    centres = left[rng.permutation(len(left))[:n]]
+    for _ in range(rounds):
+        at = _closest(left, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, left)
+        count = np.bincount(at, minlength=len(centres))[:, None]
+        centres = np.where(count > 0, sums / np.maximum(count, 1), centres)
+    return centres
+
+
+def _closest(left: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(left @ centres.T - (centres * centres).sum(axis=1) / 2, axis=1)
+
+
 @dataclass
 class Quantiser:
-    """cells: unit coarse centres; books: (subspaces, 16, width); eta: how many times the parallel error counts."""
+    """coarse: unit centres; splits: centres of what is left in a cell of them; books: (subspaces, 16, width); eta: how many times the parallel
+    error counts. A cell's number is that of its coarse centre times the number of splits, plus that of its split."""
 
-    cells: np.ndarray
+    coarse: np.ndarray
+    splits: np.ndarray
     books: np.ndarray
     eta: float
 
+    @property
+    def n_cells(self) -> int:
+        return len(self.coarse) * len(self.splits)
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        at = _nearest(x, self.coarse)
+        out = np.empty(len(x), np.int64)
+        for k in range(0, len(x), 8192):
+            z = slice(k, k + 8192)
+            out[z] = at[z] * len(self.splits) + _closest(x[z] - self.coarse[at[z]], self.splits)
+        return out
+
+    def centre(self, cell: np.ndarray) -> np.ndarray:
+        return self.coarse[cell // len(self.splits)] + self.splits[cell % len(self.splits)]
+
+    def cell_scores(self, q: np.ndarray) -> np.ndarray:
+        """(queries, cells): products of unit queries with all cells' centres."""
+        return ((q @ self.coarse.T)[:, :, None] + (q @ self.splits.T)[:, None, :]).reshape(len(q), -1)
+
+    def rank(self, q: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """How many cells each unit query scans until it has scanned the given one."""
+        out = np.empty(len(q), np.int64)
+        for k, (one, c) in enumerate(zip(q, cell, strict=True)):
+            s = self.cell_scores(one[None])[0]
+            out[k] = 1 + (s > s[c]).sum() + (s[:c] == s[c]).sum()
+        return out
+
+    def probed(self, q: np.ndarray, probes: int) -> np.ndarray:
+        """The cells that each unit query scans."""
+        if probes >= self.n_cells:
+            return np.tile(np.arange(self.n_cells), (len(q), 1))
+        step = max(1, 2**21 // self.n_cells)
+        near = [np.argpartition(-self.cell_scores(q[k : k + step]), probes - 1, axis=1)[:, :probes] for k in range(0, len(q), step)]
+        return np.concatenate(near) if near else np.empty((0, probes), np.int64)
+
     @staticmethod
-    def fit(x: np.ndarray, n_cells: int, width: int = 4, threshold: float = 0.2, rounds: int = 8, seed: int = 11) -> Quantiser:
+    def fit(x: np.ndarray, n_cells: int, n_splits: int = 1, width: int = 4, threshold: float = 0.2, rounds: int = 8, seed: int = 11) -> Quantiser:
         rng = np.random.default_rng(seed)
         x = unit(np.asarray(x, np.float64))
         dim = x.shape[1]
@@ -81,9 +139,11 @@ class Quantiser:
             cells = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-12), cells)
         m = -(-dim // width)
         eta = max(1.0, (dim - 1) * threshold**2 / (1 - threshold**2))
-        left = np.pad(x - cells[_nearest(x, cells)], ((0, 0), (0, m * width - dim))).reshape(len(x), m, width)
+        splits = _split(x - cells[_nearest(x, cells)], n_splits, rounds, rng)
+        q = Quantiser(cells, splits, np.empty(0), eta)
+        left = np.pad(x - q.centre(q.cell(x)), ((0, 0), (0, m * width - dim))).reshape(len(x), m, width)
         pick = rng.integers(0, len(x), (m, 16))
-        q = Quantiser(cells, np.stack([left[pick[s], s] for s in range(m)]), eta)
+        q.books = np.stack([left[pick[s], s] for s in range(m)])
         along = np.pad(x, ((0, 0), (0, m * width - dim))).reshape(left.shape)
         for _ in range(rounds):
             codes = q._codes(left, along)
@@ -119,13 +179,13 @@ class Quantiser:
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cell, codes packed two to a byte) of vectors."""
         x = unit(np.asarray(x, np.float64))
-        at = _nearest(x, self.cells)
+        at = self.cell(x)
         m, _, width = self.books.shape
         pad = ((0, 0), (0, m * width - x.shape[1]))
         packed = np.empty((len(x), -(-m // 2)), np.uint8)
         for k in range(0, len(x), 2048):
             z = slice(k, k + 2048)
-            codes = self._codes(np.pad(x[z] - self.cells[at[z]], pad).reshape(-1, m, width), np.pad(x[z], pad).reshape(-1, m, width))
+            codes = self._codes(np.pad(x[z] - self.centre(at[z]), pad).reshape(-1, m, width), np.pad(x[z], pad).reshape(-1, m, width))
             codes = np.pad(codes, ((0, 0), (0, m % 2)))
             packed[z] = codes[:, 0::2] | codes[:, 1::2] << 4
         return at, packed
@@ -217,8 +277,7 @@ def measured(model: Quantiser, indexed: DataFrame, names: np.ndarray, held: np.n
     if not truth:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     tables, q, at = model.tables(held), np.array([r["q"] for r in truth]), np.array([r["cell"] for r in truth])
-    order = np.argsort(-(unit(held) @ model.cells.T), axis=1, kind="stable")
-    cells = np.argmax(order[q] == at[:, None], axis=1) + 1
+    cells = model.rank(unit(held)[q], at)
     own = np.array([_table_scores(tables[n : n + 1], np.frombuffer(r["codes"], np.uint8)[None])[0, 0] for n, r in zip(q, truth, strict=True)])
 
     def before(batches):
@@ -265,9 +324,10 @@ def nearest(df: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec
     names, held = np.array([r["row"] for r in sample[kept:]], np.int64), np.array([r["embedding"] for r in sample[kept:]], np.float64).reshape(-1, dim)
     fit = rows.where(F.size("embedding") == dim)
     total = fit.count()
-    n_cells = int(min(MOST_CELLS, max(1, total // PER_CELL)))
-    fitted = Quantiser.fit(np.array([r["embedding"] for r in sample[:kept]]), n_cells)
-    model = spark.sparkContext.broadcast(fitted)  # MOST_CELLS vectors and 16 centres a subspace at most
+    wanted = max(1, total // PER_CELL)
+    fitted = Quantiser.fit(np.array([r["embedding"] for r in sample[:kept]]), int(min(MOST_CELLS, wanted)), int(min(MOST_SPLITS, max(1, wanted // MOST_CELLS))))
+    n_cells = fitted.n_cells
+    model = spark.sparkContext.broadcast(fitted)  # MOST_CELLS and MOST_SPLITS vectors and 16 centres a subspace at most
 
     few = Window.partitionBy("embedding").orderBy("vec_id", "row")
     candidates = fit.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).select("vec_id", "embedding", "row")
@@ -284,7 +344,7 @@ def nearest(df: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                near = np.argsort(-(unit(_matrix(part.column(1))) @ model.value.cells.T), axis=1, kind="stable")[:, :probes]
+                near = model.value.probed(unit(_matrix(part.column(1))), probes)
                 cells = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * probes, pa.int32()), pa.array(near.reshape(-1), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, cells], ["query_row", "embedding", "cells"])
 
@@ -297,7 +357,7 @@ def nearest(df: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec
 
     parts = indexed.groupBy("cell").agg(F.ceil(F.count("*") / TASK_ROWS).alias("parts"))
     turns = each.groupBy("cell").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("turns"))
-    plan = cut(parts.join(turns, "cell"), "plan")  # MOST_CELLS rows at most
+    plan = cut(parts.join(turns, "cell"), "plan")  # a row a cell: MOST_CELLS times MOST_SPLITS at most
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     vectors = indexed.join(F.broadcast(plan), "cell").withColumn("part", deal("vec_id", "parts")).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
     queries = each.join(F.broadcast(plan), "cell").withColumn("turn", deal("query_row", "turns")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))

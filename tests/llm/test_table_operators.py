@@ -259,6 +259,33 @@ def test_nearest_neighbours_where_cells_are_pruned(spark, monkeypatch):
     assert hits / (5 * 80) >= 0.95
 
 
+def test_nearest_neighbours_where_cells_are_split(spark, monkeypatch):
+    for name, value in {"PER_CELL": 8, "MOST_CELLS": 40, "MOST_SPLITS": 10, "SAMPLE": 1000}.items():
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((60, 24))[rng.integers(0, 60, 4000)] + 0.5 * rng.standard_normal((4000, 24))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = ann.unit(x)
+    hits = 0
+    for g in ann.nearest(df).collect():
+        s = u @ u[g.query_id]
+        s[g.query_id] = -2
+        hits += g.score >= np.sort(s)[-5] - 1e-12
+        assert abs(s[g.vec_id] - g.score) < 1e-12
+    assert hits / (5 * 80) >= 0.95
+
+    model = ann.Quantiser.fit(x[:1000], 40, 10)
+    cell, _ = model.encode(x)
+    assert model.n_cells == 400 and cell.min() >= 0 and cell.max() < 400 and len(set(cell.tolist())) > 200
+    centres = np.array([c + s for c in model.coarse for s in model.splits])
+    assert np.abs(model.centre(np.arange(400)) - centres).max() == 0
+    order = np.argsort(-(u[:20] @ centres.T), axis=1, kind="stable")
+    assert (model.rank(u[:20], order[:, 6]) == 7).all()
+    assert (np.sort(model.probed(u[:20], 7), axis=1) == np.sort(order[:, :7], axis=1)).all()
+    error = lambda m: ((u - m.centre(m.encode(x)[0])) ** 2).sum(axis=1).mean()
+    assert error(model) < error(ann.Quantiser.fit(x[:1000], 40))
+
+
 def test_nearest_neighbours_of_rows_that_share_an_id_and_of_doubles(spark):
     rng = np.random.default_rng(14)
     x = rng.standard_normal((300, 8))
