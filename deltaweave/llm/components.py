@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .shared import cut, drop
 
 EDGE = "a long, b long"
+#: Ids that a task holds at once while it shrinks its edges.
+HELD = 1 << 18
 
 
 class Forest:
@@ -34,17 +36,23 @@ class Forest:
 
 
 def _shrink(edges: DataFrame) -> DataFrame:
-    """A spanning star for each component of each task's edges: at most one edge per id and task, whatever the chains."""
+    """Spanning stars for the components of each task's edges, of so many ids at a time that they take some 50 MB: about an edge per id, whatever the chains."""
+
+    def stars(forest):
+        both = [(x, forest.root(x)) for x in forest.up]
+        both = np.array([e for e in both if e[0] != e[1]], np.int64).reshape(-1, 2)
+        for k in range(0, len(both), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(both[k : k + 65536, c]) for c in range(2)], ["a", "b"])
 
     def run(batches):
         forest = Forest()
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 forest.join(a, b)
-        both = [(x, forest.root(x)) for x in forest.up]
-        both = np.array([e for e in both if e[0] != e[1]], np.int64).reshape(-1, 2)
-        for k in range(0, len(both), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(both[k : k + 65536, c]) for c in range(2)], ["a", "b"])
+            if len(forest.up) >= HELD:
+                yield from stars(forest)
+                forest = Forest()
+        yield from stars(forest)
 
     return edges.mapInArrow(run, EDGE)
 

@@ -120,6 +120,39 @@ def _apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
+class Parities:
+    """How the join looks at classes before it has their sets: lists by prefix elements, and sketches of parities."""
+
+    column, ordered, thin = "prefix", True, False
+
+    def __init__(self, terms: Terms):
+        self.terms = terms
+
+    def elements(self, column: pa.Array) -> list[np.ndarray]:
+        """What lists each class is in, from the column that says so."""
+        return [np.frombuffer(p, "<i8") for p in column.to_pylist()]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Distances of sketches, row by row; they obey the triangle inequality."""
+        return np.bitwise_count(x ^ y).sum(axis=-1)
+
+    def most(self, nx, ny):
+        """The largest distance of linked sets of these sizes."""
+        return nx + ny - 2 * self.terms.overlap(nx, ny)
+
+    def near(self, nx, bits_x, wide_x, ny, bits_y, wide_y) -> tuple[np.ndarray, np.ndarray]:
+        """(may link, distance) of pairs by all that classes hold."""
+        far, most = self.apart(_rows(bits_x), _rows(bits_y)), self.most(nx, ny)
+        for k in np.flatnonzero((far <= most) & ((nx > PARITY_BITS) | (ny > PARITY_BITS))).tolist():
+            far[k] = _apart(*((w if w[k].is_valid else b)[k].as_py() for b, w in ((bits_x, wide_x), (bits_y, wide_y))))
+        return far <= most, far
+
+
+def _rows(column) -> np.ndarray:
+    """A column of sketches of one length as a matrix of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def _frequencies(rows: DataFrame, n: int) -> np.ndarray:
     """Counts of shingle hashes modulo 2**SKETCH_BITS over all rows; summed up in a tree of tasks, 4 MiB in the end."""
     size = 1 << SKETCH_BITS
@@ -176,20 +209,20 @@ def _documents(rows: DataFrame, terms: Terms, counts) -> DataFrame:
     return rows.mapInArrow(run, DOCS)
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(e, n, sid, pos) of every prefix element."""
+def _postings(classes: DataFrame, measure) -> DataFrame:
+    """(e, n, sid, pos) of every element that classes are listed by; pos is 0 where their order says nothing."""
 
     def run(batches):
         for batch in batches:
             for i, j in blocks(batch.column(2)):
                 b = batch.slice(i, j - i)
-                parts = [np.frombuffer(p, "<i8") for p in b.column(2).to_pylist()]
+                parts = measure.elements(b.column(2))
                 m = np.fromiter(map(len, parts), np.int64, len(parts))
                 ends = np.cumsum(m)
-                pos = np.arange(ends[-1]) - np.repeat(ends - m, m)
+                pos = (np.arange(ends[-1]) - np.repeat(ends - m, m)) * int(measure.ordered)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), *(pa.array(np.repeat(b.column(c).to_numpy(), m)) for c in (1, 0)), pa.array(pos)], ["e", "n", "sid", "pos"])
 
-    return classes.select("sid", "n", "prefix").mapInArrow(run, "e long, n long, sid long, pos long")
+    return classes.select("sid", "n", measure.column).mapInArrow(run, "e long, n long, sid long, pos long")
 
 
 def _may_link(terms: Terms, nx, px, ny, py):
@@ -198,8 +231,8 @@ def _may_link(terms: Terms, nx, px, ny, py):
     return (np.minimum(nx, ny) * terms.den >= np.maximum(nx, ny) * terms.num) & (np.minimum(nx - px, ny - py) >= least)
 
 
-def _often(classes: DataFrame) -> DataFrame:
-    """(e, length): prefix elements that a task holds OFTEN times at least, and how often those tasks do. Longer lists than OFTEN times the
+def _often(classes: DataFrame, measure) -> DataFrame:
+    """(e, length): elements that a task holds OFTEN times at least, and how often those tasks do. Longer lists than OFTEN times the
     number of tasks are all among them, and no more than one in OFTEN entries is counted, without a shuffle of the others."""
 
     def run(batches):
@@ -213,7 +246,7 @@ def _often(classes: DataFrame) -> DataFrame:
 
         for batch in batches:
             for i, j in blocks(batch.column(0)):
-                held.append(np.frombuffer(b"".join(batch.column(0).slice(i, j - i).to_pylist()), "<i8"))
+                held.append(np.concatenate(measure.elements(batch.column(0).slice(i, j - i))))
                 total += len(held[-1])
                 if total > 1 << 20:
                     yield from often()
@@ -221,7 +254,7 @@ def _often(classes: DataFrame) -> DataFrame:
         if held:
             yield from often()
 
-    return classes.select("prefix").mapInArrow(run, "e long, n long").groupBy("e").agg(F.sum("n").alias("length")).where(F.col("length") > LONG)
+    return classes.select(measure.column).mapInArrow(run, "e long, n long").groupBy("e").agg(F.sum("n").alias("length")).where(F.col("length") > LONG)
 
 
 def _lists(postings: DataFrame, often: DataFrame, terms: Terms) -> DataFrame:
@@ -272,27 +305,29 @@ def _lists(postings: DataFrame, often: DataFrame, terms: Terms) -> DataFrame:
     return ordered.mapInArrow(run, "e long, n long, sid long, pos long, before long")
 
 
-def _close(pairs: DataFrame, classes: DataFrame, terms: Terms) -> DataFrame:
-    """Pairs (a, b) whose parity sketches allow a link, as distinct pairs with a < b."""
+def _close(pairs: DataFrame, classes: DataFrame, measure) -> DataFrame:
+    """Pairs (a, b) that what classes hold allows a link, as distinct pairs with a < b, and how far apart they are."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             c = [batch.column(k) for k in range(8)]
-            nx, ny = c[1].to_numpy(), c[5].to_numpy()
-            x, y = (np.frombuffer(b"".join(c[k].to_pylist()), np.uint64).reshape(len(nx), -1) for k in (2, 6))
-            most = nx + ny - 2 * terms.overlap(nx, ny)
-            keep = np.bitwise_count(x ^ y).sum(axis=1) <= most
-            for k in np.flatnonzero(keep & ((nx > PARITY_BITS) | (ny > PARITY_BITS))).tolist():
-                keep[k] = _apart(*((c[i + 1] if c[i + 1][k].is_valid else c[i])[k].as_py() for i in (2, 6))) <= most[k]
+            keep, far = measure.near(c[1].to_numpy(), c[2], c[3], c[5].to_numpy(), c[6], c[7])
             keep = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([c[0].filter(keep), c[4].filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([c[0].filter(keep), c[4].filter(keep), pa.array(far.astype(np.int64)).filter(keep)], ["a", "b", "far"])
 
     distinct = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda s: classes.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"), F.col("wide").alias(f"wide_{s}"))
     both = distinct.join(side("a"), "a").join(side("b"), "b").select("a", "n_a", "bits_a", "wide_a", "b", "n_b", "bits_b", "wide_b")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, far long")
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, far) those that are the least apart for one of the two; of equal ones that with the smallest other."""
+    ways = pairs.union(pairs.select("b", "a", "far"))
+    best = ways.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _packed(wanted: DataFrame, rows: DataFrame, terms: Terms) -> DataFrame:
@@ -425,9 +460,9 @@ LEFT, RIGHT, WITHIN = 0, 1, 2
 class _List:
     """One list of the index: its sets by size and position, and what may link across components."""
 
-    def __init__(self, terms: Terms, n, pos, sid, root, side, bits):
+    def __init__(self, terms: Terms, measure, n, pos, sid, root, side, bits):
         order = np.lexsort((pos, n))
-        self.order, self.terms, self.n, self.pos, self.sid, self.root, self.side, self.bits = order, terms, n[order], pos[order], sid[order], root[order], side[order], bits[order]
+        self.measure, self.order, self.terms, self.n, self.pos, self.sid, self.root, self.side, self.bits = measure, order, terms, n[order], pos[order], sid[order], root[order], side[order], bits[order]
 
     def pairs(self):
         n, pos, terms = self.n, self.pos, self.terms
@@ -439,7 +474,7 @@ class _List:
         cuts = np.flatnonzero(np.diff(self.root[by_root])) + 1
         for members in np.split(by_root, cuts):
             first = members[0]
-            apart = np.bitwise_count(self.bits ^ self.bits[first]).sum(axis=1)
+            apart = self.measure.apart(self.bits, self.bits[first])
             for x in members:
                 k = block[x]
                 if k not in alive:
@@ -447,15 +482,15 @@ class _List:
                     alive[k] = np.concatenate([np.arange(b, e) for b, e in zip(begin[good], end[good], strict=True)] or [np.empty(0, np.int64)])
                 y = alive[k]
                 y = y[(self.root[y] > self.root[x]) & ((self.side[y] != self.side[x]) | (self.side[x] == WITHIN))]
-                most = n[x] + n[y] - 2 * terms.overlap(n[x], n[y])
+                most = self.measure.most(n[x], n[y])
                 y, most = (z[apart[y] <= most + apart[x]] for z in (y, most))
-                far = np.bitwise_count(self.bits[y] ^ self.bits[x]).sum(axis=1)
+                far = self.measure.apart(self.bits[y], self.bits[x])
                 y, far = y[far <= most], far[far <= most]
                 if len(y):
                     yield np.full(len(y), x), y, far
 
 
-def _across(live: DataFrame, terms: Terms, nearest: bool) -> DataFrame:
+def _across(live: DataFrame, terms: Terms, measure, nearest: bool) -> DataFrame:
     """Candidate pairs of different components, from postings (e, part, tile, n, sid, pos, root, side, bits) in order of the first three; if
     nearest, of each list only the pair that is least apart for each set."""
 
@@ -468,9 +503,8 @@ def _across(live: DataFrame, terms: Terms, nearest: bool) -> DataFrame:
             x, y = same, same + d
             good = (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == WITHIN)) & _may_link(terms, n[x], pos[x], n[y], pos[y])
             x, y = x[good], y[good]
-            most = n[x] + n[y] - 2 * terms.overlap(n[x], n[y])
-            far = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
-            near = far <= most
+            far = measure.apart(bits[x], bits[y])
+            near = far <= measure.most(n[x], n[y])
             yield x[near], y[near], far[near]
 
     def work(c):
@@ -484,7 +518,7 @@ def _across(live: DataFrame, terms: Terms, nearest: bool) -> DataFrame:
         for a, s in zip(edge[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
             z = slice(a, a + s)
             if (root[z] != root[a]).any():
-                ordered = _List(terms, n[z], pos[z], sid[z], root[z], side[z], bits[z])
+                ordered = _List(terms, measure, n[z], pos[z], sid[z], root[z], side[z], bits[z])
                 for x, y, far in ordered.pairs():
                     yield a + ordered.order[x], a + ordered.order[y], far
 
@@ -531,9 +565,16 @@ def _labelled(df: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFr
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     counts = df.sparkSession.sparkContext.broadcast(_frequencies(rows, terms.n))
     docs = cut(_documents(rows, terms, counts), "docs")
-    classes = cut(docs.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "prefix", "bits", "wide"))), "classes")
-    often = cut(_often(classes), "often")
-    live = cut(_lists(_postings(classes), often, terms), "lists")
+    return grouped(rows, docs, terms, Parities(terms))
+
+
+def grouped(rows: DataFrame, docs: DataFrame, terms: Terms, measure) -> DataFrame:
+    """(doc_id, n, sid, root, component_id) of docs (doc_id, n, sid, bits, wide and what measure lists classes by), which cut() wrote from rows
+    (doc_id, text): every link among the pairs that share an element of measure's and are no further apart than it allows, confirmed on
+    whole sets. docs are dropped."""
+    classes = cut(docs.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in docs.columns if c not in ("doc_id", "sid"))), "classes")
+    often = cut(_often(classes, measure), "often")
+    live = cut(_lists(_postings(classes, measure), often, terms), "lists")
     drop(often)
 
     def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -568,9 +609,10 @@ def _labelled(df: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFr
         dealt = rooted.join(mixed, "e").withColumn("part", F.explode(F.when(is_long, F.array(group, group + 1)).otherwise(F.array(F.lit(-1).cast("long")))))
         dealt = dealt.withColumn("t", F.explode(F.when(~is_long, whole).when(is_main, mine).otherwise(theirs)))
         keyed = dealt.join(classes.select("sid", "bits"), "sid").select("e", "part", "t.tile", "n", "sid", "pos", "root", F.col("t.side").cast("long").alias("side"), "bits")
-        pairs = _across(keyed.repartition("e", "part", "tile").sortWithinPartitions("e", "part", "tile", "n", "pos"), terms, nearest)
+        pairs = _across(keyed.repartition("e", "part", "tile").sortWithinPartitions("e", "part", "tile", "n", "pos"), terms, measure, nearest)
         found = cut(pairs.distinct(), "across")
-        out = cut(_close(found, classes, terms), "close")
+        close = _close(found, classes, measure)
+        out = cut(_nearest(close) if nearest and measure.thin else close.select("a", "b"), "close")
         drop(rooted, mixed, found)
         return out
 
@@ -581,7 +623,8 @@ def _labelled(df: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFr
 
     # Neighbours in lists come first, then for each set what is nearest to it in its lists, by sketch, of other components: as
     # many pairs as postings at most, and nearly every component is whole after them. Then every pair across components that is left.
-    near = cut(_close(live.where("before is not null").select(F.col("sid").alias("a"), F.col("before").alias("b")), classes, terms), "near")
+    near = _close(live.where("before is not null").select(F.col("sid").alias("a"), F.col("before").alias("b")), classes, measure)
+    near = cut(_nearest(near) if measure.thin else near.select("a", "b"), "near")
     labels = joined(cut(classes.select("sid", F.col("sid").alias("root")), "labels"), near)
     for nearest in (True, False):
         labels = joined(labels, across(labels, nearest))

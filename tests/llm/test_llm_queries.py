@@ -29,7 +29,7 @@ def test_query(spark, name):
 
 
 def test_there_is_one_query_of_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline(spark):
