@@ -9,7 +9,7 @@ The join finds every pair of signatures within `radius`: they are split into chu
 enumerated, and what is left of the chunk is the key of a list. Signatures with at most `errors` differences there share the
 list that leaves those out; nothing within the radius is missed.
 
-With the values given, a pair of similarity 0.85 lies beyond the radius with probability missed(0.85), some 2 in a million, and more similar pairs less
+With the values given, a pair of similarity 0.85 lies beyond the radius with probability missed(0.85), some 5 in a million, and more similar pairs less
 often; whoever wants less takes more values. Pairs within the radius are confirmed on whole sets, and classes of equal sets and
 components already found are skipped, as in the set join: no pairs within a component are formed.
 
