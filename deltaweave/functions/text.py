@@ -17,7 +17,7 @@ NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 PRICE = r"^\d{1,10}(\.\d{1,9})?$"
 STOCK, MOST_STOCK = r"^[+-]?\d+$", 2147483647
 ALLOWED_TAGS = ("p", "br", "strong", "b", "em", "i", "ul", "ol", "li", "div", "span", "table", "thead", "tbody", "tr", "th", "td")
-MASKED_KEYS, MOST_LOG = ("AccessKey", "password", "authorization"), 1200
+MASKED_KEYS, MASK, MOST_LOG = ("AccessKey", "password", "authorization"), "***", 1200
 ALLOWED_ATTRIBUTES = ("class", "colspan", "rowspan", "align")
 
 
@@ -114,13 +114,45 @@ def location_is_sound(c: Column) -> Column:
     return (t != "") & (F.char_length(t) <= MAX_LOCATION) & ~t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@") & (~t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://") | t.rlike("^(?i:https?)://"))
 
 
+def _without_login(line: Column) -> Column:
+    """Addresses of any scheme, with name and password masked: what stands between the scheme and the last @ before the path."""
+
+    def mask(piece, k):
+        authority = F.substring_index(F.substring_index(F.substring_index(F.substring_index(piece, "/", 1), "?", 1), "#", 1), " ", 1)
+        host = F.substring_index(authority, "@", -1)
+        login = F.substring(authority, F.lit(1), F.char_length(authority) - F.char_length(host))
+        rest = F.substring(piece, F.char_length(login) + 1, F.char_length(piece))
+        return F.when((k > 0) & login.contains(":"), F.concat(F.lit(f"{MASK}:{MASK}@"), rest)).otherwise(piece)
+
+    return F.array_join(F.transform(F.split(line, "://"), mask), "://")
+
+
+def _without_values(line: Column) -> Column:
+    """What is assigned to one of the keys is masked. The line is gone through from sign to sign; a value runs to the next space, comma or semicolon,
+    even past further signs."""
+    signs, ends = "(?=[=:])", "[ ,;]"
+    begin = F.struct(F.lit("").alias("done"), F.lit(False).alias("within"))
+
+    def step(state, piece):
+        told = F.lower(F.rtrim(state["done"]))
+        names = F.lit(False)
+        for key in MASKED_KEYS:
+            names = names | told.endswith(key.lower())
+        assigned = names & (piece.startswith("=") | piece.startswith(":"))
+        value = F.when(state["within"], piece).otherwise(F.ltrim(F.substring(piece, F.lit(2), F.char_length(piece))))
+        kept = F.char_length(F.split(value, ends, 2)[0])
+        rest = F.substring(value, kept + 1, F.char_length(value))
+        open_still = kept == F.char_length(value)
+        done = F.when(state["within"], F.concat(state["done"], rest)).when(assigned, F.concat(F.rtrim(state["done"]), F.lit(f"={MASK}"), rest)).otherwise(F.concat(state["done"], piece))
+        return F.struct(done.alias("done"), ((state["within"] | assigned) & open_still).alias("within"))
+
+    return F.aggregate(F.split(line, signs), begin, step)["done"]
+
+
 def redact(c: Column) -> Column:
-    """Log text with credentials masked, white space collapsed, cut to 1200 characters."""
+    """Log text with credentials masked, white space collapsed, cut to MOST_LOG characters."""
     one_line = F.array_join(F.filter(F.split(trim(c), r"\s"), lambda w: w != ""), " ")
-    user_info = r"(?<=(?i:http)://|(?i:https)://)[^\s/@:]+:[^\s/@]+(?=@)"
-    assigned = "(?i:(" + "|".join(MASKED_KEYS) + r"))[ ]?[=:][ ]?[^ ,;]+"
-    masked = F.regexp_replace(F.regexp_replace(one_line, user_info, "***:***"), assigned, "$1=***")
-    return F.substring(masked, 1, MOST_LOG)
+    return F.substring(_without_values(_without_login(one_line)), 1, MOST_LOG)
 
 
 class _Sanitiser(HTMLParser):

@@ -170,7 +170,10 @@ def is_retryable(message: Column, invalid_argument: Column | None = None) -> Col
     permanent = F.lit(False) if invalid_argument is None else invalid_argument
     for p in PERMANENT:
         permanent = permanent | m.contains(p)
-    status = F.regexp_extract(m, STATUS_MESSAGE + r"\s+(\d{3})(?!\w)", 1).try_cast("int")
+    told = F.locate(STATUS_MESSAGE, m)
+    after = F.when(told > 0, F.substring(m, told + len(STATUS_MESSAGE), F.char_length(m)))
+    word = F.split(F.ltrim(after), "[^0-9a-z_]", 2)[0]  # a status is the first word after the message, if it is a number of three digits
+    status = F.when((F.ltrim(after) != after) & (F.char_length(word) == 3), word.try_cast("int"))
     by_status = F.when(status.isin(*RETRIED_STATUS) | (status >= 500), True).when((status >= 300) & (status < 500), False).otherwise(True)
     return F.when(permanent, False).otherwise(by_status)
 

@@ -36,7 +36,7 @@ def test_failures_wait_longer_and_then_stop(spark):
 
 
 def test_failure_messages(spark):
-    cases = [("Image HTTP failure 429", True), ("image http failure 503", True), ("Image HTTP failure 404", False), ("image http failure 302", False), ("Unsupported image MIME text/html", False), ("connection reset", True), ("Image redirect loop detected", False)]
+    cases = [("Image HTTP failure 429", True), ("image http failure 503", True), ("Image HTTP failure 404", False), ("image http failure 302", False), ("Unsupported image MIME text/html", False), ("connection reset", True), ("Image redirect loop detected", False), ("image http failure  404: gone", False), ("image http failure404", True), ("image http failure 4040", True), ("image http failure 404x", True), ("image http failure", True)]
     df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(cases)], "i int, m string")
     assert [r[0] for r in df.orderBy("i").select(work.is_retryable(F.col("m"))).collect()] == [x for _, x in cases]
 

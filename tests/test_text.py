@@ -43,6 +43,11 @@ def test_urls(spark):
 
 def test_redaction(spark):
     assert one(spark, text.redact, ["get http://me:pw@h/x\n password : abc, AccessKey=zz;"]) == ["get http://***:***@h/x password=***, AccessKey=***;"]
+    logins = ["sftp://me:p@w@h:22/a@b", "jdbc:db://u:p@h1:3306/x then ftp://v:q@h2?c=d", "http://h:80/x:y@z", "http://me@h/", "no address a:b@c", None, ""]
+    assert one(spark, text.redact, logins) == ["sftp://***:***@h:22/a@b", "jdbc:db://***:***@h1:3306/x then ftp://***:***@h2?c=d", "http://h:80/x:y@z", "http://me@h/", "no address a:b@c", None, ""]
+    values = ["a=1;Password=x=y:z,secret=k", "authorization: Bearer abc", "myACCESSKEY = v; rest", "the password is long", "password=", "password=http://h/?a=b rest", "password: authorization=x end"]
+    assert one(spark, text.redact, values) == ["a=1;Password=***,secret=k", "authorization=*** abc", "myACCESSKEY=***; rest", "the password is long", "password=***", "password=*** rest", "password=*** end"]
+    assert one(spark, text.redact, ["x" * 5000]) == ["x" * 1200]
 
 
 def test_sanitiser_unwraps_and_keeps_text():
