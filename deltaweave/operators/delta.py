@@ -64,6 +64,33 @@ def changed_rows(snapshot: DataFrame, mapping: DataFrame, products: DataFrame |
     return found.select(*(F.col(f"s.{k}") for k in keys), "m.id_product", action.alias("action"), F.when(moved, every).otherwise(changed_domains(domains)).alias("domains"), image.alias("image_changed"))
 
 
+def difference(snapshot: DataFrame, mapping: DataFrame, skipped: DataFrame, run: int, products: DataFrame | None = None, linked: DataFrame | None = None, domains: Sequence[str] = DOMAINS) -> DataFrame:
+    """Every key that isn't the same in both: (source_key, kind, action, domains, image_changed, id_product), kind new, changed or gone, in one full outer
+    join of keys and hashes. Sides that lie in buckets by the key aren't exchanged.
+
+    skipped: keys that the feed has in a form that can't be read, which keeps them from being gone. products, linked: as of changed_rows().
+    """
+    hashes = [*domains, *(["payload"] if "payload_hash" in snapshot.columns and "payload_hash" in mapping.columns else [])]
+    columns = [f"{h}_hash" for h in hashes]
+    s = snapshot.select("source_key", *columns).alias("s")
+    held = mapping.join(skipped.select("source_key", F.lit(True).alias("skipped")), "source_key", "left").select("source_key", "id_product", "out_of_feed", "last_seen_run_id", "skipped", *columns)
+    both = s.join(held.alias("m"), F.col("s.source_key") == F.col("m.source_key"), "full_outer")
+    here = lambda df, name: df.select(F.col("id_product").alias(f"{name}_id")).distinct().withColumn(name, F.lit(True))
+    for df, name in ((products, "exists"), (linked, "in_shop")):
+        both = both.withColumn(name, F.lit(True)) if df is None else both.join(here(df, name), F.col("m.id_product") == F.col(f"{name}_id"), "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    old, new = F.col("m.source_key").isNotNull(), F.col("s.source_key").isNotNull()
+    moved = ~F.col("exists") | ~F.col("in_shop")
+    touched = reduce(lambda a, b: a | b, (differs(h) for h in hashes))
+    lost = ~F.col("m.out_of_feed") & (F.coalesce("m.last_seen_run_id", F.lit(0)) != run) & F.col("skipped").isNull()
+    kind = F.when(new & ~old, "new").when(new & (F.col("m.out_of_feed") | moved | touched), "changed").when(~new & lost, "gone")
+    action = F.when(~old, "create").when(~new, "disable").when(~F.col("exists"), "recreate").when(~F.col("in_shop"), "relink").otherwise("update")
+    none = F.array().cast("array<string>")
+    every = F.array(*(F.lit(d) for d in APPLIED if d in domains), *([F.lit("combination")] if "combination" in domains else []))
+    told = F.when(~(old & new), none).when(moved, every).otherwise(changed_domains(domains))
+    image = F.when(~old, True).when(~new, False).otherwise((differs("image") if "image" in domains else F.lit(False)) | moved)
+    return both.withColumn("kind", kind).where("kind is not null").select(F.coalesce("s.source_key", "m.source_key").alias("source_key"), "kind", action.alias("action"), told.alias("domains"), image.alias("image_changed"), "m.id_product")
+
+
 def unchanged_rows(snapshot: DataFrame, mapping: DataFrame, changed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return snapshot.join(mapping, list(keys), "left_semi").join(changed, list(keys), "left_anti")
 

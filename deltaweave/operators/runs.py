@@ -8,11 +8,11 @@ from dataclasses import dataclass, field, replace
 
 STAGES = ("read", "import", "update", "remove")
 NEEDS = {"read": (), "import": ("read",), "update": ("read", "import"), "remove": ("read", "import", "update")}
-MOVES = {"pending": ("running",), "running": ("completed", "failed", "paused"), "paused": ("running",), "failed": ("running",), "completed": ()}
+MOVES = {"pending": ("running", "cancelled"), "running": ("completed", "failed", "paused", "cancelled"), "paused": ("running", "cancelled"), "failed": ("running", "cancelled"), "completed": (), "cancelled": ()}
 
 
 #: Schema of the table of runs.
-RUNS = "id_run long, id_shop long, source string, fingerprint string, policy string, n_valid long, base_version long, " + ", ".join(f"{s} string" for s in STAGES) + ", errors string"
+RUNS = "id_run long, id_shop long, source string, fingerprint string, policy string, n_valid long, base string, " + ", ".join(f"{s} string" for s in STAGES) + ", errors string"
 
 
 class RunError(RuntimeError):
@@ -48,7 +48,7 @@ class Run:
     policy: str = ""
     stages: dict[str, str] = field(default_factory=lambda: dict.fromkeys(STAGES, "pending"))
     n_valid: int = 0
-    base_version: int = -1  #: of the mapping that the run set out from
+    base: str = ""  #: the parts that the mapping had of the scope when it was read
     errors: list[str] = field(default_factory=list)
 
     def start(self, stage: str, newest_read: int | None = None) -> None:
@@ -82,15 +82,29 @@ class Run:
         if self.stages[stage] == "running":
             self.stages[stage] = "failed"
 
+    def cancel(self) -> None:
+        """Stages that aren't complete never will be."""
+        if self.stages["remove"] == "completed":
+            raise RunError("the run is complete")
+        self.check_alive()
+        for stage, status in self.stages.items():
+            if status != "completed":
+                self.move(stage, "cancelled")
+        self.errors.append("cancelled")
+
+    def check_alive(self) -> None:
+        if "cancelled" in self.stages.values():
+            raise RunError(f"run {self.id_run} has been cancelled")
+
     def resumed(self, row: dict | None) -> Run:
         """The run as an earlier attempt left it: a row of the table of runs, or none."""
         if row is None:
             return self
-        return replace(self, fingerprint=row["fingerprint"], policy=row["policy"], n_valid=row["n_valid"], base_version=row["base_version"], stages={s: "failed" if row[s] == "running" else row[s] for s in STAGES})
+        return replace(self, fingerprint=row["fingerprint"], policy=row["policy"], n_valid=row["n_valid"], base=row["base"], stages={s: "failed" if row[s] == "running" else row[s] for s in STAGES})
 
     def row(self, id_shop: int, source: str) -> tuple:
         """As RUNS has it."""
-        return (self.id_run, id_shop, source, self.fingerprint, self.policy, self.n_valid, self.base_version, *(self.stages[s] for s in STAGES), "; ".join(self.errors)[:8000])
+        return (self.id_run, id_shop, source, self.fingerprint, self.policy, self.n_valid, self.base, *(self.stages[s] for s in STAGES), "; ".join(self.errors)[:8000])
 
     @property
     def progress(self) -> int:

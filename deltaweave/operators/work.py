@@ -68,6 +68,20 @@ def apply_changes(queue: DataFrame, changed: DataFrame, key: str = "id_queue") -
     return queue.join(changed, key, "left_anti").unionByName(changed)
 
 
+def folded(base: DataFrame, log: DataFrame, key: str = "id_queue", seq: str = "seq") -> DataFrame:
+    """The last word of a log (whole rows, and their place in it) on each job, and the jobs that it says nothing on."""
+    columns = [c for c in log.columns if c not in (key, seq)]
+    last = log.groupBy(key).agg(F.max_by(F.struct(*columns), seq).alias("last")).select(key, *(F.col(f"last.{c}").alias(c) for c in columns))
+    return base.join(last, key, "left_anti").unionByName(last.select(*base.columns))
+
+
+def released(queue: DataFrame) -> DataFrame:
+    """Jobs in work wait again, held by nobody."""
+    busy = F.col("status") == "processing"
+    free = lambda c: F.when(busy, F.lit(None)).otherwise(F.col(c))
+    return queue.withColumns({"locked_by": free("locked_by"), "locked_until": free("locked_until"), "status": F.when(busy, "pending").otherwise(F.col("status"))})
+
+
 def heartbeat(queue: DataFrame, worker: str, now: Column, lease: str = IMAGE_LEASE) -> DataFrame:
     mine = holds(worker, now)
     return queue.withColumn("locked_until", F.when(mine, now + F.expr(lease)).otherwise(F.col("locked_until")))

@@ -18,6 +18,7 @@ import hashlib
 import json
 import os
 import re
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,12 +58,72 @@ def _place(path: str):
     return (fs.LocalFileSystem(), os.path.abspath(plain)) if plain is not None else fs.FileSystem.from_uri(path)
 
 
+class Pieces:
+    """A frozen copy as one seekable input: files of `size` bytes, named by where they begin; the last may be shorter."""
+
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
+        with open_file(f"{self.folder}/{PIECES}") as f:
+            found = json.loads(f.read())
+        self.length, self.size, self.at = found["length"], found["size"], 0
+        self.number, self.piece = None, None
+
+    def seek(self, offset: int, whence: int = os.SEEK_SET) -> int:
+        self.at = offset + {os.SEEK_SET: 0, os.SEEK_CUR: self.at, os.SEEK_END: self.length}[whence]
+        return self.at
+
+    def tell(self) -> int:
+        return self.at
+
+    def read(self, n: int = -1) -> bytes:
+        end, out = self.length if n < 0 else min(self.length, self.at + n), []
+        while self.at < end:
+            k = self.at // self.size
+            if k != self.number:
+                self.close()
+                self.number, self.piece = k, open_file(f"{self.folder}/{piece_name(k * self.size)}")
+            self.piece.seek(self.at - k * self.size)
+            some = self.piece.read(min(end, (k + 1) * self.size) - self.at)
+            if not some:
+                raise OSError(f"{self.folder} lacks bytes from {self.at} on")
+            out.append(some)
+            self.at += len(some)
+        return b"".join(out)
+
+    def close(self) -> None:
+        if self.piece is not None:
+            self.piece.close()
+        self.number, self.piece = None, None
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.close()
+
+
+#: Names of the files of a frozen copy: the list, which is there once all others are, and each piece.
+PIECES = "pieces.json"
+
+
+def piece_name(start: int) -> str:
+    return f"piece-{start:016d}"
+
+
+def is_frozen(path: str) -> bool:
+    """The path is a folder that freeze_parallel() has made whole."""
+    store, inner = _place(path)
+    return _exists(store, f"{inner.rstrip('/')}/{PIECES}")
+
+
 def open_file(path: str):
-    """A seekable input by path or URI."""
+    """A seekable input by path or URI; a frozen copy as the one file that it is a copy of."""
+    store, inner = _place(path)
+    if store.get_file_info(inner).type.name == "Directory":
+        return Pieces(path)
     plain = _local(path)
     if plain is not None:
         return open(plain, "rb")
-    store, inner = _place(path)
     return store.open_input_file(inner)
 
 
@@ -327,17 +388,25 @@ def plan(spark, path: str, start: int = 0, record: int = 0, size: int = PARTITIO
     return out
 
 
+def load_ranges(spark, path: str, ranges: list[tuple[int, int, int]]):
+    """Raw records of some of a feed's ranges, as plan() gives them."""
+    spark.dataSource.register(FeedSource)
+    return spark.read.format("feed_xml").option("path", path).option("ranges", json.dumps(ranges)).load()
+
+
 def load(spark, path: str, start: int = 0, record: int = 0, size: int = PARTITION_BYTES):
     """Raw records of a feed, from a byte and record on."""
-    spark.dataSource.register(FeedSource)
-    return spark.read.format("feed_xml").option("path", path).option("ranges", json.dumps(plan(spark, path, start, record, size))).load()
+    return load_ranges(spark, path, plan(spark, path, start, record, size))
 
 
 # Fingerprints, and inputs that don't change while a run reads them.
 
 
 def fingerprint(path: str) -> str:
-    """Of a file: place, size, times, identity where it is local, and both of its ends."""
+    """Of a file: place, size, times, identity where it is local, and both of its ends. Of a frozen copy: that of what it is a copy of."""
+    if is_frozen(path):
+        with open_file(f"{path.rstrip('/')}/{PIECES}") as f:
+            return json.loads(f.read())["fingerprint"]
     plain = _local(path)
     if plain is not None:
         s = os.stat(plain)
@@ -385,6 +454,44 @@ def freeze(path: str, run_dir: str) -> str:
     return f"{run_dir.rstrip('/')}/source.xml"
 
 
+def freeze_parallel(spark, path: str, folder: str, size: int = PARTITION_BYTES) -> str:
+    """A copy of the input for one run, made by tasks piece by piece; its folder. Nothing passes through the driver. The list of pieces comes last, and only
+    if the feed is then what it was at first; a copy that has one is never made again, so it stays as it is whatever becomes of the feed.
+
+    folder: by path, or by any URI that Arrow's file systems know; tasks write there too. A piece that a task writes again is the same.
+    """
+    if is_frozen(folder):
+        return folder
+    before = fingerprint(path)
+    with open_file(path) as f:
+        length = f.seek(0, os.SEEK_END)
+
+    def copy(batches):
+        store, top = _place(folder)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                with open_file(path) as f:
+                    f.seek(k * size)
+                    left, name = min(size, length - k * size), f"{top}/{piece_name(k * size)}"
+                    store.create_dir(top, recursive=True)
+                    own = f"{name}.{uuid.uuid4().hex}.tmp"
+                    with store.open_output_stream(own) as out:
+                        while left and (chunk := f.read(min(left, 16 * CHUNK))):
+                            out.write(chunk)
+                            left -= len(chunk)
+                    store.move(own, name)
+            yield batch
+
+    n = -(-length // size)
+    if n:
+        spark.range(0, n, 1, min(n, 10_000)).mapInArrow(copy, "id long").write.format("noop").mode("overwrite").save()
+    if fingerprint(path) != before:
+        raise FeedError("the feed has changed while it was copied")
+    store, top = _place(folder)
+    _put(store, f"{top}/{PIECES}", lambda out: out.write(json.dumps({"length": length, "size": size, "fingerprint": before}).encode()))
+    return folder
+
+
 def save_checkpoint(run_dir: str, record: int, byte: int) -> None:
     store, top = _place(run_dir)
     _put(store, f"{top}/checkpoint.json", lambda out: out.write(json.dumps({"record": record, "byte": byte}).encode()))
