@@ -27,6 +27,9 @@ from .words import blocks, bounds, hashes, mix, text_bytes
 WINDOW, STRIDE, HIDDEN, WIDTH = 32, 16, 8, 16
 WORDS = GRAMS = 1 << 15
 PART = 1 << 14
+#: Rows of every matrix that scores come from. Products of one shape add up each row's terms in one order, so a text's score doesn't depend on what it is
+#: worked on with.
+ROWS = 512
 NGRAMS = (3, 4, 5)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -97,7 +100,12 @@ class Network:
         return x
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.p["w"] + self.p["b"]
+        out, block = np.empty((len(x), 6 * HIDDEN), np.float32), np.zeros((ROWS, WIDTH), np.float32)
+        for k in range(0, len(x), ROWS):
+            part = x[k : k + ROWS]
+            block[: len(part)] = part
+            out[k : k + len(part)] = (block @ self.p["w"] + self.p["b"])[: len(part)]
+        return out
 
     def forward(self, x: np.ndarray, words: np.ndarray, mask: np.ndarray, keep: bool = False, projected: bool = False):
         """Logits of windows: x are vectors of distinct words (or what project() makes of them), words (windows, WINDOW) their numbers."""
@@ -197,10 +205,15 @@ class Texts:
         words = which[np.minimum(begin[:, None] + step, len(which) - 1)] if len(which) else np.zeros((0, WINDOW), np.int64)
         return Texts(keys, gram, span, words, mask, row, len(at) - 1)
 
-    def logits(self, net: Network, most: int = 2048) -> np.ndarray:
-        g = net.project(net.inputs(self.keys, self.gram, self.span))
-        parts = [net.forward(g, self.words[k : k + most], self.mask[k : k + most], projected=True) for k in range(0, len(self.row), most)]
-        return np.concatenate(parts) if parts else np.empty(0, np.float32)
+    def logits(self, net: Network) -> np.ndarray:
+        """Of each window; the last ones are worked out along with empty ones, so that all products have one shape."""
+        g, out = net.project(net.inputs(self.keys, self.gram, self.span)), np.empty(len(self.row), np.float32)
+        for k in range(0, len(self.row), ROWS):
+            n = min(ROWS, len(self.row) - k)
+            words, mask = np.zeros((ROWS, WINDOW), np.int64), np.ones((ROWS, WINDOW), bool)
+            words[:n], mask[:n] = self.words[k : k + n], self.mask[k : k + n]
+            out[k : k + n] = net.forward(g, words, mask, projected=True)[:n]
+        return out
 
     def highest(self, window_scores: np.ndarray) -> np.ndarray:
         out = np.full(self.rows, -np.inf)

@@ -57,6 +57,24 @@ def test_tokens_of_repeated_and_missing_ids_and_of_clashing_columns(spark):
     assert at[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(at, at[1:], strict=False))
 
 
+def test_scores_are_the_same_however_texts_are_dealt():
+    rng, words = np.random.default_rng(7), [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 400))) for _ in range(300)]
+    net = toxicity.Network.new(3)
+
+    def scores(order, size):
+        out = {}
+        for k in range(0, len(order), size):
+            some = order[k : k + size]
+            t = toxicity.Texts.of(pa.array([texts[i] for i in some], pa.string()))
+            out |= dict(zip(some, t.highest(t.logits(net)).tolist(), strict=True))
+        return [out[i] for i in range(len(texts))]
+
+    base = scores(list(range(300)), 300)
+    for size in (1, 7, 64, 299):
+        assert scores(rng.permutation(300).tolist(), size) == base  # to the last bit
+
+
 def test_toxicity_of_nothing_and_of_contradictory_labels(spark):
     docs = spark.createDataFrame([(k, f"calm words number {k}" if k % 2 else f"vile words number {k}", 1, 0.5) for k in range(60)], "doc_id long, text string, toxic int, score double")
     labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(60)] + [(k, 0) for k in range(0, 60, 4)], "doc_id long, toxic int")
