@@ -53,6 +53,56 @@ def fields_differ(a: Column, b: Column) -> Column:
     return F.abs(a - b) > TOLERANCE
 
 
+#: Fields of a variant that are compared as numbers.
+FIELDS = ("price_impact", "weight_impact", "wholesale_price", "minimal_quantity")
+
+
+def variants_by_fields(desired: DataFrame, owned: DataFrame, actual: DataFrame, authoritative: bool = True) -> DataFrame:
+    """As variants(), and by what the shop's variants really are: desired and actual have FIELDS too, and a variant whose fields differ from the desired ones by
+    more than the tolerance is changed even where its hash says nothing. A missing amount is 0, a missing quantity 1.
+
+    One pass: the rows of all three meet by (id_product, semantic), one group for each, in which there is one desired row, one owned row and the few
+    variants of that combination. fields_changed says that a used variant's fields differ.
+    """
+    keys = ["id_product", "semantic"]
+    numbers = [F.coalesce(F.col(f).cast("double"), F.lit(1.0 if f == "minimal_quantity" else 0.0)).alias(f) for f in FIELDS]
+    none = lambda kind: F.lit(None).cast(kind)
+    want_type, own_type = "struct<hash:string,stock_hash:string,fields:array<double>>", "struct<id_variant:bigint,hash:string,stock_hash:string>"
+    has_type = "struct<id_variant:bigint,fields:array<double>>"
+    want = desired.select(*keys, F.struct("hash", "stock_hash", F.array(*numbers).alias("fields")).alias("want"), none(own_type).alias("own"), none(has_type).alias("has"))
+    own = owned.select(*keys, none(want_type).alias("want"), F.struct(F.col("id_variant").cast("long").alias("id_variant"), "hash", "stock_hash").alias("own"), none(has_type).alias("has"))
+    has = actual.where("reusable and id_variant is not null").select(*keys, none(want_type).alias("want"), none(own_type).alias("own"), F.struct(F.col("id_variant").cast("long").alias("id_variant"), F.array(*numbers).alias("fields")).alias("has"))
+    met = want.unionByName(own).unionByName(has).groupBy(*keys).agg(F.min("want").alias("want"), F.min("own").alias("own"), F.array_sort(F.collect_set("has")).alias("free"))
+    mine = F.filter("free", lambda v: v["id_variant"] == F.col("own.id_variant"))
+    met = met.withColumn("chosen", F.when(F.size(mine) > 0, mine[0]).otherwise(F.get("free", F.lit(0))))
+    id_variant = F.col("chosen.id_variant")
+    created = id_variant.isNull()
+    moved = ~F.col("own.id_variant").eqNullSafe(id_variant)
+    fields = F.coalesce(F.exists(F.zip_with("want.fields", "chosen.fields", fields_differ), lambda x: x), F.lit(False))
+    row = lambda i, action, structure, stock, by_fields: F.struct(i.alias("id_variant"), F.lit(action).alias("action") if isinstance(action, str) else action.alias("action"), structure.alias("structure_changed"), stock.alias("write_stock"), by_fields.alias("fields_changed"))
+    kept = row(id_variant, F.when(created, "create").otherwise("use"), created | moved | ~F.col("own.hash").eqNullSafe(F.col("want.hash")) | fields, ~created & (moved | ~F.col("own.stock_hash").eqNullSafe(F.col("want.stock_hash"))), fields)
+    gone = row(F.col("own.id_variant"), "remove", F.lit(True), F.lit(False), F.lit(False))
+    wanted = F.col("want").isNotNull()
+    drop = F.col("own").isNotNull() & F.when(wanted, id_variant.isNotNull() & moved).otherwise(F.lit(authoritative))
+    rows = F.filter(F.array(F.when(wanted, kept), F.when(drop, gone)), lambda r: r.isNotNull())
+    return met.select(*keys, F.inline(rows))
+
+
+def healed_default(rows: DataFrame) -> DataFrame:
+    """(id_product, default_id, error): which of a product's surviving variants is the default afterwards, or why it can't be.
+
+    rows: (id_product, id_variant, survivor, wanted, is_default, in_shop), a row a variant of the shop or of the survivors. The wanted survivor is it, of several
+    or of none the one of smallest id; it has to be in the shop, and no variant of somebody else's may be the default. Without a survivor the
+    default stays what it is: the smallest that is one now.
+    """
+    least = lambda c: F.min(F.when(c, F.col("id_variant")))
+    s = F.col("survivor")
+    met = rows.groupBy("id_product").agg(least(s & F.col("wanted")).alias("wanted"), least(s).alias("first"), least(~s & F.col("is_default") & F.col("in_shop")).alias("outside"), least(F.col("is_default") & F.col("in_shop")).alias("now"), F.array_sort(F.collect_set(F.when(s & F.col("in_shop"), F.col("id_variant")))).alias("there"))
+    chosen = F.coalesce("wanted", "first")
+    error = F.when(chosen.isNull(), None).when(~F.array_contains("there", chosen), F.lit("the default isn't in the shop")).when(F.col("outside").isNotNull(), F.lit("another's variant is the default"))
+    return met.select("id_product", F.when(error.isNull(), F.coalesce(chosen, F.col("now"))).alias("default_id"), error.alias("error"))
+
+
 def default_variant(rows: DataFrame) -> DataFrame:
     """(id_product, id_variant, is_default): the default of each product, or the smallest id; two defaults are an error."""
     flagged = F.when(F.col("is_default"), F.col("id_variant"))

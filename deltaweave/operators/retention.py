@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .constraints import Check, Holds, Reference, Unique, examine
+
 
 def old_done_jobs(jobs: DataFrame, before: Column, orphans: DataFrame | None = None, orphan_keys: Sequence[str] = (), mapped: DataFrame | None = None, mapped_keys: Sequence[str] = ()) -> DataFrame:
     """Done jobs last changed before a time; without an orphan marker, and with a mapping, where these are given."""
@@ -80,19 +82,29 @@ def within_budget(frames: Sequence[tuple[str, DataFrame, str]], budget: int | Bu
     return out
 
 
-def collect_garbage(store, parts: Sequence[tuple[str, str, Callable[[DataFrame], DataFrame]]], budget: Budget, most: int = 50_000) -> dict:
-    """parts: (table of the store, its key, table to its doomed rows), in order. Each table is rewritten once, without the first doomed rows that the
-    budget leaves; the counts by table, and why it stopped before the end, if it did."""
+def collect_garbage(store, parts: Sequence[tuple[str, str, Callable[[DataFrame], DataFrame]]], budget: Budget, most: int = 50_000, chunk: int = 0) -> dict:
+    """parts: (table of the store, its key, table to its doomed rows), in order. Of each table the first doomed rows that the budget leaves go, `most` at
+    a time in all and `chunk` a step (0: all in one); the budget is looked at between steps. A step writes the keys that go, and nothing else of the table.
+    The counts by table, and why it stopped before the end, if it did."""
     out: dict = {}
     for name, key, doomed in parts:
+        left = budget.left(most)
         if budget.reason:
             break
-        table = store.read(name)
-        rest, gone = bounded_delete(table, doomed(table), key, budget.left(most))
-        n = table.count()
-        version = store.write(name, rest) if gone.take(1) else None
-        out[name] = n - store.read(name, version).count() if version else 0
-        budget.spent += out[name]
+        out[name] = 0
+        while left > 0 and not (out[name] and budget.reason):
+            table = store.read(name)
+            step = min(left, chunk) if chunk else left
+            gone = bounded_delete(table, doomed(table), key, step)[1]
+            hit = table.join(gone, key, "left_semi").count()
+            if not hit:
+                break
+            store.delete(name, gone)
+            out[name] += hit
+            budget.spent += hit
+            left -= step
+            if not chunk:
+                break
     return out | {"total": budget.spent, "stopped_by": budget.reason}
 
 
@@ -105,48 +117,58 @@ def checks(*rows: tuple[str, DataFrame, str]) -> DataFrame:
 #: Conditions of the state, each with its severity and the rows that break it, as SQL conditions over what doctor() joins.
 UNIQUE = (("mapping", ("id_shop", "source", "source_key")), ("mapping", ("id_shop", "id_product")), ("image_state", ("id_shop", "source", "source_key", "url_hash")), ("image_queue", ("id_shop", "id_product", "url_hash")), ("product_queue", ("id_shop", "source", "source_key")), ("orphans", ("id_shop", "id_product", "id_image")), ("category_mapping", ("id_shop", "supplier_key")))
 OWNED = ("image_state", "image_queue", "orphans")
+#: References that may be null: table, what is said, its columns, and the table and columns that have to have them.
+REFERENCES = (
+    ("mapping", "product exists", ("id_product",), "products", ("id_product",)),
+    ("image_state", "product exists", ("id_product",), "products", ("id_product",)),
+    ("image_state", "image exists", ("id_image", "id_product"), "images", ("id_image", "id_product")),
+    ("category_mapping", "category exists", ("id_category",), "categories", ("id_category",)),
+    ("size_groups", "group exists", ("id_attribute_group",), "attribute_groups", ("id_attribute_group",)),
+    ("size_values", "value exists", ("id_attribute", "id_attribute_group"), "attributes", ("id_attribute", "id_attribute_group")),
+    ("feature_mapping", "feature exists", ("id_feature",), "features", ("id_feature",)),
+    ("feature_values", "value exists", ("id_feature_value", "id_feature"), "feature_value_rows", ("id_feature_value", "id_feature")),
+    ("combination_mapping", "variant exists", ("id_product_attribute", "id_product"), "variants", ("id_product_attribute", "id_product")),
+    ("specific_price_mapping", "price exists", ("id_specific_price", "id_product"), "specific_prices", ("id_specific_price", "id_product")),
+)
 QUEUES = ("image_queue", "product_queue")
 
 
 def doctor(tables: dict[str, DataFrame], now: Column) -> DataFrame:
-    """name, status (ok, warning, error), n: every check whose tables are given. Keys that rows share, rows whose owner or product is gone, jobs with a lapsed
-    lease, failed or out of attempts, unknown states, orphans that are due, runs that two stages claim, rows of unknown runs, categories
-    that are mapped nowhere, and hashes that are missing."""
-    found: list[tuple[str, DataFrame, str]] = []
+    """name, status (ok, warning, error), n: every check whose tables are given, in one scan of each table. Keys that rows share, rows whose owner or product
+    is gone, jobs with a lapsed lease, failed or out of attempts, unknown states, orphans that are due, runs that two stages claim, rows of
+    unknown runs, categories that are mapped nowhere or to no category, groups and values that don't exist, and hashes that are missing."""
+    found: list[Check] = []
     has = lambda name, *cols: name in tables and set(cols) <= set(tables[name].columns)
     for name, keys in UNIQUE:
         if has(name, *keys):
-            found.append((f"{name}: one row a {'/'.join(keys)}", tables[name].groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "error"))
-    owner = ["id_shop", "source", "source_key", "id_product"]
+            found.append(Unique(name, f"{name}: one row a {'/'.join(keys)}", keys=keys))
+    owner = ("id_shop", "source", "source_key", "id_product")
     for name in OWNED:
         if has(name, *owner) and has("mapping", *owner):
-            found.append((f"{name}: has an owner", tables[name].join(tables["mapping"].select(*owner).distinct(), owner, "left_anti"), "warning" if name == "orphans" else "error"))
-    for name in ("mapping", "image_state"):
-        if has(name, "id_product") and has("products", "id_product"):
-            found.append((f"{name}: product exists", broken(tables[name].where("id_product is not null"), (tables["products"], ["id_product"])), "error"))
-    if has("image_state", "id_image") and has("images", "id_image", "id_product"):
-        found.append(("image_state: image exists", broken(tables["image_state"], (tables["images"], ["id_image", "id_product"])), "error"))
+            found.append(Reference(name, f"{name}: has an owner", "warning" if name == "orphans" else "error", owner, "mapping", owner))
+    for name, label, keys, other, others in REFERENCES:
+        if has(name, *keys) and has(other, *others):
+            found.append(Reference(name, f"{name}: {label}", "error", keys, other, others, optional=True))
     for name in QUEUES:
         if has(name, "status", "locked_until", "attempts"):
-            q = tables[name]
-            found.append((f"{name}: leases hold", q.where((F.col("status") == "processing") & (F.col("locked_until").isNull() | (F.col("locked_until") < now))), "warning"))
-            found.append((f"{name}: no failed job", q.where("status = 'failed'"), "warning"))
-            found.append((f"{name}: known states", q.where(~F.col("status").isin("pending", "processing", "done", "failed")), "error"))
-            found.append((f"{name}: attempts are left", q.where("status = 'pending' and attempts >= 5"), "warning"))
+            found.append(Holds(name, f"{name}: leases hold", "warning", (F.col("status") == "processing") & (F.col("locked_until").isNull() | (F.col("locked_until") < now))))
+            found.append(Holds(name, f"{name}: no failed job", "warning", F.col("status") == "failed"))
+            found.append(Holds(name, f"{name}: known states", "error", ~F.col("status").isin("pending", "processing", "done", "failed")))
+            found.append(Holds(name, f"{name}: attempts are left", "warning", (F.col("status") == "pending") & (F.col("attempts") >= 5)))
             if has("runs", "id_run") and has(name, "id_run"):
-                found.append((f"{name}: run is known", q.join(tables["runs"].select("id_run").distinct(), "id_run", "left_anti"), "warning"))
+                found.append(Reference(name, f"{name}: run is known", "warning", ("id_run",), "runs", ("id_run",)))
     if has("orphans", "available_at"):
-        found.append(("orphans: none is due", tables["orphans"].where(F.col("available_at") <= now), "warning"))
-    if has("runs", "read", "import", "update", "remove"):
-        r = tables["runs"]
-        found.append(("runs: one stage at a time", r.where(sum((F.col(s) == "running").cast("int") for s in ("read", "import", "update", "remove")) > 1), "error"))
-        found.append(("runs: none has failed", r.where(reduce(lambda a, b: a | b, (F.col(s) == "failed" for s in ("read", "import", "update", "remove")))), "warning"))
+        found.append(Holds("orphans", "orphans: none is due", "warning", F.col("available_at") <= now))
+    stages = ("read", "import", "update", "remove")
+    if has("runs", *stages):
+        found.append(Holds("runs", "runs: one stage at a time", "error", sum((F.col(s) == "running").cast("int") for s in stages) > 1))
+        found.append(Holds("runs", "runs: none has failed", "warning", reduce(lambda a, b: a | b, (F.col(s) == "failed" for s in stages))))
     if has("category_mapping", "id_category", "active"):
-        found.append(("category_mapping: active ones are mapped", tables["category_mapping"].where("active and id_category is null"), "warning"))
-    if "mapping" in tables:
-        for h in [c for c in tables["mapping"].columns if c.endswith("_hash")]:
-            found.append((f"mapping: {h} is there", tables["mapping"].where(F.col(h).isNull() | (F.col(h) == "")), "warning"))
-    return checks(*found)
+        found.append(Holds("category_mapping", "category_mapping: active ones are mapped", "warning", F.col("active") & F.col("id_category").isNull()))
+    for c in tables["mapping"].columns if "mapping" in tables else ():
+        if c.endswith("_hash"):
+            found.append(Holds("mapping", f"mapping: {c} is there", "warning", F.col(c).isNull() | (F.col(c) == "")))
+    return examine(tables, found)
 
 
 def status_report(id_shop: int, source: str, settings: dict, runs: DataFrame, errors: DataFrame, image_queue: DataFrame, product_queue: DataFrame, orphans: DataFrame) -> DataFrame:

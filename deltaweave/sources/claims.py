@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import work
-from .store import Conflict, Store, under
+from .store import DELETED, Conflict, Store, under
 
 LOG, BASE = "log", "base"
 
@@ -39,7 +39,7 @@ class Queue:
     def state(self, parts: dict[str, str] | None = None) -> DataFrame:
         """Jobs as they are, with the token of the last claim (0: none)."""
         parts = self._seen()[1] if parts is None else parts
-        base = self._read([f for p, f in parts.items() if not under(p, LOG)])
+        base = self.store.without_deleted([f for p, f in parts.items() if not under(p, LOG) and not under(p, DELETED)], parts)
         base = base if "token" in base.columns else base.withColumn("token", F.lit(0).cast("long"))
         log = [f for p, f in parts.items() if under(p, LOG)]
         return work.folded(base, self._read(log)) if log else base

@@ -10,6 +10,7 @@ The source can be read by itself too; then the driver looks through the feed:
 
     spark.dataSource.register(FeedSource)
     spark.read.format("feed_xml").option("path", ...).option("startByte", 0).option("startRecord", 0).load()
+    spark.readStream.format("feed_xml").option("path", ...).option("maxBytes", 1 << 30).option("position", ...).load()
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..schemas import RAW_RECORD
 
@@ -285,17 +286,94 @@ class FeedReader(DataSourceReader):
         return parts or [Range(0, 0, 0)]
 
     def read(self, partition: Range):
-        if partition.end == partition.start:
-            return
+        return read_range(self.path, partition)
+
+
+def read_range(path: str, part: Range) -> Iterator[tuple]:
+    """The records that begin in a range."""
+    if part.end == part.start:
+        return
+    with open_file(path) as f:
+        for k, (a, b) in enumerate(spans(f, part.start)):
+            if a >= part.end:
+                return
+            f2 = f.tell()
+            f.seek(a)
+            fragment = f.read(b - a)
+            f.seek(f2)
+            yield parse(fragment, part.record + k + 1, b)
+
+
+CLOSED = re.compile(rb"(</product\s*|/)>$")
+
+
+class FeedStream(DataSourceStreamReader):
+    """A feed in micro-batches: offsets are the byte and the record that have been reached, and never lie within a record. A feed may grow; what it has of
+    a record that isn't closed waits. Each batch takes up to `maxBytes`, if given.
+
+    Spark names no offset when it asks for the latest one, so after a restart the first batch would take all that is there. Where `position` names a
+    file, each batch leaves its end there once it is done, and a query that goes on begins with a batch of the usual size.
+    """
+
+    def __init__(self, options):
+        self.path, self.size = options["path"], int(options.get("partitionBytes", PARTITION_BYTES))
+        self.most, self.position = int(options.get("maxBytes", 0)), options.get("position")
+        self.at: dict | None = None
+
+    def initialOffset(self) -> dict:
+        return {"byte": 0, "record": 0}
+
+    def _known(self) -> dict:
+        if self.position is not None:
+            try:
+                with open_file(self.position) as f:
+                    return json.loads(f.read())
+            except OSError:
+                pass
+        return self.initialOffset()
+
+    def latestOffset(self) -> dict:
+        at = self.at or self._known()
+        bounded = self.most > 0 and (self.at is not None or self.position is not None)
+        byte, n = at["byte"], 0
         with open_file(self.path) as f:
-            for k, (a, b) in enumerate(spans(f, partition.start)):
-                if a >= partition.end:
-                    return
-                f2 = f.tell()
-                f.seek(a)
-                fragment = f.read(b - a)
-                f.seek(f2)
-                yield parse(fragment, partition.record + k + 1, b)
+            if at["byte"] == 0:
+                check_root(f.read(HEAD))
+            last = None
+            for a, b in spans(f, at["byte"]):
+                if last is not None:
+                    byte, n = last[1], n + 1
+                    if bounded and byte - at["byte"] >= self.most:
+                        break
+                last = (a, b)
+            else:
+                if last is not None:
+                    f.seek(max(last[0], last[1] - 64))
+                    if CLOSED.search(f.read(last[1] - f.tell())):
+                        byte, n = last[1], n + 1
+        self.at = {"byte": byte, "record": at["record"] + n}
+        return self.at
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        parts: list[Range] = []
+        if start["byte"] < end["byte"]:
+            with open_file(self.path) as f:
+                for k, (a, b) in enumerate(spans(f, start["byte"])):
+                    if a >= end["byte"]:
+                        break
+                    if parts and b - parts[-1].start <= self.size:
+                        parts[-1].end = b
+                    else:
+                        parts.append(Range(a, b, start["record"] + k))
+        return parts
+
+    def read(self, partition: Range):
+        return read_range(self.path, partition)
+
+    def commit(self, end: dict) -> None:
+        if self.position is not None:
+            store, inner = _place(self.position)
+            _put(store, inner, lambda out: out.write(json.dumps(end).encode()))
 
 
 class FeedSource(DataSource):
@@ -309,6 +387,9 @@ class FeedSource(DataSource):
     def reader(self, schema):
         return FeedReader(self.options)
 
+    def streamReader(self, schema):
+        return FeedStream(self.options)
+
 
 # The parallel look through a feed.
 
