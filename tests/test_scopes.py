@@ -307,3 +307,86 @@ def test_transactions_count_whole_or_not_at_all(spark, tmp_path):
     assert store.write("t", spark.range(2), part="y", expect={}) and sorted(store.parts("t")) == ["", "x", "y"]
     numbers = [(s.reserve("n", k), k) for s, k in zip(itertools.cycle([store, other]), (3, 4, 1), strict=False)]
     assert numbers == [(1, 3), (4, 4), (8, 1)] and store.reserve("n", 2, 100) == 101
+
+
+def test_deletions_write_keys_alone_and_stop_between_chunks(spark, tmp_path):
+    from deltaweave.operators import retention
+    from deltaweave.sources.store import MOST_VECTORS
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.write("t", spark.range(5000).selectExpr("id", "repeat('x', 500) as pad", "id % 50 as k"))
+    size = lambda: sum(os.path.getsize(f) for f in glob.glob(f"{store.folder}/t/**", recursive=True) if os.path.isfile(f))
+    parts, before = dict(store.parts("t")), size()
+    got = retention.collect_garbage(store, [("t", "id", lambda df: df.where("id % 2 = 0"))], retention.Budget(rows=700), chunk=300)
+    assert got == {"t": 700, "total": 700, "stopped_by": "rows"} and store.parts("t")[""] == parts[""]
+    keys = [f for p, f in store.parts("t").items() if p.startswith("deleted")]
+    assert len(keys) == 3 and size() - before < 30_000
+    left = [r.id for r in store.read("t").collect()]
+    assert len(left) == 4300 and not set(left) & set(range(0, 1400, 2))
+    ticks = iter([0, 0, 1, 99, 99, 99])
+    got = retention.collect_garbage(store, [("t", "id", lambda df: df.where("id % 2 = 0"))], retention.Budget(seconds=60, clock=lambda: next(ticks)), chunk=100)
+    assert got["stopped_by"] == "time" and got["t"] == 200
+    for k in range(MOST_VECTORS):
+        store.delete("t", spark.createDataFrame([(k,)], "k long").select("k")) if k == 99 else store.delete("t", spark.createDataFrame([(4901 + 2 * k,)], "id long"))
+    assert sum(p.startswith("deleted") for p in store.parts("t")) < MOST_VECTORS and store.read("t").count() == 4100 - MOST_VECTORS
+    with pytest.raises(LookupError):
+        store.delete("none", spark.range(1))
+
+
+def test_a_feed_as_a_stream_is_the_feed_as_a_table(spark, tmp_path):
+    path, out = tmp_path / "feed.xml", str(tmp_path / "out")
+    whole = xml(*(record(k, name=f"name {k}") for k in range(1, 31)))
+    cut_at = whole.index(b'<product id="20"') + 40  # within a record
+    path.write_bytes(whole[:cut_at])
+    spark.dataSource.register(feed.FeedSource)
+
+    def run(**options):
+        q = spark.readStream.format("feed_xml").options(path=str(path), **options).load().writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).start(out)
+        try:
+            q.processAllAvailable()
+            return [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+        finally:
+            q.stop()
+
+    first = run(maxBytes="2500", position=str(tmp_path / "at.json"))
+    assert sum(first) == 19 and len(first) > 2 and max(first) <= 6
+    path.write_bytes(whole)
+    more = run(maxBytes="2500", position=str(tmp_path / "at.json"))
+    assert sum(more) == 11 and max(more) <= 6
+    got = sorted(map(str, spark.read.parquet(out).collect()))
+    assert got == sorted(map(str, feed.load(spark, str(path)).collect()))
+
+
+def test_every_check_has_a_row_that_passes_and_one_that_fails(spark):
+    from deltaweave.operators import retention
+
+    owner = "id_shop int, source string, source_key string, id_product long"
+    queue = f"{owner}, url_hash string, id_run long, status string, attempts int, locked_until timestamp_ntz"
+    early, late = NOW - timedelta(hours=1), NOW + timedelta(hours=1)
+    schemas = {
+        "mapping": (f"{owner}, core_hash string", [(1, "s", "a", 1, "h"), (1, "s", "b", 2, "h")], [(1, "s", "a", 3, ""), (1, "s", "c", 2, None), (1, "s", "d", 77, "h")]),
+        "products": ("id_product long", [(1,), (2,), (3,)], []),
+        "image_state": (f"{owner}, url_hash string, id_image long", [(1, "s", "a", 1, "u", 5)], [(1, "s", "a", 1, "u", 6), (1, "s", "x", 88, "v", 5)]),
+        "images": ("id_image long, id_product long", [(5, 1)], []),
+        "image_queue": (queue, [(1, "s", "a", 1, "u", 1, "processing", 1, late), (1, "s", "b", 2, "u", 1, "done", 5, None)], [(1, "s", "z", 9, "u", 7, "processing", 1, early), (1, "s", "a", 1, "u", 1, "failed", 5, None), (1, "s", "a", 1, "w", 1, "lost", 0, None), (1, "s", "a", 1, "y", 1, "pending", 5, None)]),
+        "product_queue": ("id_shop int, source string, source_key string, id_run long, status string, attempts int, locked_until timestamp_ntz", [(1, "s", "a", 1, "pending", 0, None)], [(1, "s", "a", 8, "processing", 1, None), (1, "s", "b", 1, "failed", 1, None), (1, "s", "c", 1, "?", 1, None), (1, "s", "d", 1, "pending", 9, None)]),
+        "orphans": (f"{owner}, id_image long, available_at timestamp_ntz", [(1, "s", "a", 1, 4, late)], [(1, "s", "q", 1, 4, early)]),
+        "runs": ("id_run long, read string, import string, update string, remove string", [(1, "completed", "running", "pending", "pending")], [(2, "running", "running", "failed", "pending")]),
+        "category_mapping": ("id_shop int, supplier_key string, id_category long, active boolean", [(1, "k", 10, True)], [(1, "k", 11, True), (1, "l", None, True)]),
+        "categories": ("id_category long", [(10,)], []),
+        "size_groups": ("id_attribute_group long", [(1,), (None,)], [(2,)]),
+        "attribute_groups": ("id_attribute_group long", [(1,)], []),
+        "size_values": ("id_attribute long, id_attribute_group long", [(1, 1)], [(1, 2)]),
+        "attributes": ("id_attribute long, id_attribute_group long", [(1, 1)], []),
+        "combination_mapping": ("id_product_attribute long, id_product long", [(1, 1)], [(1, 2)]),
+        "variants": ("id_product_attribute long, id_product long", [(1, 1)], []),
+    }
+    frames = lambda bad: {n: spark.createDataFrame(good + (worse if bad else []), s) for n, (s, good, worse) in schemas.items()}
+    good = {r.name: (r.status, r.n) for r in retention.doctor(frames(False), at()).collect()}
+    bad = {r.name: (r.status, r.n) for r in retention.doctor(frames(True), at()).collect()}
+    assert len(good) >= 30 and set(good) == set(bad)
+    assert all(v == ("ok", 0) for v in good.values()), {k: v for k, v in good.items() if v[1]}
+    assert all(v[0] in ("warning", "error") and v[1] > 0 for v in bad.values()), {k: v for k, v in bad.items() if not v[1]}
+    assert bad["mapping: one row a id_shop/source/source_key"] == ("error", 1) and bad["mapping: core_hash is there"] == ("warning", 2)
+    plan = retention.doctor({"mapping": frames(True)["mapping"]}, at())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2, "the table once, and the list of checks"
