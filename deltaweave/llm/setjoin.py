@@ -49,9 +49,10 @@ FILTER_BITS = 1 << 23
 #: Lists longer than this are cut by size class and into tiles of TILE entries a side.
 LONG = 512
 TILE = 256
-SHORT = 64
+SHORT, ROWS = 64, 64
 #: An element that some task has this often is looked at as one whose list may be long.
 OFTEN = 8
+_EVEN_BYTES, _LANES = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
 #: Bytes of packed texts that are unpacked at once.
 PACKED = 1 << 18
 
@@ -123,18 +124,28 @@ def _apart(x: bytes, y: bytes) -> int:
 class Parities:
     """How the join looks at classes before it has their sets: lists by prefix elements, and sketches of parities."""
 
-    column, ordered, thin = "prefix", True, False
+    column, ordered, thin, tile = "prefix", True, False, TILE
 
     def __init__(self, terms: Terms):
         self.terms = terms
 
+    def meets(self, e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of the lists e, by sketches, are that list's to give out."""
+        return np.ones(len(e), bool)
+
     def elements(self, column: pa.Array) -> list[np.ndarray]:
         """What lists each class is in, from the column that says so."""
         return [np.frombuffer(p, "<i8") for p in column.to_pylist()]
 
     def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Distances of sketches, row by row; they obey the triangle inequality."""
-        return np.bitwise_count(x ^ y).sum(axis=-1)
+        """Distances of sketches of PARITY_BITS, row by row; they obey the triangle inequality. The counts of a row's eight words are added up as lanes of one."""
+        counts = np.bitwise_count(x ^ y).view(np.uint64)[..., 0]
+        pairs = (counts & _EVEN_BYTES) + ((counts >> np.uint64(8)) & _EVEN_BYTES)
+        return ((pairs * _LANES) >> np.uint64(48)).astype(np.int64)
+
+    def sketch(self, bits: np.ndarray) -> np.ndarray:
+        """The part of a class's bits that apart() looks at."""
+        return bits
 
     def most(self, nx, ny):
         """The largest distance of linked sets of these sizes."""
@@ -142,15 +153,15 @@ class Parities:
 
     def near(self, nx, bits_x, wide_x, ny, bits_y, wide_y) -> tuple[np.ndarray, np.ndarray]:
         """(may link, distance) of pairs by all that classes hold."""
-        far, most = self.apart(_rows(bits_x), _rows(bits_y)), self.most(nx, ny)
+        far, most = self.apart(self.sketch(_rows(bits_x)), self.sketch(_rows(bits_y))), self.most(nx, ny)
         for k in np.flatnonzero((far <= most) & ((nx > PARITY_BITS) | (ny > PARITY_BITS))).tolist():
-            far[k] = _apart(*((w if w[k].is_valid else b)[k].as_py() for b, w in ((bits_x, wide_x), (bits_y, wide_y))))
+            far[k] = _apart(*(w[k].as_py() if w[k].is_valid else b[k].as_py()[: PARITY_BITS // 8] for b, w in ((bits_x, wide_x), (bits_y, wide_y))))
         return far <= most, far
 
 
 def _rows(column) -> np.ndarray:
-    """A column of sketches of one length as a matrix of bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    """A column of sketches of one length, a whole number of 64-bit words, as a matrix of those."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
 def _frequencies(rows: DataFrame, n: int) -> np.ndarray:
@@ -462,24 +473,45 @@ class _List:
 
     def __init__(self, terms: Terms, measure, n, pos, sid, root, side, bits):
         order = np.lexsort((pos, n))
-        self.measure, self.order, self.terms, self.n, self.pos, self.sid, self.root, self.side, self.bits = measure, order, terms, n[order], pos[order], sid[order], root[order], side[order], bits[order]
+        self.measure, self.order, self.terms, self.n, self.pos, self.sid, self.root, self.side, self.bits = measure, order, terms, n[order], pos[order], sid[order], root[order], side[order], measure.sketch(bits)[order]
 
     def pairs(self):
+        """(x, y, distance) of entries of different components that may link, x that of the lesser component."""
+        by_root = np.argsort(self.root, kind="stable")
+        size = np.diff(np.append(np.flatnonzero(np.concatenate([[True], np.diff(self.root[by_root]) != 0])), len(by_root)))
+        alone = np.repeat(size == 1, size)
+        yield from self._singles(np.sort(by_root[alone]))
+        if (size > 1).any():
+            yield from self._several(np.split(by_root[~alone], np.cumsum(size[size > 1])[:-1]))
+
+    def _singles(self, entries: np.ndarray):
+        """Of entries that are alone of their component in the list, ROWS at a time against what sizes allow."""
+        n, pos, terms = self.n, self.pos, self.terms
+        for k in range(0, len(entries), ROWS):
+            xs = entries[k : k + ROWS]
+            lo = np.searchsorted(n, -(-n[xs[0]] * terms.num // terms.den))
+            ys = np.arange(lo, np.searchsorted(n, n[xs[-1]] * terms.den // terms.num, "right"))
+            x, y = np.nonzero((self.root[ys] > self.root[xs, None]) & ((self.side[ys] != self.side[xs, None]) | (self.side[xs, None] == WITHIN)))
+            x, y = xs[x], ys[y]
+            good = _may_link(terms, n[x], pos[x], n[y], pos[y])
+            x, y = x[good], y[good]
+            far = self.measure.apart(self.bits[x], self.bits[y])
+            near = far <= self.measure.most(n[x], n[y])
+            yield x[near], y[near], far[near]
+
+    def _several(self, components: list[np.ndarray]):
+        """Of components with more entries, each derived from the first one of it."""
         n, pos, terms = self.n, self.pos, self.terms
         new = np.concatenate([[True], (n[1:] != n[:-1]) | (pos[1:] != pos[:-1])])
-        begin = np.flatnonzero(new)
-        end, block = np.append(begin[1:], len(n)), np.cumsum(new) - 1
+        begin, block = np.flatnonzero(new), np.cumsum(new) - 1
         alive = {}
-        by_root = np.argsort(self.root, kind="stable")
-        cuts = np.flatnonzero(np.diff(self.root[by_root])) + 1
-        for members in np.split(by_root, cuts):
+        for members in components:
             first = members[0]
             apart = self.measure.apart(self.bits, self.bits[first])
             for x in members:
                 k = block[x]
                 if k not in alive:
-                    good = _may_link(terms, n[x], pos[x], n[begin], pos[begin])
-                    alive[k] = np.concatenate([np.arange(b, e) for b, e in zip(begin[good], end[good], strict=True)] or [np.empty(0, np.int64)])
+                    alive[k] = np.flatnonzero(_may_link(terms, n[x], pos[x], n[begin], pos[begin])[block])
                 y = alive[k]
                 y = y[(self.root[y] > self.root[x]) & ((self.side[y] != self.side[x]) | (self.side[x] == WITHIN))]
                 most = self.measure.most(n[x], n[y])
@@ -494,7 +526,7 @@ def _across(live: DataFrame, terms: Terms, measure, nearest: bool) -> DataFrame:
     """Candidate pairs of different components, from postings (e, part, tile, n, sid, pos, root, side, bits) in order of the first three; if
     nearest, of each list only the pair that is least apart for each set."""
 
-    def short(key, n, pos, root, side, bits):
+    def short(key, n, pos, root, side, sketch):
         """All short lists at once: entries that stand d apart, for each d."""
         for d in range(1, SHORT):
             same = np.flatnonzero(key[d:] == key[:-d])
@@ -503,7 +535,7 @@ def _across(live: DataFrame, terms: Terms, measure, nearest: bool) -> DataFrame:
             x, y = same, same + d
             good = (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == WITHIN)) & _may_link(terms, n[x], pos[x], n[y], pos[y])
             x, y = x[good], y[good]
-            far = measure.apart(bits[x], bits[y])
+            far = measure.apart(sketch[x], sketch[y])
             near = far <= measure.most(n[x], n[y])
             yield x[near], y[near], far[near]
 
@@ -513,7 +545,7 @@ def _across(live: DataFrame, terms: Terms, measure, nearest: bool) -> DataFrame:
         size = np.diff(np.append(edge, len(key)))
         number = np.repeat(np.arange(len(edge)), size)
         small = np.flatnonzero(np.repeat(size <= SHORT, size))
-        for x, y, far in short(number[small], n[small], pos[small], root[small], side[small], bits[small]):
+        for x, y, far in short(number[small], n[small], pos[small], root[small], side[small], measure.sketch(bits)[small]):
             yield small[x], small[y], far
         for a, s in zip(edge[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
             z = slice(a, a + s)
@@ -542,6 +574,8 @@ def _across(live: DataFrame, terms: Terms, measure, nearest: bool) -> DataFrame:
         found = list(work(c))
         if found:
             x, y, far = (np.concatenate([f[k] for f in found]) for k in range(3))
+            own = measure.meets(c[0][x, 0], c[6][x], c[6][y])
+            x, y, far = x[own], y[own], far[own]
             if nearest:
                 entry, other, far = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([far, far])
                 order = np.lexsort((other, far, entry))
@@ -594,7 +628,7 @@ def grouped(rows: DataFrame, docs: DataFrame, terms: Terms, measure) -> DataFram
         rooted = cut(live.drop("before").join(labels, "sid"), "rooted")
         each = rooted.groupBy("e", "root").agg(F.count("*").alias("members"))
         mixed = each.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("members").alias("length"), F.max(F.struct("members", "root")).alias("main")).where("r0 <> r1")
-        mixed = cut(mixed.select("e", "length", F.col("main.root").alias("main"), F.ceil(F.col("main.members") / TILE).alias("m"), F.ceil((F.col("length") - F.col("main.members")) / TILE).alias("k")), "mixed")
+        mixed = cut(mixed.select("e", "length", F.col("main.root").alias("main"), F.ceil(F.col("main.members") / measure.tile).alias("m"), F.ceil((F.col("length") - F.col("main.members")) / measure.tile).alias("k")), "mixed")
         # A long list's entries of its main component go to m tiles, the others to k; a tile of one is held against each of the k.
         is_main, own = F.col("root") == F.col("main"), F.pmod(F.xxhash64("sid"), F.when(F.col("root") == F.col("main"), F.col("m")).otherwise(F.col("k")))
         others = F.sequence(F.lit(0).cast("long"), F.col("k") - 1)

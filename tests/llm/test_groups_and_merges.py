@@ -5,7 +5,6 @@ import random
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,17 +184,18 @@ def test_coded_branches(spark, tmp_path):
     assert queries.op12_branch_merge(spark, f"{tmp_path}/none").count() == 0
 
 
-SMALL = multiindex.Signature(values=12, bits=2, chunk=4, errors=1)
+SMALL = multiindex.Signature(values=24, bits=2, chunk=4, errors=1)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(0, 3), min_size=12, max_size=12), st.dictionaries(st.integers(0, 11), st.integers(0, 3), max_size=SMALL.radius))
+@given(st.lists(st.integers(0, 3), min_size=24, max_size=24), st.dictionaries(st.integers(0, 23), st.integers(0, 3), max_size=SMALL.radius))
 def test_every_pair_within_the_radius_shares_a_list(values, changes):
     x, y = np.array(values, np.uint8), np.array(values, np.uint8)
     for k, v in changes.items():
         y[k] = v
-    a, b = SMALL.elements(pa.array([x.tobytes(), y.tobytes()], pa.binary()))
+    a, b = SMALL.keys(np.stack([x, y]))
     assert (x != y).sum() <= SMALL.radius and set(a.tolist()) & set(b.tolist())
+    assert SMALL.first_shared(x[None], y[None])[0] == next(p for p, q in zip(a.tolist(), b.tolist(), strict=True) if p == q)
     assert len(set(a.tolist())) == len(a) == SMALL.chunks * 4
 
 
@@ -227,6 +227,8 @@ def test_multiindex_join(spark):
             for _ in range(rng.randrange(0, 1 + len(copy) // 25)):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             rows.append((len(rows), " ".join(copy)))
+    wide = [f"v{k}" for k in range(530)]  # sets on both sides of the width of the common sketch
+    rows += [(len(rows) + k, " ".join(wide[: 530 - 5 * k])) for k in range(8)]
     rows += [(900, None), (901, ""), (902, "two words"), (903, "TWO words"), (904, "long text here " * 30_000), (905, "long text here " * 30_000)]
     terms = setjoin.Terms(n=3, num=85, den=100)
     df = spark.createDataFrame([(*r, True, 0) for r in rows], "doc_id long, text string, kept boolean, n long")
