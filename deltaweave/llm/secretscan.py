@@ -301,10 +301,19 @@ def scan(df: DataFrame, forest: Forest | None = None, least: float = 0.5, id_col
 
 
 def redact(df: DataFrame, forest: Forest | None = None, least: float = 0.5, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Every secret's value in the texts is replaced by the mark; all rows and columns stay."""
+    """Every secret's value is replaced by the mark in the word where it was found, and nowhere else; all rows and columns stay."""
     forest = forest or train(df.sparkSession)
     text = F.col(text_col)
-    secrets = F.array_distinct(F.transform(F.filter(findings(text, forest), lambda f: f["score"] >= least), lambda f: F.struct((-F.char_length(f["value"])).alias("n"), f["value"].alias("value"))))
+
+    def clean(secrets: Column) -> Column:
+        def one(word: Column, i: Column) -> Column:
+            return F.aggregate(F.filter(secrets, lambda v: v["place"] == i), word, lambda w, v: F.replace(w, v["value"], F.lit(mark)))
+
+        words = F.transform(F.split(text, SPACE), one)
+        spaces = F.concat(F.regexp_extract_all(text, F.lit(f"({SPACE})"), 1), F.array(F.lit("")))  # one between each word and the next
+        return F.when(F.size(secrets) > 0, F.array_join(F.zip_with(words, spaces, lambda w, s: F.concat(w, s)), "")).otherwise(text)
+
     # Longer values first, as a shorter one may be a part of them.
-    clean = F.aggregate(F.array_sort(secrets), text, lambda t, v: F.replace(t, v["value"], F.lit(mark)))
-    return df.withColumn(text_col, F.coalesce(clean, text))
+    found = F.filter(findings(text, forest), lambda f: f["score"] >= least)
+    secrets = F.array_sort(F.array_distinct(F.transform(found, lambda f: F.struct((-F.char_length(f["value"])).alias("n"), f["place"].alias("place"), f["value"].alias("value")))))
+    return df.withColumn(text_col, F.coalesce(bind(secrets, clean), text))
