@@ -20,7 +20,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 SPECIAL = "*?#/"
@@ -45,17 +47,12 @@ class HostRule:
 BLOCK_GLOBS = ("**/wp-admin/**", "**/wp-login.php**", "**/cgi-bin/**", "**/login", "**/login/**", "**/signup/**", "**/cart/**", "**/checkout/**", "**/ads/**", "**/adserver/**", ".ads.*/**", ".adserver.*/**", "**.exe", "**.zip", "**.css", "**.js")
 
 
-def canonical(url: str | None) -> tuple[str, str]:
-    """(host, path) of a URL: what is between the first `://` and `/`, `?`, `#` or the end, A-Z lower-cased; then up to `?`, `#` or the end."""
-    _, mark, rest = (url or "").partition("://")
-    if not mark:
-        return "", ""
-    rest = rest.split("?", 1)[0].split("#", 1)[0]
-    host, slash, path = rest.partition("/")
-    return host.translate(_LOWER), slash + path
-
-
-_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
+def canonical(url: Column) -> tuple[Column, Column]:
+    """(host, path) of a URL: what is between the first `://` and `/`, `?`, `#` or the end, A-Z lower-cased; then up to `?`, `#` or the end. Both
+    are empty where there is no `://`."""
+    url = F.coalesce(url, F.lit(""))
+    host, path = F.regexp_extract(url, "://([^/?#]*)", 1), F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1)
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
 class Automaton:
@@ -154,12 +151,13 @@ def judge_urls(df: DataFrame, rules: Sequence[HostRule], block_globs: Sequence[s
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                both = [canonical(u) for u in part.column(1).to_pylist()]
-                fits = machine.run([b"." + h.encode() + p.encode() for h, p in both]) if machine else np.zeros((len(both), 0), bool)
+                both = pa.compute.binary_join_element_wise(".", part.column(1), part.column(2), "").cast(pa.binary()).to_pylist()
+                fits = machine.run(both) if machine else np.zeros((len(both), 0), bool)
                 named, globbed = fits[:, : len(names)], fits[:, len(names) :].any(axis=1)
                 found, which = named.any(axis=1).tolist(), (named.argmax(axis=1) if names else np.zeros(len(both), int)).tolist()
                 rule = [names[w] if f else None for f, w in zip(found, which, strict=True)]
                 verdict = [actions[w] if f else "block" if g else "allow" for f, w, g in zip(found, which, globbed.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.string()) for x in ([h for h, _ in both], [p for _, p in both], rule, verdict))], [c.split(" ")[0] for c in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *(pa.array(x, pa.string()) for x in (rule, verdict))], [c.split(" ")[0] for c in SCHEMA.split(", ")])
 
-    return df.select(df[id_col].cast("long").alias("page_id"), df[url_col].alias("url")).mapInArrow(run, SCHEMA)
+    host, path = canonical(df[url_col])
+    return df.select(df[id_col].cast("long").alias("page_id"), host.alias("host"), path.alias("path")).mapInArrow(run, SCHEMA)
