@@ -14,7 +14,7 @@ empty tables need no rule; other columns aren't read. Whole texts count, of any
 from __future__ import annotations
 
 import base64
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -210,3 +210,17 @@ def keep_good(df: DataFrame, rules: Rules, text_col: str = "text", lang_col: str
                 yield part.filter(pa.array(kept))
 
     return df.mapInArrow(run, df.schema)
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, rules: Rules, margin: float = 0.055, bound: int = 20_000, least_texts: int = 30) -> dict[tuple[str, str], Band]:
+    """Bands by language and script, to be Rules.languages: that of the script, with the limit of code points per byte-level token a margin below the least that a
+    good text has. FITTED was made so from sf0.1's first 5,000 documents.
+
+    Good texts are those labelled (doc_id, quality 1) that pass the base rules, the `bound` of smallest id hash at most; a language and script with
+    fewer than least_texts of them gets no band. Rows without an id or a language aren't learned from; an id with several labels is good if all are.
+    """
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    chosen = docs.join(F.broadcast(good), "doc_id", "left_semi").where("lang is not null")  # bound ids at most
+    found = measure_documents(chosen, rules).where("not base_failed").join(chosen.select("doc_id", "lang"), "doc_id")
+    limits = found.groupBy("lang", "script").agg(F.min("chars_per_byte_token").alias("least"), F.count("*").alias("n")).where(F.col("n") >= least_texts)
+    return {(r["lang"], r["script"]): replace(rules.scripts.get(r["script"], rules.default), least_byte_chars=round(r["least"] - margin, 3)) for r in limits.collect()}  # a row a language and script

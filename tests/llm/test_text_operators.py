@@ -212,3 +212,19 @@ def test_toxicity_learns_words_it_has_seen_in_other_forms(spark):
     assert np.mean([got[k].predicted == k % 2 for k in held]) >= 0.95
     flat = toxicity.score_texts(df, labels.where("toxic = 0")).collect()
     assert {x.score for x in flat} == {0.0}
+
+
+def test_bands_fitted_to_labelled_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    rules = quality_rules()
+    bands = quality.fit_bands(docs, labels, rules)
+    assert {(lang, "latin") for lang in quality.FITTED} <= set(bands)
+    for lang, (_, limit) in quality.FITTED.items():
+        assert abs(bands[lang, "latin"].least_byte_chars - limit) < 0.25
+    own = quality.Rules(rules.piece_model, rules.byte_ranks, rules.pattern, languages=bands)
+    found = quality.measure_documents(docs, own).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg({"*": "count", "kept": "max"}).collect()
+    kept = {r.quality: r.n for r in quality.measure_documents(docs, own).where("kept").join(labels, "doc_id").groupBy("quality").count().withColumnRenamed("count", "n").collect()}
+    whole = {r.quality: r["count(1)"] for r in found}
+    assert kept[1] == whole[1] and kept.get(0, 0) < whole[0]
+    assert quality.fit_bands(docs.limit(0), labels, rules) == {} and quality.fit_bands(docs, labels, rules, least_texts=10**9) == {}
