@@ -34,8 +34,6 @@ from .shared import cut
 from .words import blocks, mix
 
 PARITY_WORDS = PARITY_BITS // 64
-#: Pairs whose signatures are compared at once.
-AT_ONCE = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -121,12 +119,8 @@ class Neighbours(Parities):
         return np.ascontiguousarray(bits[:, :PARITY_WORDS])
 
     def meets(self, e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(e), bool)
-        for k in range(0, len(e), AT_ONCE):
-            part = slice(k, k + AT_ONCE)
-            a, b = self._signatures(x[part]), self._signatures(y[part])
-            out[part] = ((a != b).sum(axis=1) <= self.signature.radius) & (self.signature.first_shared(a, b) == e[part])
-        return out
+        a, b = self._signatures(x), self._signatures(y)
+        return ((a != b).sum(axis=1) <= self.signature.radius) & (self.signature.first_shared(a, b) == e)
 
     def near(self, nx, bits_x, wide_x, ny, bits_y, wide_y) -> tuple[np.ndarray, np.ndarray]:
         may, far = super().near(nx, bits_x, wide_x, ny, bits_y, wide_y)

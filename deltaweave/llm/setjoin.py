@@ -53,6 +53,8 @@ SHORT, ROWS = 64, 64
 #: An element that some task has this often is looked at as one whose list may be long.
 OFTEN = 8
 _EVEN_BYTES, _LANES = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
+#: Pairs whose sketches are gathered at once.
+AT_ONCE = 1 << 14
 #: Bytes of packed texts that are unpacked at once.
 PACKED = 1 << 18
 
@@ -475,16 +477,17 @@ class _List:
         order = np.lexsort((pos, n))
         self.measure, self.order, self.terms, self.n, self.pos, self.sid, self.root, self.side, self.bits = measure, order, terms, n[order], pos[order], sid[order], root[order], side[order], measure.sketch(bits)[order]
 
-    def pairs(self):
-        """(x, y, distance) of entries of different components that may link, x that of the lesser component."""
+    def pairs(self, nearest: bool):
+        """(x, y, distance) of entries of different components that may link, x that of the lesser component. If nearest, of many such pairs those that are
+        the least apart for one of the two."""
         by_root = np.argsort(self.root, kind="stable")
         size = np.diff(np.append(np.flatnonzero(np.concatenate([[True], np.diff(self.root[by_root]) != 0])), len(by_root)))
         alone = np.repeat(size == 1, size)
-        yield from self._singles(np.sort(by_root[alone]))
+        yield from self._singles(np.sort(by_root[alone]), nearest)
         if (size > 1).any():
             yield from self._several(np.split(by_root[~alone], np.cumsum(size[size > 1])[:-1]))
 
-    def _singles(self, entries: np.ndarray):
+    def _singles(self, entries: np.ndarray, nearest: bool):
         """Of entries that are alone of their component in the list, ROWS at a time against what sizes allow."""
         n, pos, terms = self.n, self.pos, self.terms
         for k in range(0, len(entries), ROWS):
@@ -497,7 +500,15 @@ class _List:
             x, y = x[good], y[good]
             far = self.measure.apart(self.bits[x], self.bits[y])
             near = far <= self.measure.most(n[x], n[y])
-            yield x[near], y[near], far[near]
+            x, y, far = x[near], y[near], far[near]
+            if nearest and len(x) > len(xs) + len(ys):
+                none = np.iinfo(np.int64).max
+                grid = np.full((len(xs), len(ys)), none)
+                grid[np.searchsorted(xs, x), y - lo] = far
+                best = np.concatenate([np.stack([np.arange(len(xs)), grid.argmin(axis=1)]), np.stack([grid.argmin(axis=0), np.arange(len(ys))])], axis=1)
+                i, j = best[:, grid[best[0], best[1]] < none]
+                x, y, far = xs[i], ys[j], grid[i, j]
+            yield x, y, far
 
     def _several(self, components: list[np.ndarray]):
         """Of components with more entries, each derived from the first one of it."""
@@ -551,7 +562,7 @@ def _across(live: DataFrame, terms: Terms, measure, nearest: bool) -> DataFrame:
             z = slice(a, a + s)
             if (root[z] != root[a]).any():
                 ordered = _List(terms, measure, n[z], pos[z], sid[z], root[z], side[z], bits[z])
-                for x, y, far in ordered.pairs():
+                for x, y, far in ordered.pairs(nearest):
                     yield a + ordered.order[x], a + ordered.order[y], far
 
     def run(batches):
@@ -574,13 +585,14 @@ def _across(live: DataFrame, terms: Terms, measure, nearest: bool) -> DataFrame:
         found = list(work(c))
         if found:
             x, y, far = (np.concatenate([f[k] for f in found]) for k in range(3))
-            own = measure.meets(c[0][x, 0], c[6][x], c[6][y])
-            x, y, far = x[own], y[own], far[own]
             if nearest:
                 entry, other, far = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([far, far])
                 order = np.lexsort((other, far, entry))
                 first = order[np.concatenate([[True], np.diff(entry[order]) != 0])] if len(order) else order
                 x, y = entry[first], other[first]
+            else:
+                own = [measure.meets(c[0][i, 0], c[6][i], c[6][j]) for i, j in ((x[k : k + AT_ONCE], y[k : k + AT_ONCE]) for k in range(0, len(x), AT_ONCE))]
+                x, y = (z[np.concatenate(own)] if own else z for z in (x, y))
             a, b = c[2][x], c[2][y]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             for k in range(0, len(both), 65536):
