@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import delta, reconcile, retention, work
+from ..operators import delta, reconcile, retention, work, workers
 from ..operators.constraints import Holds, Reference, Unique, examine
 from ..sources.store import Store, scratch
 from .feed_run import GRANULAR, by_domain
@@ -161,3 +161,37 @@ def garbage_in_order(t):
     store.write("vendors", t("vendors").select(F.col("vendor_id").alias("id")))
     retention.collect_garbage(store, [("sales", "id", lambda df: df.where("status = 'held'")), ("vendors", "id", lambda df: df.where("id % 2 = 0"))], retention.Budget(rows=300), chunk=100)
     return store.read("sales").select(F.lit("sales").alias("name"), "id").unionByName(store.read("vendors").select(F.lit("vendors").alias("name"), "id"))
+
+
+_OWNER = "EXISTS (SELECT 1 FROM clients WHERE client_id = k)"
+
+
+@query(f"""WITH c AS (SELECT sale_id AS q, client_id AS k, sale_id % 6 + 1 AS r, sale_id % 1000 AS ref FROM sales WHERE client_id IS NOT NULL),
+free AS (SELECT item_id % 1500 AS ref, min(item_id) AS p FROM items WHERE NOT EXISTS (SELECT 1 FROM clients WHERE client_id = item_id AND client_id % 3 = 0) GROUP BY 1 HAVING count(*) = 1),
+o AS (SELECT c.*, p, k % 3 = 0 AND {_OWNER} AS owned, k % 11 = 0 AND {_OWNER} AS busy FROM c LEFT JOIN free USING (ref))
+SELECT q AS id_queue, CASE WHEN busy THEN 'defer' WHEN r < 4 THEN 'supersede' WHEN owned THEN 'update' WHEN p IS NOT NULL THEN 'recover' ELSE 'create' END AS action, CASE WHEN owned THEN k ELSE p END AS id_product, r AS id_run FROM o""")
+def product_jobs(t):
+    """What a worker of new products does with each job: every sale is one, its client the owner, items the products without one."""
+    k, n = F.col("client_id"), F.col("n_nationkey") + 1
+    scope = [F.lit(1).alias("id_shop"), F.lit("s").alias("source")]
+    key = k.cast("string").alias("source_key")
+    claimed = t("sales").where("client_id is not null").select(F.col("sale_id").alias("id_queue"), *scope, key, (F.col("sale_id") % 6 + 1).alias("id_run"), (F.col("sale_id") % 1000).cast("string").alias("reference"))
+    mapping = t("clients").where(k % 3 == 0).select(*scope, key, k.alias("id_product"))
+    runs = t("nation").where(n <= 6).select(*scope, n.cast("long").alias("id_run"), (n <= 4).alias("read_completed"), (n == 2).alias("import_completed"))
+    products = t("items").select(F.col("item_id").alias("id_product"), (F.col("item_id") % 1500).cast("string").alias("reference"))
+    return workers.product_step(claimed, mapping, runs, products, t("clients").where(k % 11 == 0).select(*scope, key))
+
+
+@query("""WITH due AS (SELECT client_id, min(ts) AS oldest FROM clicks WHERE ts < TIMESTAMP '2024-03-01' AND client_id IN (SELECT client_id FROM clients WHERE client_id % 4 <> 0) AND client_id NOT IN (SELECT client_id FROM clients WHERE client_id % 7 = 0) GROUP BY 1),
+n AS (SELECT count(*) AS n_due, least(count(*), 50) AS n FROM due)
+SELECT 5 AS id_run, 'scheduled' AS status, n AS n_candidates, n AS n_products, 2 * n AS n_images, n_due - n AS n_deferred FROM n""")
+def revalidation_counts(t):
+    """How many owners' images are looked at again, 50 at most a call, and how many wait: owners are clients, what was looked at their clicks."""
+    k = F.col("client_id")
+    owner = [F.lit(1).alias("id_shop"), F.lit("s").alias("source"), k.cast("string").alias("source_key"), k.alias("id_product")]
+    runs = t("region").select((F.col("r_regionkey") + 1).cast("long").alias("id_run"), F.lit(True).alias("completed"), (F.col("r_regionkey") % 2 == 0).alias("reconciled"))
+    state = t("clicks").where("client_id is not null").select(*owner, F.col("ts").alias("updated_at"))
+    mapping = t("clients").select(*owner, (k % 4 == 0).alias("out_of_feed"))
+    manifest = t("clients").select(*owner, F.array(F.lit("u"), F.lit("v")).alias("urls"))
+    before = F.lit(datetime(2024, 3, 1)).cast("timestamp_ntz")
+    return workers.revalidate(runs, state, mapping, t("clients").where(k % 7 == 0).select(*owner), manifest, before, 50)[1]

@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, StructType
 from ..functions.hashing import with_hashes
 from ..operators import delta, rules, states
 from ..operators.normalize import MOST_PRODUCT_BYTES, Policy, normalize
-from ..operators.runs import RUNS, Run, RunError, policy_hash
+from ..operators.runs import RUNS, Run, RunError, policy_hash, resolve_language, setting
 from ..schemas import HASHES, MAPPING, RAW_RECORD
 from ..sources import feed
 from ..sources.store import BUCKET, Store, scope_key
@@ -75,6 +75,22 @@ def mapping(store: Store, prefix: str = "") -> DataFrame:
     return joined.withColumn("last_seen_run_id", late).select(*rows.columns)
 
 
+# Settings.
+
+#: Most bytes of a size group's name.
+MOST_GROUP_BYTES = 64
+
+
+def configured(policy: Policy, settings: dict, of_shop: set[int], shop_default: int | None = None, global_default: int | None = None) -> tuple[Policy, int]:
+    """(the policy that settings make, how many of a hundred products a run may remove). The language is the one that is set if the shop has it, else the shop's, else the
+    global one; numbers out of bounds count as not set; the size group's name has a bound."""
+    group = str(settings.get("size_group", policy.size_group)).strip()
+    if len(group.encode()) > MOST_GROUP_BYTES:
+        raise RunError(f"the size group's name exceeds {MOST_GROUP_BYTES} bytes")
+    language = resolve_language(setting(settings.get("language"), 0, 1, 2**31 - 1), of_shop, shop_default, global_default)
+    return replace(policy, language_id=language, size_group=group), setting(settings.get("most_removed"), 25, 1, 100)
+
+
 # Reading.
 
 

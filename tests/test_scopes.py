@@ -390,3 +390,18 @@ def test_every_check_has_a_row_that_passes_and_one_that_fails(spark):
     assert bad["mapping: one row a id_shop/source/source_key"] == ("error", 1) and bad["mapping: core_hash is there"] == ("warning", 2)
     plan = retention.doctor({"mapping": frames(True)["mapping"]}, at())._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2, "the table once, and the list of checks"
+
+
+def test_settings_make_a_policy():
+    from deltaweave.operators.normalize import Policy
+
+    made = lambda **s: feed_run.configured(Policy(), s, {1, 3}, 1, 9)
+    policy, most = made(language="3", most_removed="40", size_group=" Sizes ")
+    assert (policy.language_id, policy.size_group, most) == (3, "Sizes", 40)
+    assert [(p.language_id, m) for p, m in (made(), made(language=4, most_removed=0), made(language="x", most_removed="101"))] == [(1, 25)] * 3
+    assert feed_run.configured(Policy(), {"language": 4}, set(), None, 9)[0].language_id == 9
+    with pytest.raises(RunError, match="no language"):
+        feed_run.configured(Policy(), {}, {1}, None, None)
+    assert made(size_group="x" * 64)[0].size_group == "x" * 64
+    with pytest.raises(RunError, match="64 bytes"):
+        made(size_group="é" * 33)
