@@ -1,12 +1,13 @@
 """Snapshots that come in pieces: each micro-batch of normalised records is merged into the state.
 
 Nothing is removed by a piece, since what it lacks may be in the next; removal is a run's business. The state lies in buckets by key, each a table of its own,
-and a batch rewrites only the buckets that its keys fall in.
+and a batch rewrites only the buckets that its keys fall in: all of them in one job, from one written copy of the batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,9 @@ def bucket_of(key: str, buckets: int):
 
 
 def write_buckets(store: Store, state: DataFrame, buckets: int, table: str = "mapping") -> None:
-    """The state dealt to its buckets, as merge_stream expects it."""
-    for b in range(buckets):
-        store.write(f"{table}_{b}", state.where(bucket_of("source_key", buckets) == b))
+    """The state dealt to its buckets, as merge_stream expects it, in one pass."""
+    names = {b: f"{table}_{b}" for b in range(buckets)}
+    store.write_split(names, state, bucket_of("source_key", buckets))
 
 
 def read_buckets(store: Store, buckets: int, table: str = "mapping") -> DataFrame:
@@ -46,8 +47,7 @@ def merge_stream(stream: DataFrame, store: Store, checkpoint: str, run: int, on_
     aren't merged; on_conflicts gets them. buckets: 0 for one table, else the number that write_buckets() has dealt the state to.
     """
 
-    def merge(rows: DataFrame, name: str, number: int) -> None:
-        state = store.read(name)
+    def merged(rows: DataFrame, state: DataFrame, number: int) -> DataFrame:
         bad = delta.merge_conflicts(state, rows)
         if on_conflicts is not None:
             on_conflicts(bad, number)
@@ -55,18 +55,18 @@ def merge_stream(stream: DataFrame, store: Store, checkpoint: str, run: int, on_
         if on_actions is not None:
             domains = [c[: -len("_hash")] for c in state.columns if c.endswith("_hash")]
             on_actions(delta.changed_rows(good, state, domains=domains), number)
-        store.write(name, delta.merge_mapping(state, good, run))
+        return delta.merge_mapping(state, good, run)
 
     def apply(batch: DataFrame, number: int) -> None:
         rows = latest_records(batch, version).drop(version) if version else latest_records(batch, "id_product")
+        store.append_partition(f"{table}_batches", rows, "batch", number)  # once; a batch that comes again replaces it
+        rows = store.partition(f"{table}_batches", "batch", number)
         if not buckets:
-            merge(rows, table, number)
+            store.write(table, merged(rows, store.read(table), number))
             return
-        rows = rows.withColumn("bucket", bucket_of("source_key", buckets)).persist()
-        try:
-            for r in rows.select("bucket").distinct().collect():  # at most `buckets` rows
-                merge(rows.where(F.col("bucket") == r["bucket"]).drop("bucket"), f"{table}_{r['bucket']}", number)
-        finally:
-            rows.unpersist()
+        touched = sorted(r[0] for r in rows.select(bucket_of("source_key", buckets)).distinct().collect())  # at most `buckets` rows
+        if touched:
+            state = reduce(DataFrame.unionByName, (store.read(f"{table}_{b}") for b in touched))
+            store.write_split({b: f"{table}_{b}" for b in touched}, merged(rows, state, number), bucket_of("source_key", buckets))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
