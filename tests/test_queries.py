@@ -47,3 +47,25 @@ def test_entry(spark):
     df = e.entry(spark)
     assert df.columns == ["source_key", "action", "changed_domains"] and df.count() > 0
     assert set(plans.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sanitised_pages_keep_their_text_and_allowed_tags_alone(spark):
+    """Against a plain reading of each page: what stands outside tags stays, character by character, and of tags only those that may."""
+    import html
+    import re
+
+    from deltaweave.functions.text import ALLOWED_ATTRIBUTES, ALLOWED_TAGS
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = plans.QUERIES["html_sanitize"](spark, SF)
+    name = next(c for c in got.columns if c != "page_id")
+    rows = got.collect()
+    assert len(rows) == len(pages)
+    squeezed = lambda s: re.sub(r"\s+", "", html.unescape(s))
+    for r in rows:
+        out = r[name]
+        for tag, attributes in re.findall(r"</?([A-Za-z0-9]+)((?:\s[^<>]*)?)>", out):
+            assert tag in ALLOWED_TAGS and set(re.findall(r"([a-z-]+)=\"", attributes)) <= set(ALLOWED_ATTRIBUTES)
+        plain = re.sub(r"<(script|style)\b[^>]*>(.*?)</\1>", lambda m: html.escape(m[2]), pages[r.page_id] or "", flags=re.S | re.I)  # no tags stand in these
+        raw = re.sub(r"<!--.*?-->|<!DOCTYPE[^>]*>|</?[A-Za-z][^<>]*>", "", plain, flags=re.S | re.I)
+        assert squeezed(re.sub(r"</?[A-Za-z][^<>]*>", "", out)) == squeezed(raw)
