@@ -104,7 +104,7 @@ class Neighbours(Parities):
     """Lists by chunks of signatures; before the signatures' distance, the sketch of parities tells sets that can't link. A pair that shares several
     lists is given out by the first of them alone."""
 
-    column, ordered, thin, tile = "bits", False, True, 1024
+    column, ordered, thin, long, tile = "bits", False, True, 4096, 2048
 
     def __init__(self, terms: Terms, signature: Signature):
         self.terms, self.signature = terms, signature

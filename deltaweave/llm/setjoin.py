@@ -126,7 +126,7 @@ def _apart(x: bytes, y: bytes) -> int:
 class Parities:
     """How the join looks at classes before it has their sets: lists by prefix elements, and sketches of parities."""
 
-    column, ordered, thin, tile = "prefix", True, False, TILE
+    column, ordered, thin, long, tile = "prefix", True, False, LONG, TILE
 
     def __init__(self, terms: Terms):
         self.terms = terms
@@ -651,7 +651,7 @@ def grouped(rows: DataFrame, docs: DataFrame, terms: Terms, measure) -> DataFram
             F.transform(others, lambda v: F.when(v == own, tile(F.col("m") + own, F.col("m") + own, WITHIN)).when(v > own, tile(F.col("m") + own, F.col("m") + v, LEFT)).otherwise(tile(F.col("m") + v, F.col("m") + own, RIGHT))),
         )
         whole = F.array(F.struct(F.lit(-1).cast("long").alias("tile"), F.lit(WITHIN).alias("side")))
-        is_long = F.col("length") > LONG
+        is_long = F.col("length") > measure.long
         dealt = rooted.join(mixed, "e").withColumn("part", F.explode(F.when(is_long, F.array(group, group + 1)).otherwise(F.array(F.lit(-1).cast("long")))))
         dealt = dealt.withColumn("t", F.explode(F.when(~is_long, whole).when(is_main, mine).otherwise(theirs)))
         keyed = dealt.join(classes.select("sid", "bits"), "sid").select("e", "part", "t.tile", "n", "sid", "pos", "root", F.col("t.side").cast("long").alias("side"), "bits")
