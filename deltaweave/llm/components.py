@@ -60,31 +60,29 @@ def _shrink(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each id in edges (a, b): root is the smallest id that the edges reach.
 
-    Each round joins every id to the smallest id next to it (large star), then what is left below it (small star),
-    so the longest path shrinks by half or more; tasks first shrink the edges they hold. Rounds end when nothing changes. What an id is
-    joined with is a written table, so that Spark can split the edges of a hub over several tasks.
+    Each round joins every id to the smallest id next to it (large star), then what is left below it (small star), so the longest path shrinks by
+    half or more. Before each round tasks shrink the edges they hold, as read from a written table, so that Spark packs few edges into few tasks.
+    No step makes more edges than it gets, and each that changes one lessens the sum of their ids; a round that changes none is the last.
+    What an id is joined with is a written table, so that Spark can split the edges of a hub over several tasks.
 
     Rows with a null, and edges from an id to itself, say nothing and are left out, so an id with no other edge has no row; repeated edges count
     once; an empty table gives no rows; other columns aren't read. The result is a written table, and the caller may drop it.
     """
-    e = cut(_shrink(edges.select("a", "b").where("a <> b")).distinct(), "edges")
-    before = None
+    e = cut(edges.select("a", "b").where("a <> b"), "edges")
     while True:
-        # Large star: all neighbours that are larger go to the smallest of the neighbourhood.
-        both = e.union(e.select("b", "a")).toDF("u", "v")
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = cut(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        drop(e, least)
+        # From here on a > b, and so large star moves the edges of b to the smallest id next to b.
+        e, old = cut(_shrink(e.select("a", "b")), "edges"), e
+        least = cut(e.union(e.select("b", "a")).toDF("u", "v").groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "least")
+        large = cut(e.join(least, F.col("b") == F.col("u")).select("a", F.col("m").alias("b"), (F.col("m") < F.col("u")).alias("moved")), "large")
+        drop(old, e, least)
         # Small star: an id and its smaller neighbours go to the smallest of these.
         down = cut(large.groupBy("a").agg(F.min("b").alias("m")), "down")
-        small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        e = cut(small, "edges")
+        is_least = F.col("b") == F.col("m")
+        e = cut(large.join(down, "a").select(F.when(is_least, F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"), (F.col("moved") | ~is_least).alias("moved")), "edges")
         drop(large, down)
-        now = e.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)") * 31 + F.col("b"))).first()
-        if now == before:
+        if not e.agg(F.bool_or("moved")).first()[0]:  # null if there are none
             break
-        before = now
-    roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    out = cut(e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "roots")
+    nodes = e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")))
+    out = cut(nodes.distinct(), "roots")
     drop(e)
     return out

@@ -319,7 +319,7 @@ def _lists(postings: DataFrame, often: DataFrame, terms: Terms) -> DataFrame:
 
 
 def _close(pairs: DataFrame, classes: DataFrame, measure) -> DataFrame:
-    """Pairs (a, b) that what classes hold allows a link, as distinct pairs with a < b, and how far apart they are."""
+    """Of distinct pairs (a, b) those that what classes hold allows a link, and how far apart they are."""
 
     def run(batches):
         for batch in batches:
@@ -330,9 +330,8 @@ def _close(pairs: DataFrame, classes: DataFrame, measure) -> DataFrame:
             keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([c[0].filter(keep), c[4].filter(keep), pa.array(far.astype(np.int64)).filter(keep)], ["a", "b", "far"])
 
-    distinct = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda s: classes.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"), F.col("wide").alias(f"wide_{s}"))
-    both = distinct.join(side("a"), "a").join(side("b"), "b").select("a", "n_a", "bits_a", "wide_a", "b", "n_b", "bits_b", "wide_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "n_a", "bits_a", "wide_a", "b", "n_b", "bits_b", "wide_b")
     return both.mapInArrow(run, "a long, b long, far long")
 
 
@@ -461,7 +460,7 @@ def _verify(pairs: DataFrame, labels: DataFrame, rows: DataFrame, classes: DataF
     answers = cut(_overlaps(plain, sets, terms.n), "answers")
     derived = _derived(rooted.join(several, ["root", "b"], "left_semi").where("a <> root").select("a", "root", "b"), answers, sets, terms.n)
     found = answers.union(derived).where(f"{terms.num + terms.den} * overlap >= {terms.num} * (n_a + n_b)").select("a", "b")
-    links = cut(found.distinct(), "links")
+    links = cut(found, "links")
     drop(rooted, several, wanted, sets, answers, derived)
     return links
 
@@ -669,7 +668,8 @@ def grouped(rows: DataFrame, docs: DataFrame, terms: Terms, measure) -> DataFram
 
     # Neighbours in lists come first, then for each set what is nearest to it in its lists, by sketch, of other components: as
     # many pairs as postings at most, and nearly every component is whole after them. Then every pair across components that is left.
-    near = _close(live.where("before is not null").select(F.col("sid").alias("a"), F.col("before").alias("b")), classes, measure)
+    near = live.where("before is not null").select(F.least("sid", "before").alias("a"), F.greatest("sid", "before").alias("b")).distinct()
+    near = _close(near, classes, measure)
     near = cut(_nearest(near) if measure.thin else near.select("a", "b"), "near")
     labels = joined(cut(classes.select("sid", F.col("sid").alias("root")), "labels"), near)
     for nearest in (True, False):

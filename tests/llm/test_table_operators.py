@@ -168,6 +168,29 @@ def test_components(spark):
     assert got == {x: root(x) for x in touched}
 
 
+def test_components_of_stars_take_one_round_of_two_shuffles(spark, monkeypatch):
+    written, keep = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df, kind: written.append((kind, df._jdf.queryExecution().toString())) or keep(df, kind))
+    edges = spark.createDataFrame([(k, k % 10) for k in range(10, 500)] * 2, "a long, b long").repartition(5)
+    got = {x.node: x.root for x in components.components(edges).collect()}
+    assert got == {k: k % 10 for k in range(500)}
+    assert [kind for kind, _ in written] == ["edges", "edges", "least", "large", "down", "edges", "roots"]
+    assert [kind for kind, plan in written[1:] if "Exchange hashpartitioning" in plan] == ["least", "down", "roots"]
+
+
+def test_components_of_long_chains_over_many_tasks(spark):
+    r = random.Random(5)
+    ids = r.sample(range(10**9), 900)
+    edges = [(x, y) for k in range(0, 900, 300) for x, y in zip(ids[k : k + 299], ids[k + 1 : k + 300], strict=True)]
+    r.shuffle(edges)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # edges stay dealt over tasks in every round
+    try:
+        got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long").repartition(60)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {x: min(ids[k : k + 300]) for k in range(0, 900, 300) for x in ids[k : k + 300]}
+
+
 def glob_pattern(g):
     out = re.sub(r"\\\*\\\*|\\\*", lambda m: "[\\s\\S]*" if m[0] == "\\*\\*" else "[^/]*", re.escape(g))
     return re.compile(out)
