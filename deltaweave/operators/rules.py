@@ -5,6 +5,8 @@ Each function takes the array column of a product. What a row lacks gets its def
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def first_error(*rules: tuple[Column, str]) -> Column:
     return F.coalesce(*(F.when(F.coalesce(c, F.lit(False)), F.lit(t)) for c, t in rules))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which value is made once a row, however often use names it: inside functions of arrays Spark makes it anew each time."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _or_blank(c: Column) -> Column:
     return text.trim(F.coalesce(c.cast("string"), F.lit("")))
 
@@ -50,37 +57,51 @@ def features(rows: Column) -> Column:
 
 
 def feature_error(rows: Column) -> Column:
-    rows = features(rows)
-    blank = F.exists(rows, lambda r: (r["key"] == "") | (r["value_key"] == ""))
-    pairs = F.transform(rows, lambda r: F.struct(r["key"], r["value_key"]))
-    long = [(_exceeds(rows, f, n), f"feature {f} is too long") for f, n in FEATURE_BYTES.items()]
-    return first_error((blank, "feature without a key"), (_twice(pairs), "feature pair twice"), *long)
+    def error(rows: Column) -> Column:
+        blank = F.exists(rows, lambda r: (r["key"] == "") | (r["value_key"] == ""))
+        pairs = F.transform(rows, lambda r: F.struct(r["key"], r["value_key"]))
+        long = [(_exceeds(rows, f, n), f"feature {f} is too long") for f, n in FEATURE_BYTES.items()]
+        return first_error((blank, "feature without a key"), (_once(pairs, _twice), "feature pair twice"), *long)
 
+    return _once(features(rows), error)
 
-def combinations(rows: Column) -> Column:
-    """attribute_ids sorted and distinct, defaults, the semantic key, a hash of the structure and one of the stock; in order of the semantic key."""
 
-    def one(r: Column) -> Column:
-        ids = F.array_sort(F.array_distinct(F.coalesce(r["attribute_ids"], F.array().cast("array<bigint>"))))
-        key = hashing.semantic_key(ids)
+def _normal_combinations(rows: Column) -> Column:
+    """attribute_ids sorted and distinct, defaults and the semantic key; in order of it."""
+
+    def ids(r: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.coalesce(r["attribute_ids"], F.array().cast("array<bigint>"))))
+
+    def normal(r: Column, ids: Column) -> Column:
         words = [_or_blank(r[f]) for f in COMBINATION_BYTES]
         amounts = [F.coalesce(r[f].cast("double"), F.lit(0.0)) for f in ("price_impact", "weight_impact", "wholesale_price")]
         least, quantity = F.coalesce(r["minimal_quantity"].cast("long"), F.lit(1)), F.coalesce(r["quantity"].cast("long"), F.lit(0))
         named = dict(zip((*COMBINATION_BYTES, "price_impact", "weight_impact", "wholesale_price"), [*words, *amounts], strict=True))
-        return F.struct(
-            key.alias("semantic_key"), ids.alias("attribute_ids"), *(c.alias(n) for n, c in named.items()), least.alias("minimal_quantity"), quantity.alias("quantity"), F.coalesce(r["default"], F.lit(False)).alias("default"),
-            hashing.digest(key, ids, *named.values(), least).alias("structure_hash"), hashing.digest(key, quantity).alias("stock_hash"),
-        )
+        return F.struct(hashing.semantic_key(ids).alias("semantic_key"), ids.alias("attribute_ids"), *(c.alias(n) for n, c in named.items()), least.alias("minimal_quantity"), quantity.alias("quantity"), F.coalesce(r["default"], F.lit(False)).alias("default"))
 
-    return F.array_sort(F.transform(rows, one))
+    return F.array_sort(F.transform(rows, lambda r: _once(ids(r), lambda i: normal(r, i))))
+
+
+def combinations(rows: Column) -> Column:
+    """attribute_ids sorted and distinct, defaults, the semantic key, a hash of the structure and one of the stock; in order of the semantic key."""
+
+    def hashed(r: Column) -> Column:
+        named = [r[f] for f in (*COMBINATION_BYTES, "price_impact", "weight_impact", "wholesale_price")]
+        structure = hashing.digest(r["semantic_key"], r["attribute_ids"], *named, r["minimal_quantity"])
+        return r.withField("structure_hash", structure).withField("stock_hash", hashing.digest(r["semantic_key"], r["quantity"]))
+
+    return F.transform(_normal_combinations(rows), hashed)
 
 
 def combination_error(rows: Column) -> Column:
-    normal = combinations(rows)
-    bare = F.exists(normal, lambda r: (F.size(r["attribute_ids"]) == 0) | F.exists(r["attribute_ids"], lambda i: i.isNull() | (i <= 0)))
-    long = [(_exceeds(normal, f, n), f"combination {f} is too long") for f, n in COMBINATION_BYTES.items()]
-    few = F.exists(normal, lambda r: r["minimal_quantity"] < 1)
-    return first_error((bare, "combination without attributes"), (_twice(F.transform(normal, lambda r: r["semantic_key"])), "combination twice"), *long, (few, "minimal quantity below 1"))
+    def error(normal: Column) -> Column:
+        bare = F.exists(normal, lambda r: (F.size(r["attribute_ids"]) == 0) | F.exists(r["attribute_ids"], lambda i: i.isNull() | (i <= 0)))
+        long = [(_exceeds(normal, f, n), f"combination {f} is too long") for f, n in COMBINATION_BYTES.items()]
+        few = F.exists(normal, lambda r: r["minimal_quantity"] < 1)
+        keys = F.transform(normal, lambda r: r["semantic_key"])
+        return first_error((bare, "combination without attributes"), (_once(keys, _twice), "combination twice"), *long, (few, "minimal quantity below 1"))
+
+    return _once(_normal_combinations(rows), error)
 
 
 def date(value: Column) -> Column:
@@ -112,13 +133,16 @@ def specific_prices(rows: Column, shop: Column) -> Column:
 
 def specific_price_error(rows: Column, shop: Column, own_variants: Column | None = None) -> Column:
     """own_variants: the ids of the product's variants in the shop, where prices that name another are to be refused."""
-    normal = specific_prices(rows, shop)
-    amount = F.exists(normal, lambda r: (r["price"] < -1) | (r["reduction"] < 0) | ((r["reduction_type"] == "percentage") & (r["reduction"] > 1)))
-    foreign = F.lit(False) if own_variants is None else F.exists(normal, lambda r: (r["id_product_attribute"] > 0) & ~F.array_contains(own_variants, r["id_product_attribute"]))
-    return first_error(
-        (F.exists(normal, lambda r: ~r["reduction_type"].isin(*REDUCTIONS)), "reduction type"),
-        (amount, "amount"),
-        (F.exists(normal, lambda r: r["from"].isNull() | r["to"].isNull()), "date"),
-        (foreign, "variant of another product"),
-        (_twice(F.transform(normal, lambda r: r["scope"])), "scope twice"),
-    )
+
+    def error(normal: Column) -> Column:
+        amount = F.exists(normal, lambda r: (r["price"] < -1) | (r["reduction"] < 0) | ((r["reduction_type"] == "percentage") & (r["reduction"] > 1)))
+        foreign = F.lit(False) if own_variants is None else F.exists(normal, lambda r: (r["id_product_attribute"] > 0) & ~F.array_contains(own_variants, r["id_product_attribute"]))
+        return first_error(
+            (F.exists(normal, lambda r: ~r["reduction_type"].isin(*REDUCTIONS)), "reduction type"),
+            (amount, "amount"),
+            (F.exists(normal, lambda r: r["from"].isNull() | r["to"].isNull()), "date"),
+            (foreign, "variant of another product"),
+            (_once(F.transform(normal, lambda r: r["scope"]), _twice), "scope twice"),
+        )
+
+    return _once(specific_prices(rows, shop), error)

@@ -1,9 +1,13 @@
 """Every query with SQL gives the rows that DuckDB gives for it."""
 
+import hashlib
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from deltaweave import plans
+from deltaweave.operators import rules
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
@@ -69,3 +73,17 @@ def test_sanitised_pages_keep_their_text_and_allowed_tags_alone(spark):
         plain = re.sub(r"<(script|style)\b[^>]*>(.*?)</\1>", lambda m: html.escape(m[2]), pages[r.page_id] or "", flags=re.S | re.I)  # no tags stand in these
         raw = re.sub(r"<!--.*?-->|<!DOCTYPE[^>]*>|</?[A-Za-z][^<>]*>", "", plain, flags=re.S | re.I)
         assert squeezed(re.sub(r"</?[A-Za-z][^<>]*>", "", out)) == squeezed(raw)
+
+
+def test_combinations_make_each_key_once_a_row(spark):
+    kinds = "attribute_ids array<bigint>, reference string, ean13 string, upc string, mpn string, quantity int, minimal_quantity int, price_impact double, weight_impact double, wholesale_price double, default boolean"
+    one = lambda ids, least=None, ean=" ": (ids, " R", ean, None, "", 3, least, None, None, None, None)
+    rows = [[one([2, 1, 2]), one([3])], [one([2, 1]), one([1, 2])], [one([1], 0)], [one([1], None, "1" * 14)], [one([])], [one(None)], [one([1, None])], [], None]
+    df = spark.createDataFrame([(r,) for r in rows], f"c array<struct<{kinds}>>")
+    error = df.select(rules.combination_error(F.col("c")).alias("e"))
+    none = "combination without attributes"
+    assert [r.e for r in error.collect()] == [None, "combination twice", "minimal quantity below 1", "combination ean13 is too long", none, none, none, None, None]
+    assert error._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    keys = [[r.semantic_key for r in x.c] for x in df.where("size(c) > 0").select(rules.combinations(F.col("c")).alias("c")).collect()[:2]]
+    key = lambda ids: hashlib.sha256(":".join(map(str, ids)).encode()).hexdigest()
+    assert keys == [sorted([key([1, 2]), key([3])]), [key([1, 2])] * 2]
